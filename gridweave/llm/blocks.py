@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_width
 
 BLOCK_BYTES = 4 << 20
-SCHEMA = "block long, n int, raw_bytes long, ids binary, known binary, flags binary, lens binary, data binary"
+SCHEMA = "block long, n int, raw_bytes long, ids binary, known binary, flags binary, lens binary, data binary, extra binary"
 
 
 class Block:
@@ -36,6 +36,16 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.int64))])
         self.data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=int(self.starts[-1])) if self.starts[-1] else b""
 
+    def extra(self, row: dict) -> list:
+        """The carried columns."""
+        import pyarrow as pa
+        import zstandard
+
+        if not row["extra"]:
+            return []
+        raw = zstandard.ZstdDecompressor().decompress(row["extra"])
+        return [c.combine_chunks() for c in pa.ipc.open_stream(raw).read_all().columns]
+
     def texts(self) -> Iterator[bytes]:
         for i in range(self.n):
             yield self.data[self.starts[i] : self.starts[i + 1]]
@@ -47,11 +57,11 @@ def rows_of(batch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents to blocks, written once to the shared checkpoint folder. Null texts are empty."""
-    rows = docs.select(
-        F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"), (F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0))).cast("int")
-    )
+def pack(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None, extra: list[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents to blocks, written once to the shared checkpoint folder. Null texts are empty.
+    The columns named in ``extra`` go along as an Arrow stream, row by row."""
+    mark = F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0))
+    rows = docs.select(F.col(id_col).cast("long").alias("_0"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_1"), mark.cast("int").alias("_2"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
 
     def run(batches: Iterator):
         import numpy as np
@@ -61,25 +71,40 @@ def pack(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None
 
         base, made = TaskContext.get().partitionId() << 32, 0
         ids, flags, texts, size = [], [], [], 0
+        carried = []
 
         def flush():
             nonlocal made, size
+            stream = b""
+            if carried:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, carried[0].schema) as out:
+                    for x in carried:
+                        out.write_batch(x)
+                stream = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+                carried.clear()
             known = np.array([i is not None for i in ids], np.bool_)
             lens = np.array([len(t) for t in texts], np.int64)
-            row = [base + made, len(ids), size, np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), np.array(flags, np.int8).tobytes(), lens.tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]
+            row = [base + made, len(ids), size, np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), np.array(flags, np.int8).tobytes(), lens.tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), stream]
             made, size = made + 1, 0
             ids.clear(), flags.clear(), texts.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                for i, t, f in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                begin = 0
+                for k, (i, t, f) in enumerate(zip(*(c.to_pylist() for c in part.columns[:3]), strict=True)):
                     ids.append(i), texts.append(t), flags.append(f)
                     size += len(t)
                     if size >= block_bytes:
+                        if extra:
+                            carried.append(part.slice(begin, k + 1 - begin).select(range(3, 3 + len(extra))))
+                            begin = k + 1
                         yield flush()
+                if extra and begin < part.num_rows:
+                    carried.append(part.slice(begin).select(range(3, 3 + len(extra))))
         if ids:
             yield flush()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, quality, topk, toxicity, url_filter
+from . import bpe, jaccard, langid, lm, quality, suffix, topk, toxicity, url_filter
 from .common import fold, table
 
 
@@ -26,6 +26,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -63,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op4_lm_scoring, op6_toxicity, op7_url_filter, op8_bpe, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_suffix_dedup, op4_lm_scoring, op6_toxicity, op7_url_filter, op8_bpe, op9_ngram_jaccard, op10_quality_rules)}
 
 _OP1 = """
 WITH v AS (
