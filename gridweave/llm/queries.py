@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, quality, suffix, topk, toxicity, url_filter
+from . import bpe, jaccard, langid, lm, mixing, quality, suffix, topk, toxicity, url_filter
 from .common import fold, table
 
 
@@ -37,6 +37,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
@@ -69,7 +73,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_suffix_dedup, op4_lm_scoring, op6_toxicity, op7_url_filter, op8_bpe, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_language_id, op3_suffix_dedup, op4_lm_scoring, op5_source_mixing,
+        op6_toxicity, op7_url_filter, op8_bpe, op9_ngram_jaccard, op10_quality_rules,
+    )
+}
 
 _OP1 = """
 WITH v AS (
