@@ -1,4 +1,8 @@
 """All registered queries of the library and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import formula_queries, table_queries, vector_queries
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "formula_queries", "table_queries", "vector_queries"]
