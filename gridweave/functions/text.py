@@ -130,7 +130,7 @@ def sql_parts(sql: Column) -> Column:
     columns = F.regexp_extract(sql, r"(?is)select\s+(.*?)\s+from\b", 1)
     return F.struct(
         F.array_distinct(tables).alias("tables"),
-        F.when(columns == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(columns, ","), F.trim)).alias("columns"),
+        F.when(columns == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(columns, ","), lambda x: F.trim(x))).alias("columns"),
         F.regexp_extract_all(sql, F.lit(r"(?i)\bjoin\s+[\w.]+\s+on\s+([\w.]+\s*=\s*[\w.]+)"), F.lit(1)).alias("joins"),
         empty_to_null(F.trim(F.regexp_extract(sql, r"(?is)\bwhere\s+(.*?)(?:\bgroup\b|\border\b|\bhaving\b|;|$)", 1))).alias("filter"),
     )
