@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut, shuffle_width
 
@@ -169,19 +171,13 @@ def by_bucket(rows: DataFrame, buckets: int, run: Callable, schema: str) -> Data
 
 def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run(block_row, reply_rows)`` yields Arrow batches for each block."""
+    nothing = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
     def both(left, right):
         import pyarrow as pa
 
         # One row: a block's number is unique.
         found = [*run(next(rows_of(left.to_batches()[0])), [r for b in right.to_batches() for r in rows_of(b)])] if left.num_rows else []
-        return pa.Table.from_batches(found) if found else _empty(schema)
+        return pa.Table.from_batches(found) if found else nothing
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)
-
-
-def _empty(schema: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
