@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
 
         (out / f"{Path(a.file).stem}.html").write_text(page_of(Path(a.file).read_text()))
         return 0
-    from .plans import contract, detect, raw_sources, sheet_graph, trace
+    from .plans import contract, detect, raw_sources, reports, sheet_graph, trace
     from .sources import workbook as W
 
     spark = SparkSession.builder.appName("gridweave").getOrCreate()
@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         found, none = trace.trace(mine, a.sheet, W.files(spark, a.upstream_dir).where(f"file NOT LIKE '%{Path(path).name}'"), config)
         found.write.mode("overwrite").parquet(str(out / f"{stem}_matches"))
         none.write.mode("overwrite").parquet(str(out / f"{stem}_unmatched"))
+        print(reports.trace_report(out / f"{stem}_trace.xlsx", config, found, none))
     elif a.command == "levels":
         refs = trace.levels(mine.union(W.files(spark, a.upstream_dir)).dropDuplicates(["file"]), Path(path).name, int(a.max_level or 10))
         (out / f"{stem}_levels.mmd").write_text(trace.level_diagram(refs, "LR" if a.lr else "TD"))
@@ -51,10 +52,13 @@ def main(argv: list[str] | None = None) -> int:
         tables = raw_sources.detect_sources(mine.union(W.files(spark, a.inputs_dir, True)).dropDuplicates(["file"]), Path(path).name, (a.sheets or "").split(",") if a.sheets else [], int(a.max_level or 5), trace.TraceConfig(approximate=a.approximate, min_similarity=0.85))
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(str(out / f"{stem}_{name}"))
+        print(reports.sources_report(out / f"{stem}_sources.xlsx", tables))
     elif a.command == "contract":
         tables = contract.contract(mine, (a.output_sheets or "").split(","))
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(str(out / f"{stem}_{name}"))
+        print(reports.contract_report(out / f"{stem}_contract.xlsx", tables))
+        (out / f"{stem}_sources.mmd").write_text(reports.source_diagram(tables, detect.connections(mine), stem))
         (out / f"{stem}_variables.mmd").write_text(contract.variable_diagram(tables))
         (out / f"{stem}_calculation.py").write_text(contract.python_code(tables))
     else:

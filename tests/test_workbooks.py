@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.plans import cell_tools, contract, detect, raw_sources, sheet_graph, trace
+from gridweave.plans import cell_tools, contract, detect, raw_sources, reports, sheet_graph, trace
 from gridweave.sources import workbook as W
 from gridweave.sources import writer
 
@@ -97,6 +97,17 @@ def test_contract(books):
     compile(contract.python_code(t), "made", "exec")
 
 
+def test_reports(spark, books, tmp_path):
+    matches, unmatched = trace.trace(one(books, "model.xlsx"), "Inputs", books.where("file LIKE '%upstream%'"))
+    refs = trace.levels(books, "model.xlsx")
+    t = contract.contract(one(books, "model.xlsx"), ["Summary"])
+    made = [reports.trace_report(tmp_path / "t.xlsx", trace.TraceConfig(), matches, unmatched, refs), reports.contract_report(tmp_path / "c.xlsx", t)]
+    tabs = {r["sheet"] for r in W.sheets(W.files(spark, str(made[0]))).collect()}
+    assert tabs >= {"Config", "Upstream Sources", "Tracing Results", "Level 1", "Level 2"}
+    assert W.cells(W.files(spark, str(made[1])), ["Variables"]).count() > 10
+    assert "OUT_Summary" in reports.source_diagram(t, detect.connections(one(books, "model.xlsx")), "model")
+
+
 def test_sheet_graph(books):
     e = {(r["src_book"], r["src"], r["dst"]) for r in sheet_graph.sheet_edges(one(books, "model.xlsx")).collect()}
     assert {(None, "Inputs", "Calc"), (None, "Calc", "Summary"), ("upstream_a.xlsx", "Data", "Calc")} <= e
