@@ -8,13 +8,14 @@ below only leave out pairs that cannot be linked.
    shingles (``blocks``). A set with fewer than 75 % shared shingles has no link.
 2. Equal sets become one representative, the smallest id.
 3. Groups: each representative's rarest shared shingles (any linked pair has one in common
-   among them) point at the smallest representative that has them; verified pairs give groups
-   of similar documents, as connected components.
-4. The token-group matrix holds which groups have which rare shingle. A document whose rare
-   shingle is in another group is a query to that group (the smaller group's members query the
-   larger): its overlap with the union of the group's tokens bounds every overlap within, and
-   only groups that reach the need are opened, by products of token incidence matrices.
-5. Components over the links within and between groups.
+   among them) point at the smallest representative that has them, its lead. Documents with
+   one least lead are a group of similar documents; verified pairs of document and lead give
+   first components.
+4. The token-group matrix holds which groups have which rare shingle. A document queries the
+   groups of its rare shingles that have a larger component than its own: its overlap with the
+   union of a group's tokens bounds every overlap within, and only groups that reach the need
+   are opened, by products of token incidence matrices, in blocks of queries and members.
+5. Components over the links to leads and those found in opened groups.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their
 own component; a text of fewer than five words has its whole sequence as one shingle; rows
@@ -29,14 +30,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 from .common import cut
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-SHARD_ROWS, QUERY_BATCH = 1024, 512
-_LOCAL = "doc_id long, n int, digest binary, toks binary"
+SHARD_ROWS, QUERY_BATCH, COLUMN_BATCH = 1024, 512, 4096
+_LOCAL = "doc_id long, n int, digest binary, toks binary, block long, row int"
 
 
 def shingle_sets(texts: Iterator[bytes], size: int = SHINGLE) -> list:
@@ -93,11 +95,11 @@ def linked(shared, n, m):
     return DENOMINATOR * shared >= NUMERATOR * (n + m - shared)
 
 
-def local_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, toks): toks, null for sets without a possible link, are the shared
+def local_sets(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Blocks, and (doc_id, n, digest, toks, block, row) of their documents: toks, null for sets without a possible link, are the shared
     shingles from the rarest on; ties of frequency go by hash, alike in all documents."""
     spark = docs.sparkSession
-    packed = B.pack(docs, id_col, text_col)
+    packed = B.pack(docs, id_col, text_col, extra=extra)
     raw = packed.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()[0]
     buckets, bits = B.buckets_for(spark, raw), B.key_bits(raw)
 
@@ -171,12 +173,13 @@ def local_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             else:
                 toks.append(None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blk.ids, mask=~blk.known), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(toks, pa.binary())], names=["doc_id", "n", "digest", "toks"]
-        )
+            [pa.array(blk.ids, mask=~blk.known), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(toks, pa.binary()), pa.array(np.full(blk.n, blk.block)), pa.array(np.arange(blk.n, dtype=np.int32))],
+            names=["doc_id", "n", "digest", "toks", "block", "row"],
+        )
 
     sent = packed.mapInArrow(send, "bucket int, block long, keys binary, n binary")
     replies = B.by_bucket(sent, buckets, total, "bucket int, block long, codes binary")
-    return cut(B.with_replies(packed, replies, settle, _LOCAL))
+    return packed, cut(B.with_replies(packed, replies, settle, _LOCAL))
 
 
 def _rare(reps: DataFrame) -> DataFrame:
@@ -202,7 +205,7 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     left = reps.select(F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("toks").alias("toks_u"))
     right = reps.select(F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("toks").alias("toks_v"))
     close = (F.lit(DENOMINATOR) * F.least("n_u", "n_v") >= F.lit(NUMERATOR) * F.greatest("n_u", "n_v"))
-    met = cut(pairs.join(left, "u")).join(right, "v").where(close).select("u", "v", "n_u", "n_v", "toks_u", "toks_v")
+    met = pairs.join(left, "u").join(right, "v").where(close).select("u", "v", "n_u", "n_v", "toks_u", "toks_v")
 
     def run(batches: Iterator):
         import numpy as np
@@ -218,96 +221,163 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "u long, v long")
 
 
-def open_groups(queries: list[tuple[int, int, bytes]], members: list[tuple[int, int, bytes]]):
-    """Links of queries (rep, n, toks) to members of one group: the group's token union bounds a
-    query's overlap with every member; the queries that reach their need are multiplied out."""
+def open_groups(queries: list[tuple[int, int, int, bytes]], members: list[tuple[int, int, int, bytes]]):
+    """Links of queries (rep, component, n, toks) to members of a group that join components.
+
+    The group's token union bounds a query's overlap with every member; the queries that reach
+    their need are multiplied out. Of the links found, those that join components that earlier
+    ones have joined already are left out.
+    """
     import numpy as np
 
-    toks = [np.frombuffer(m[2], np.uint64) for m in members]
-    union = np.unique(np.concatenate(toks)) if toks else np.empty(0, np.uint64)
-    n_member = np.array([m[1] for m in members])
-    column = lambda t: (np.minimum(i := np.searchsorted(union, t), len(union) - 1), i < len(union))
+    if not queries or not members:
+        return
+    toks = [np.frombuffer(m[3], np.uint64) for m in members]
+    union = np.unique(np.concatenate(toks))
+    n_member = np.array([m[2] for m in members])
+    comp_member = np.array([m[1] for m in members])
     opened = []
-    for rep, n, raw in queries:
+    for rep, comp, n, raw in queries:
         t = np.frombuffer(raw, np.uint64)
-        i, inside = column(t)
-        i = i[inside & (union[i] == t)]
+        i = np.minimum(np.searchsorted(union, t), len(union) - 1)
+        i = i[union[i] == t]
         feasible = n_member[linked(np.minimum(n, n_member), n, n_member)]
         # |A & B| >= 75/175 (|A| + |B|), and the smallest feasible member needs least.
         if len(feasible) and (NUMERATOR + DENOMINATOR) * len(i) >= NUMERATOR * (n + int(feasible.min())):
-            opened.append((rep, n, i))
+            opened.append((rep, comp, n, i))
     if not opened:
         return
     # Only columns that some opened query has can add to an overlap.
-    used = np.unique(np.concatenate([i for _, _, i in opened]))
+    used = np.unique(np.concatenate([i for *_, i in opened]))
     back = np.full(len(union), -1)
     back[used] = np.arange(len(used))
-    matrix = np.zeros((len(members), len(used)), np.float32)
-    for r, t in enumerate(toks):
-        c = back[np.searchsorted(union, t)]
-        matrix[r, c[c >= 0]] = 1
-    for at in range(0, len(opened), QUERY_BATCH):
-        part = opened[at : at + QUERY_BATCH]
-        q = np.zeros((len(part), len(used)), np.float32)
-        for r, (_, _, i) in enumerate(part):
-            q[r, back[i]] = 1
-        shared = (q @ matrix.T).astype(np.int64)
-        hit = linked(shared, np.array([n for _, n, _ in part])[:, None], n_member[None])
-        # One link to a group is enough: its members are connected already.
-        for r in np.flatnonzero(hit.any(axis=1)):
-            yield part[r][0], members[int(hit[r].argmax())][0]
-
-
-def _between(rare: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
-    """Links (u, v) between representatives of different groups."""
-    sized = cut(reps.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("rep", "n", "toks", F.coalesce("component", "rep").alias("grp")))
-    sizes = sized.groupBy("grp").agg(F.count("*").alias("size"))
-    placed = cut(sized.select("rep", "grp").join(sizes, "grp"))
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for low in range(0, len(opened), QUERY_BATCH):
+        part = opened[low : low + QUERY_BATCH]
+        shared = np.zeros((len(part), len(members)), np.float32)
+        for a in range(0, len(used), COLUMN_BATCH):
+            z = min(a + COLUMN_BATCH, len(used))
+            q, m = np.zeros((len(part), z - a), np.float32), np.zeros((len(members), z - a), np.float32)
+            for r, (*_, i) in enumerate(part):
+                c = back[i]
+                q[r, c[(c >= a) & (c < z)] - a] = 1
+            for r, t in enumerate(toks):
+                c = back[np.searchsorted(union, t)]
+                m[r, c[(c >= a) & (c < z)] - a] = 1
+            shared += q @ m.T
+        sizes = np.array([n for _, _, n, _ in part])[:, None]
+        hit = linked(shared.astype(np.int64), sizes, n_member[None]) & (np.array([c for _, c, _, _ in part])[:, None] != comp_member[None])
+        for r, k in zip(*np.nonzero(hit), strict=True):
+            a, b = root(part[r][1]), root(int(comp_member[k]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                yield part[r][0], members[k][0]
+
+
+def _between(rare: DataFrame, reps: DataFrame, label: DataFrame, group: DataFrame) -> DataFrame:
+    """Links (u, v) between representatives of different components that share a rare token."""
+    comp = label.select(F.col("vertex").alias("c_rep"), F.col("component").alias("comp"))
+    lead = group.select(F.col("rep").alias("g_rep"), "grp")
+    sized = reps.select("rep", "n").join(comp, F.col("rep") == F.col("c_rep"), "left").join(lead, F.col("rep") == F.col("g_rep"), "left")
+    sized = cut(sized.select("rep", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", "rep").alias("grp")))
+    sizes = cut(sized.groupBy("comp").agg(F.count("*").alias("size")))
+    placed = cut(sized.select("rep", "comp", "grp").join(sizes, "comp"))
+    most = cut(placed.groupBy("grp").agg(F.max(F.struct("size", "comp")).alias("most")))
+    placed = cut(placed.join(most, "grp").select("rep", F.struct("size", "comp").alias("own"), "grp", "most"))
     entries = rare.join(placed, "rep")
-    # Tokens that only one group has need no look; the rest is the token-group matrix.
-    spread = cut(entries.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"))
-    entries = cut(entries.join(spread, "token").select("token", "rep", "grp", "size"))
-    matrix = cut(entries.select("token", F.col("grp").alias("other"), F.col("size").alias("other_size")).distinct())
-    asks = entries.join(matrix, "token").where(F.struct("other_size", "other") > F.struct("size", "grp")).select("rep", "other", "other_size").distinct()
-    asks = cut(asks)
-    shards = F.greatest(F.lit(1), F.ceil(F.col("other_size") / SHARD_ROWS)).cast("int")
-    asked = asks.select("rep", "other", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
-    queries = asked.join(sized.select("rep", "n", "toks"), "rep").select(F.col("other").alias("q_grp"), F.col("shard").alias("q_shard"), F.col("rep").alias("q_rep"), F.col("n").alias("q_n"), F.col("toks").alias("q_toks"))
-    wanted = asks.select(F.col("other").alias("grp"), F.col("other_size").alias("size")).distinct()
-    members = sized.join(wanted, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD_ROWS))).cast("int").alias("m_shard"), F.col("rep").alias("m_rep"), F.col("n").alias("m_n"), F.col("toks").alias("m_toks"))
-    members = members.withColumnRenamed("grp", "m_grp")
-
-    def run(left, right):
+    # Tokens that only one component has need no look; the rest is the token-group matrix.
+    spread = cut(entries.groupBy("token").agg(F.min("own.comp").alias("lo"), F.max("own.comp").alias("hi")).where("lo < hi").select("token"))
+    entries = cut(entries.join(spread, "token").select("token", "rep", "own", "grp", "most"))
+    matrix = cut(entries.select("token", F.col("grp").alias("asked"), F.col("most").alias("asked_most")).distinct())
+    lesser = entries.select("token", "rep", "own")
+    asks = cut(lesser.join(matrix, "token").where(F.col("asked_most") > F.col("own")).select("rep", "asked").distinct())
+    shape = sized.groupBy("grp").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")).select(F.col("grp").alias("s_grp"), "shards")
+    shape = cut(shape.join(asks.groupBy("asked").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts")), F.col("s_grp") == F.col("asked")).select("s_grp", "shards", "parts"))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    asked = asks.join(shape, F.col("asked") == F.col("s_grp")).select("rep", "asked", deal("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    about = sized.select(F.col("rep").alias("s_rep"), "comp", "n")
+    queries = asked.join(about, F.col("rep") == F.col("s_rep")).select("rep", F.col("asked").alias("grp"), "shard", "part", "comp", "n", F.lit(True).alias("query"))
+    members = sized.join(shape, F.col("grp") == F.col("s_grp")).select(
+        "rep", "grp", deal("shards").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "comp", "n", F.lit(False).alias("query")
+    )
+    # The sets themselves are joined last, and once for both roles.
+    roles = cut(queries.unionByName(members))
+    met = roles.join(reps.select(F.col("rep").alias("t_rep"), "toks"), F.col("rep") == F.col("t_rep")).select("grp", "shard", "part", "query", "rep", "comp", "n", "toks")
+
+    def run(group):
         import pyarrow as pa
 
-        pick = lambda t: [*zip(*(t.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-        found = [*open_groups(pick(left), pick(right))] if left.num_rows and right.num_rows else []
+        rows = [*zip(*(group.column(c).to_pylist() for c in ("query", "rep", "comp", "n", "toks")), strict=True)]
+        found = [*open_groups([r[1:] for r in rows if r[0]], [r[1:] for r in rows if not r[0]])]
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return queries.groupBy("q_grp", "q_shard").cogroup(members.groupBy("m_grp", "m_shard")).applyInArrow(run, "u long, v long")
+    return met.groupBy("grp", "shard", "part").applyInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``n_shingles``, ``component_id`` and ``digest`` (equal for equal sets), a row each."""
-    local = local_sets(docs, id_col, text_col)
+def _components(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Blocks, and (doc_id, n, digest, block, row, component) of each document."""
+    packed, local = local_sets(docs, id_col, text_col, extra)
     known = local.where("doc_id IS NOT NULL")
     heads = cut(known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = cut(
-        known.where("toks IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "toks")).alias("x")).select(F.col("x.doc_id").alias("rep"), "x.n", "x.toks")
-    )
-    # Two sets of one id may share their smallest id; then that id's larger set is told apart by its edges only.
+    sets = known.where("toks IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "toks")).alias("x"))
+    # Two sets of one id may share their smallest id, and then a vertex; each keeps its row.
+    reps = cut(sets.select(F.col("x.doc_id").alias("rep"), "x.n", "x.toks"))
     rare = cut(_rare(reps))
     leads = cut(rare.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("token", "lead"))
-    pairs = rare.join(leads, "token").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+    led = cut(rare.join(leads, "token").select("rep", "lead").distinct())
+    group = led.groupBy("rep").agg(F.min("lead").alias("grp"))
+    pairs = led.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     links = cut(_verify(pairs, reps))
     label = cut(components(links))
-    across = cut(_between(rare, reps, label))
-    member = known.where("n > 0").join(heads, "digest")
+    across = cut(_between(rare, reps, label, group))
+    member = known.where("n > 0").select("doc_id", "digest").join(heads, "digest")
     same_id = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id", "lo")
     bridged = member.join(cut(same_id), "doc_id").where("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))
     stars = label.select(F.col("vertex").alias("u"), F.col("component").alias("v")).where("u <> v")
     final = cut(components(stars.union(across).union(bridged)))
     named = cut(heads.join(final, F.col("rep") == F.col("vertex"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")))
-    out = local.join(named, F.col("digest") == F.col("d"), "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.hex("digest")).alias("digest"))
+    light = local.select("doc_id", "n", "digest", "block", "row")
+    out = light.join(named, F.col("digest") == F.col("d"), "left")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return packed, out.select("doc_id", "n", "digest", "block", "row", own.alias("component"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``n_shingles``, ``component_id`` and ``digest`` (equal for equal sets), a row each."""
+    _, out = _components(docs, id_col, text_col)
+    digest = F.when(F.col("n") > 0, F.hex("digest")).alias("digest")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), digest)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of linked documents the row with the smallest id, with all its columns; of
+    rows that share that id the first; rows with a null id and those without words stay.
+
+    Texts do not move with the decisions: each block is told which of its rows stay.
+    """
+    extra = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed, out = _components(docs, id_col, text_col, extra)
+    out = cut(out.select("doc_id", "component", "block", "row"))
+    first = out.where("doc_id = component").groupBy("doc_id").agg(F.min(F.struct("block", "row")).alias("at")).select("at.block", "at.row")
+    stay = first.union(out.where("doc_id IS NULL").select("block", "row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
+    fields = [T.StructField(id_col, T.LongType()), T.StructField(text_col, T.StringType()), *[docs.schema[c] for c in extra]]
+
+    def run(row: dict, replies: list[dict]):
+        import pyarrow as pa
+
+        if not replies:
+            return
+        blk = B.Block(row)
+        pick = sorted(replies[0]["rows"])
+        texts = [blk.data[blk.starts[i] : blk.starts[i + 1]].decode("utf-8", "replace") for i in pick]
+        others = [c.take(pa.array(pick)) for c in blk.extra(row)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(blk.ids[i]) if blk.known[i] else None for i in pick], pa.int64()), pa.array(texts, pa.string()), *others], names=[f.name for f in fields])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return B.with_replies(packed, stay, run, ddl).select(*docs.columns)
