@@ -164,7 +164,7 @@ def _sortable(words, docs):
     import numpy as np
 
     doc = (docs.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    rows = np.concatenate([words.astype(">u8").view(np.uint8).reshape(len(words), -1), doc], axis=1)
+    rows = np.concatenate([words.astype(">u8").view(np.uint8).reshape(len(words), 8 * words.shape[1]), doc], axis=1)
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
@@ -181,6 +181,8 @@ def _splitters(spark, rows: DataFrame, width: int, total: int, buckets: int) ->
                 words, docs = _load(r["keys"], width), B.spread(r["docs"])
                 h = _mix(words[:, 0] ^ _mix(words[:, 3] + _mix(docs.view(np.uint64))))
                 some = np.flatnonzero((h >> np.uint64(11)) < np.uint64(min(rate, 1.0) * (1 << 53)))
+                if not len(some):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([x.ljust(width * 8 + 8, b"\0") for x in _sortable(words[some], docs[some]).tolist()], pa.binary())], names=["k"])
 
     found = sorted(bytes(r["k"]) for r in rows.select("keys", "docs").mapInArrow(pick, "k binary").collect())
