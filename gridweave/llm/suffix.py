@@ -36,7 +36,8 @@ from .common import cut, shuffle_width
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # 26 bytes may stand before an anchor in its windows
 _CHUNK, _PLACE = 1 << 18, (1 << 20) - 1
-BUCKET_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 250_000, 24, 1_000_000
+BLOCK_BYTES, SAMPLE_BLOCKS = 2 << 20, 48
+BUCKET_KEYS, LOOK_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 150_000, 12_000, 24, 1_000_000
 KEY, WORDS, WINDOW_WORDS = 80, 10, 7
 
 
@@ -168,26 +169,26 @@ def _sortable(words, docs):
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
-def _splitters(spark, rows: DataFrame, width: int, total: int, buckets: int) -> list[bytes]:
-    """``buckets - 1`` keys at most that cut a hashed sample of (keys, docs) rows evenly."""
-    rate = min(1.0, min(MOST_SAMPLES, SAMPLES_PER_BUCKET * buckets) / max(total, 1))
+def _picked(words, docs, rate: float):
+    """A hashed sample of keys with their documents, as sortable strings of full length."""
+    import numpy as np
+    import pyarrow as pa
 
-    def pick(batches: Iterator):
-        import numpy as np
-        import pyarrow as pa
+    h = _mix(words[:, 0] ^ _mix(words[:, 3] + _mix(docs.view(np.uint64))))
+    some = np.flatnonzero((h >> np.uint64(11)) < np.uint64(rate * (1 << 53)))
+    width = 8 * words.shape[1] + 8
+    made = [x.ljust(width, b"\0") for x in _sortable(words[some], docs[some]).tolist()] if len(some) else []
+    return pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["k"])
+
+
+def _rate(total: int, buckets: int, part: float = 1.0) -> float:
+    return min(1.0, min(MOST_SAMPLES, SAMPLES_PER_BUCKET * buckets) / max(total * part, 1))
 
-        for batch in batches:
-            for r in B.rows_of(batch):
-                words, docs = _load(r["keys"], width), B.spread(r["docs"])
-                h = _mix(words[:, 0] ^ _mix(words[:, 3] + _mix(docs.view(np.uint64))))
-                some = np.flatnonzero((h >> np.uint64(11)) < np.uint64(min(rate, 1.0) * (1 << 53)))
-                if not len(some):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([x.ljust(width * 8 + 8, b"\0") for x in _sortable(words[some], docs[some]).tolist()], pa.binary())], names=["k"])
 
-    found = sorted(bytes(r["k"]) for r in rows.select("keys", "docs").mapInArrow(pick, "k binary").collect())
-    cuts = [found[len(found) * b // buckets] for b in range(1, buckets)] if found else []
-    return sorted(set(cuts))
+def _splitters(sample: DataFrame, buckets: int) -> list[bytes]:
+    """``buckets - 1`` keys at most that cut the sample (some for each bucket) evenly."""
+    found = sorted(bytes(r["k"]) for r in sample.collect())
+    return sorted({found[len(found) * b // buckets] for b in range(1, buckets)}) if found else []
 
 
 def _store(words) -> bytes:
@@ -214,37 +215,32 @@ def _batch(rows: list[dict]):
     return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[k]) for name, k in fields], names=[f[0] for f in fields])
 
 
-def _deal(rows: DataFrame, cuts: list[bytes], width: int) -> DataFrame:
-    """Rows of keys to rows by bucket."""
+def _dealt(cuts: list[bytes], block: int, words, docs, runs, more=None) -> list[dict]:
+    """A block's keys as one row for each bucket that they belong to."""
+    import numpy as np
 
-    def run(batches: Iterator):
-        import numpy as np
+    edges = np.array(cuts, f"S{8 * words.shape[1] + 8}")
+    to = np.searchsorted(edges, _sortable(words, docs), "right")
+    order = np.argsort(to, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(to[order])) + 1, len(to))
+    at, out = 0, []
+    for z in ends if len(to) else ():
+        x = order[at:z]
+        out.append({"kind": 0, "bucket": int(to[x[0]]), "block": block, "n": len(x), "keys": _store(words[x]), "docs": B.squeeze(docs[x]), "runs": B.squeeze(runs[x]), "more": B.squeeze(more[x]) if more is not None else None})
+        at = z
+    return out
 
-        edges = np.array(cuts, f"S{width * 8 + 8}")
-        for batch in batches:
-            for r in B.rows_of(batch):
-                words, docs, runs = _load(r["keys"], width), B.spread(r["docs"]), B.spread(r["runs"])
-                more = B.spread(r["more"]) if r["more"] else None
-                to = np.searchsorted(edges, _sortable(words, docs), "right")
-                order = np.argsort(to, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(to[order])) + 1, len(to))
-                at, out = 0, []
-                for z in ends if len(to) else ():
-                    x = order[at:z]
-                    out.append({"kind": 0, "bucket": int(to[x[0]]), "block": r["block"], "n": len(x), "keys": _store(words[x]), "docs": B.squeeze(docs[x]), "runs": B.squeeze(runs[x]), "more": B.squeeze(more[x]) if more is not None else None})
-                    at = z
-                yield _batch(out)
-
-    return rows.mapInArrow(run, _KEYS)
-
-
-def _gather(batches: Iterator, width: int):
-    """All keys of a bucket: words, docs, block of each, runs, more."""
+
+def _gather(batches: Iterator, width: int, aside: list | None = None):
+    """All keys of a bucket: words, docs, block of each, runs, more. Rows of kind 3 go aside."""
     import numpy as np
 
     words, docs, blks, runs, more = [], [], [], [], []
     for batch in batches:
         for r in B.rows_of(batch):
+            if r["kind"] == 3:
+                aside.append(r)
+                continue
             words.append(_load(r["keys"], width)), docs.append(B.spread(r["docs"])), runs.append(B.spread(r["runs"]))
             blks.append(np.full(len(docs[-1]), r["block"], np.int64))
             more.append(B.spread(r["more"]) if r["more"] else np.empty(0, np.int64))
@@ -288,7 +284,10 @@ def _sort_runs(batches: Iterator):
     document has (kind 0, by block), and the windows at the bucket's edges (kind 1)."""
     import numpy as np
 
-    got = _gather(batches, WORDS)
+    aside: list[dict] = []
+    got = _gather(batches, WORDS, aside)
+    if aside:
+        yield _batch(aside)
     if got is None:
         return
     words, docs, blks, runs, _ = got
@@ -302,27 +301,33 @@ def _sort_runs(batches: Iterator):
     gram = np.cumsum(gram_head) - 1
     edge = (gram == 0) | (gram == gram[-1])
     look = np.flatnonzero((np.bincount(gram)[gram] > 1) | edge)
-    row, shift, text = windows_of(words[first[look]].astype(">u8").view(np.uint8).reshape(len(look), KEY))
     mask = np.zeros(len(first), np.int64)
-    if len(row):
-        at = look[row]
+    # Windows of different grams never meet, so grams are taken a few at a time.
+    start = 0
+    while start < len(look):
+        stop = min(start + LOOK_KEYS, len(look))
+        stop = start + int(np.searchsorted(gram[look[start:]], gram[look[stop - 1]], "right"))
+        part = look[start:stop]
+        start = stop
+        row, shift, text = windows_of(words[first[part]].astype(">u8").view(np.uint8).reshape(len(part), KEY))
+        at = part[row]
         o, h = multikey_sort(text, least[at])
         low = least[at[o]][np.flatnonzero(h)][np.cumsum(h) - 1]
         hit = low < least[at[o]]
         np.bitwise_or.at(mask, at[o][hit], np.int64(1) << shift[o][hit])
-        # The edges' windows whose least document here is their own are compared elsewhere too.
+        # The edges' windows whose least document here is their own are compared elsewhere too;
+        # rows that share that id all wait for the answer.
         ask = o[~hit & edge[at[o]]]
-        fresh = ask[np.unique(np.concatenate([text[ask], at[ask][:, None].astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] if len(ask) else ask
-        owner = np.flatnonzero(docs == least[key])
-        # Rows that share the least id all wait for the answer.
-        by_key = np.argsort(key[owner], kind="stable")
-        begin = np.searchsorted(key[owner][by_key], at[fresh], "left")
-        count = np.searchsorted(key[owner][by_key], at[fresh], "right") - begin
-        rep = np.repeat(np.arange(len(fresh)), count)
-        own = owner[by_key][np.repeat(begin, count) + (np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count))]
+        if not len(ask):
+            continue
+        owner = np.flatnonzero((docs == least[key]) & edge[key])
+        begin = np.searchsorted(key[owner], at[ask], "left")
+        count = np.searchsorted(key[owner], at[ask], "right") - begin
+        rep = np.repeat(np.arange(len(ask)), count)
+        own = owner[np.repeat(begin, count) + (np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count))]
         for b in np.unique(blks[own]):
             x = np.flatnonzero(blks[own] == b)
-            yield _batch([{"kind": 1, "block": int(b), "n": len(x), "keys": _store(text[fresh[rep[x]]]), "docs": B.squeeze(docs[own[x]]), "runs": B.squeeze(runs[own[x]]), "more": B.squeeze(shift[fresh[rep[x]]])}])
+            yield _batch([{"kind": 1, "block": int(b), "n": len(x), "keys": _store(text[ask[rep[x]]]), "docs": B.squeeze(docs[own[x]]), "runs": B.squeeze(runs[own[x]]), "more": B.squeeze(shift[ask[rep[x]]])}])
     tell = (least[key] < docs) | (mask[key] != 0)
     out = [*_by_block(0, blks[tell], docs=least[key][tell], runs=runs[tell], more=mask[key][tell])]
     if out:
@@ -380,8 +385,8 @@ def boundary_least(edges: list[tuple[int, bytes, bytes, int, int, bool]]) -> dic
 def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
     """The packed blocks, and what each block must know to cut its documents."""
     spark = docs.sparkSession
-    packed = B.pack(docs, id_col, text_col, extra=extra)
-    raw = packed.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()[0]
+    packed = B.pack(docs, id_col, text_col, extra=extra, block_bytes=BLOCK_BYTES)
+    raw, n_blocks = packed.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)), F.count("*")).first()
     buckets, bits = B.buckets_for(spark, raw), B.key_bits(raw)
 
     def scan(row: dict):
@@ -431,10 +436,12 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
         good = (several | (count > 1))[place]
         at = 0
         for (bucket, block), k in zip(blks, keys, strict=True):
-            yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [block], "good": [B.squeeze(np.packbits(good[at : at + len(k)]))]}, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("good", pa.binary())]))
+            bits_here = good[at : at + len(k)]
+            yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [block], "good": [B.squeeze(np.packbits(bits_here))], "n": [int(bits_here.sum())]}, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("good", pa.binary()), ("n", pa.int64())]))
             at += len(k)
 
-    def emit(row: dict, replies: list[dict]):
+    def keys_of(row: dict, replies: list[dict]):
+        """The block's distinct keys: words, least ids, run numbers; equal runs and their leads."""
         import numpy as np
 
         blk, data, lo, hi, anchor, doc, grams = scan(row)
@@ -446,41 +453,69 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
             good[a:z] = np.unpackbits(B.spread(r["good"]), count=z - a)
         runs = np.flatnonzero(good[place]) if len(place) else np.empty(0, int)
         if not len(runs):
-            return
+            return None
         words = words_of(run_keys(data, lo[runs], hi[runs], anchor[runs]))
         ids = blk.ids[doc[runs]]
         order, head = multikey_sort(words, ids)
         first = np.flatnonzero(head)
         lead = first[np.cumsum(head) - 1]
         twin = np.flatnonzero(lead != np.arange(len(order)))
-        yield _batch([
-            {"kind": 0, "block": blk.block, "n": len(first), "keys": _store(words[order[first]]), "docs": B.squeeze(ids[order[first]]), "runs": B.squeeze(runs[order[first]].astype(np.int32))},
-            # Runs of this block that equal another one in it.
-            {"kind": 3, "block": blk.block, "n": len(twin), "runs": B.squeeze(runs[order[twin]].astype(np.int32)), "more": B.squeeze(runs[order[lead[twin]]].astype(np.int32))},
-        ])
+        runs = runs.astype(np.int32)
+        return words[order[first]], ids[order[first]], runs[order[first]], runs[order[twin]], runs[order[lead[twin]]]
 
     grams = packed.mapInArrow(send, "bucket int, block long, keys binary, many binary")
-    good = B.by_bucket(grams, buckets, shared, "bucket int, block long, good binary")
-    emitted = cut(B.with_replies(packed, good, emit, _KEYS))
+    good = cut(B.by_bucket(grams, buckets, shared, "bucket int, block long, good binary, n long"))
 
-    keys = emitted.where("kind = 0")
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Splitters from the keys of a hashed sample of blocks; one block in ``every``.
+    total = good.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    every = max(1, n_blocks // SAMPLE_BLOCKS)
     n_b = max(shuffle_width(spark), -(-total // BUCKET_KEYS))
-    cuts = _splitters(spark, keys, WORDS, total, n_b)
-    sorted_runs = cut(B.by_bucket(_deal(keys, cuts, WORDS), n_b, _sort_runs, _KEYS))
+    rate = _rate(total, n_b, 1 / every)
+
+    def sample(row: dict, replies: list[dict]):
+        got = keys_of(row, replies)
+        if got is not None:
+            yield _picked(got[0], got[1], rate)
+
+    some = F.pmod(F.xxhash64("block"), F.lit(every)) == 0
+    cuts = _splitters(B.with_replies(packed.where(some), good.where(some), sample, "k binary"), n_b)
+
+    def emit(row: dict, replies: list[dict]):
+        got = keys_of(row, replies)
+        if got is not None:
+            words, ids, runs, twins, leads = got
+            # Runs of this block that equal another one in it pass through some bucket.
+            aside = {"kind": 3, "bucket": row["block"] % n_b, "block": row["block"], "n": len(twins), "runs": B.squeeze(twins), "more": B.squeeze(leads)}
+            yield _batch([*_dealt(cuts, row["block"], words, ids, runs), aside])
+
+    dealt = B.with_replies(packed, good, emit, _KEYS)
+    sorted_runs = cut(B.by_bucket(dealt, n_b, _sort_runs, _KEYS))
 
     asked = sorted_runs.where("kind = 1")
     total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_b = max(shuffle_width(spark), -(-total // BUCKET_KEYS))
-    cuts = _splitters(spark, asked, WINDOW_WORDS, total, n_b)
-    sorted_windows = cut(B.by_bucket(_deal(asked, cuts, WINDOW_WORDS), n_b, _sort_windows, _KEYS))
+    n_w = max(shuffle_width(spark), -(-total // BUCKET_KEYS))
+    window_rate = _rate(total, n_w)
+
+    def sample_windows(batches: Iterator):
+        for batch in batches:
+            for r in B.rows_of(batch):
+                yield _picked(_load(r["keys"], WINDOW_WORDS), B.spread(r["docs"]), window_rate)
+
+    window_cuts = _splitters(asked.mapInArrow(sample_windows, "k binary"), n_w)
+
+    def deal_windows(batches: Iterator):
+        for batch in batches:
+            for r in B.rows_of(batch):
+                yield _batch(_dealt(window_cuts, r["block"], _load(r["keys"], WINDOW_WORDS), B.spread(r["docs"]), B.spread(r["runs"]), B.spread(r["more"])))
+
+    sorted_windows = cut(B.by_bucket(asked.mapInArrow(deal_windows, _KEYS), n_w, _sort_windows, _KEYS))
     half = WINDOW_WORDS * 8
     # Two strings for each bucket.
     edges = [(r["bucket"], bytes(r["keys"][:half]), bytes(r["keys"][half:]), int(B.spread(bytes(r["docs"]))[0]), r["n"], bool(r["block"])) for r in sorted_windows.where("kind = 1").collect()]
     carried = [*boundary_least(edges)]
     late = sorted_windows.where((F.col("kind") == 2) & F.col("bucket").isin(carried)) if carried else sorted_windows.where("false")
     hits = sorted_windows.where("kind = 0").unionByName(late).withColumn("kind", F.lit(1))
-    told = sorted_runs.where("kind = 0").unionByName(hits).unionByName(emitted.where("kind = 3"))
+    told = sorted_runs.where("kind IN (0, 3)").unionByName(hits)
     return packed, told.select("block", "kind", "docs", "runs", "more")
 
 
