@@ -23,10 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; null ids stay."""
-    groups = jaccard.join(docs)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
