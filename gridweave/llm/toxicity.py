@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's logit is a fixed low bias plus the weights of
-its words; the document's probability is the noisy-or of its sentences and of a learned leak,
+its words and of their first ``STEM`` letters, so that compounds and inflections count; the document's probability is the noisy-or of its sentences and of a learned leak,
 which takes up labels that no sentence explains. Only document labels are learned from, by
 Adam with an L1 proximal step in numpy, on a bounded sample of labelled rows (``SAMPLE_DOCS``
 rows of at most ``SAMPLE_BYTES`` bytes each). Every whole text is scored, and the sentences
@@ -21,14 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 20_000
-LEAST_DOCS, MOST_WORDS, LEAST_Z = 5, 1_000, 4.0
+LEAST_DOCS, LEAST_TOXIC, MOST_WORDS, LEAST_Z = 5, 2, 1_000, 4.0
+STEM, STEM_GAIN, DROPOUT = 4, 1.5, 0.5
 BIAS, L1, STEPS, RATE = -10.0, 5e-6, 500, 0.12
 _WORD, _SENTENCE = r"\w+", r"[^.!?\n]+"
 
 
+def marks(words: list[str]) -> set[str]:
+    """The distinct words and their stems, which end in a star."""
+    found = set(words)
+    return found | {w[:STEM] + "*" for w in found if len(w) >= STEM}
+
+
 class NoisyOr:
     def __init__(self, weights: dict[str, float], leak: float):
         self.weights, self.leak = weights, leak
+        self.words = {w for w in weights if not w.endswith("*")}
+        self.stems = {w[:-1] for w in weights if w.endswith("*")}
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int]) -> NoisyOr:
@@ -41,40 +50,55 @@ class NoisyOr:
         y = np.asarray(labels, float)
         if not len(y) or y.min() == y.max():
             return cls({}, float(y.mean()) if len(y) else 0.0)
-        bags = [[set(word(s.lower())) for s in sentence(t)] for t in texts]
-        seen: list[Counter] = [Counter(), Counter()]
-        for bag, label in zip(bags, labels, strict=True):
-            seen[label].update(set().union(*bag))
-        n1 = y.sum()
-        n0, rate = len(y) - n1, y.mean()
+        # Words of toxic documents first; the rest of the vocabulary is never held.
+        toxic: Counter = Counter()
+        for t, label in zip(texts, labels, strict=True):
+            if label:
+                toxic.update(marks(word(t.lower())))
+        seen = {w: n for w, n in toxic.items() if n >= LEAST_TOXIC}
+        toxic = dict(seen)
+        for t, label in zip(texts, labels, strict=True):
+            if not label:
+                for w in marks(word(t.lower())):
+                    if w in seen:
+                        seen[w] += 1
+        # A stem counts if it is clearly more frequent than each of its words.
+        most: dict[str, int] = {}
+        for w, n in seen.items():
+            if not w.endswith("*"):
+                most[w[:STEM] + "*"] = max(n, most.get(w[:STEM] + "*", 0))
+        rate = y.mean()
         scored = []
-        for w in seen[1]:
-            a, n = seen[1][w], seen[1][w] + seen[0][w]
-            if n >= LEAST_DOCS and (z := (a - n * rate) / (n * rate * (1 - rate)) ** 0.5) >= LEAST_Z:
+        for w, n in seen.items():
+            if w.endswith("*") and n < STEM_GAIN * most.get(w, 0):
+                continue
+            if n >= LEAST_DOCS and (z := (toxic[w] - n * rate) / (n * rate * (1 - rate)) ** 0.5) >= LEAST_Z:
                 scored.append((-z, w))
         vocab = {w: i for i, (_, w) in enumerate(sorted(scored)[:MOST_WORDS])}
         doc_of, row, col, first = [], [], [], []
-        for d, bag in enumerate(bags):
+        for d, text in enumerate(texts):
             first.append(len(doc_of))
-            for s in bag or [set()]:
-                hits = [vocab[w] for w in sorted(s) if w in vocab]
+            for s in sentence(text) or [""]:
+                hits = sorted({vocab[w] for w in marks(word(s.lower())) if w in vocab})
                 row += [len(doc_of)] * len(hits)
                 col += hits
                 doc_of.append(d)
         row, col, doc_of, first = map(np.asarray, (row, col, doc_of, first))
         row, col = row.astype(int), col.astype(int)
-        w = np.zeros(len(vocab))
+        w, rng = np.zeros(len(vocab)), np.random.default_rng(6)
         leak = -3.0
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, STEPS + 1):
-            logit = BIAS + np.bincount(row, w[col], len(doc_of))
+            # Words are left out at random, so that each learns to speak for itself.
+            used = (rng.random(len(col)) >= DROPOUT).astype(float)
+            logit = BIAS + np.bincount(row, w[col] * used, len(doc_of))
             p = 1 / (1 + np.exp(-logit))
             lam = 1 / (1 + np.exp(-leak))
             clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first) + np.log1p(-lam)
             total = np.maximum(-np.expm1(clean), 1e-9)
             # d loss / d logit of a sentence is p for a clean document, p - p / total for a toxic one.
             pull = 1 - y / total
-            g = np.append(np.bincount(col, (p * pull[doc_of])[row], len(w)), (lam * pull).sum()) / len(y)
+            g = np.append(np.bincount(col, (p * pull[doc_of])[row] * used, len(w)), (lam * pull).sum()) / len(y)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             delta = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -92,13 +116,14 @@ class NoisyOr:
             return self.leak, []
         text = text or ""
         get, word = self.weights.get, re.compile(_WORD).findall
-        hit = any(map(self.weights.__contains__, word(text.lower())))
+        found = set(word(text.lower()))
+        hit = not self.words.isdisjoint(found) or (bool(self.stems) and not self.stems.isdisjoint({w[:STEM] for w in found}))
         log_clean, spans = math.log1p(-self.leak), []
         quiet = math.log1p(-1 / (1 + math.exp(-BIAS)))
         if not hit:
             return 1 - math.exp(log_clean + quiet * len(re.compile(_SENTENCE).findall(text))), []
         for s in re.compile(_SENTENCE).finditer(text):
-            logit = BIAS + sum(get(w, 0.0) for w in set(word(s[0].lower())))
+            logit = BIAS + sum(get(w, 0.0) for w in marks(word(s[0].lower())))
             p = 1 / (1 + math.exp(-max(-60.0, min(logit, 30.0))))
             log_clean += math.log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
