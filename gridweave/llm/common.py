@@ -43,8 +43,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def thinned(df: DataFrame, id_col: str, bound: int, rows: int, seed: int = 0) -> DataFrame:
+    """About twice ``bound`` of ``rows`` rows by hashed id, so that a later limit moves little."""
+    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.where(unit < F.lit(min(1.0, 2.0 * bound / max(rows, 1))))
+
+
 def hashed_sample(df: DataFrame, id_col: str, bound: int, seed: int = 0) -> DataFrame:
     """At most ``bound`` rows: those whose hashed id is smallest. Each task keeps its own
-    ``bound`` smallest before anything moves, so nothing grows with the table."""
+    ``bound`` smallest before anything moves; wide rows should be ``thinned`` first."""
     order = F.xxhash64(F.col(id_col), F.lit(seed))
     return df.orderBy(order, F.col(id_col)).limit(bound)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import cut, hashed_sample
+from .common import cut, hashed_sample, thinned
 
 TOP, TAILS, DIM = 448, 63, 24
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOKENS = 1_500, 20_000, 400_000
@@ -233,7 +233,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     unseen = np.minimum((once + 0.5) / (tails + 1.0), 0.9)
     number = {w: i for i, (w, _) in enumerate(top)}
 
-    sample = hashed_sample(docs.where(learn & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", SAMPLE_DOCS)
+    # Thinned by the number of training documents, so that the driver gets no more from more tasks.
+    train_docs = thinned(docs.where(learn), id_col, SAMPLE_DOCS, docs.where(learn).count())
+    short = train_docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
+    sample = hashed_sample(short.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", SAMPLE_DOCS)
     classes, starts = [], []
     for r in sample.collect():
         if len(classes) < SAMPLE_TOKENS:
