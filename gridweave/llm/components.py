@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _star(directed: DataFrame, keep) -> DataFrame:
-    """For each vertex u, its kept neighbours v point at the smallest of u and its neighbours."""
-    low = cut(directed.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    moved = directed.join(low, F.col("u") == F.col("w")).where(keep)
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+#: Rows of a small edge table that one task handles; more tasks would only leave more files.
+ROWS_PER_TASK = 100_000
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -26,17 +23,21 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     e = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
     print_of = lambda x: x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     before = print_of(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0] and rounds:
+        rounds -= 1
+        tasks = 1 + before[0] // ROWS_PER_TASK
+        few = lambda x: x.coalesce(tasks)
+        e = few(e)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u"))
+        # Large star: a vertex's larger neighbours point at the smallest of it and its neighbours.
+        low = few(cut(few(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))))
+        moved = both.join(low, F.col("u") == F.col("w")).where("v > u")
+        large = few(cut(few(few(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())))
         # Small star: all edges now lead from a larger to a smaller vertex; u joins its least neighbour too.
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
-        hung = large.join(low, F.col("u") == F.col("w"))
+        low = few(cut(few(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))))
+        hung = few(large.join(low, F.col("u") == F.col("w")))
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        e = cut(small.distinct())
+        e = few(cut(few(few(small).distinct())))
         after = print_of(e)
         if after == before:
             break

@@ -37,7 +37,7 @@ from .common import cut
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-SHARD_ROWS, QUERY_BATCH, COLUMN_BATCH = 1024, 512, 4096
+SHARD_ROWS, QUERY_BATCH, COLUMN_BATCH = 256, 256, 4096
 _LOCAL = "doc_id long, n int, digest binary, toks binary, block long, row int"
 
 
