@@ -3,13 +3,16 @@
 Words fall into classes: each of the ``TOP`` most frequent training words is a class of its
 own, all others are dealt to ``TAILS`` classes by their last two bytes, and a text's end is a
 class. The model predicts the next class from the two before it: the context's vectors are
-mixed by one matrix per position and multiplied with the classes' output vectors; it is trained
-in numpy by noise-contrastive estimation on a bounded sample of training texts, and scored
-with batched matrix products that are normalised over all classes. Within a tail class a word
+mixed by one matrix per position and multiplied with the classes' output vectors. Its likelihood
+depends on the training texts only through how often each class follows each two: these counts
+are taken over all tokens of all training documents, whatever their lengths, and merged into
+shards of contexts. Each step of Adam sums the exact gradient over all shards. Scores come from
+batched matrix products that are normalised over all classes. Within a tail class a word
 has its share of the class's training tokens; one more, unseen word has the Good-Turing share.
 So the model is normalised over the V known tokens and one unknown.
 
-Token counts are exact and over all training documents (see ``blocks``).
+There are at most (CLASSES + 1)^2 contexts, so a step costs the same beyond some corpus size.
+Token counts are exact and over all training documents, too (see ``blocks``).
 
 Defined results: null and empty texts have one token, their end; a null id counts as crc 0;
 repeated rows count and are scored each; very long texts are scored whole; extra columns are
@@ -25,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import cut, hashed_sample, thinned
+from .common import cut
 
 TOP, TAILS, DIM = 448, 63, 24
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOKENS = 1_500, 20_000, 400_000
-EPOCHS, BATCH, NOISE, RATE = 6, 2048, 96, 0.01
+STEPS, RATE, CHUNK = 40, 0.1, 1024
+HELD_CELLS, SHARD_BYTES, MOST_SHARDS = 4 << 20, 32 << 20, 128
 END = TOP + TAILS
 CLASSES = END + 1
 START = CLASSES
@@ -121,6 +124,123 @@ def count_tokens(packed: DataFrame, buckets: int) -> DataFrame:
     return cut(B.by_bucket(sent, buckets, total, "kind int, bucket int, block long, word binary, counts binary, n long, sums array<long>"))
 
 
+def add_up(keys: list, counts: list):
+    """Ascending distinct keys and the sums of their counts."""
+    import numpy as np
+
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    at = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def count_cells(packed: DataFrame, number: dict[bytes, int], shards: int) -> DataFrame:
+    """For each shard of contexts the training counts of (two classes before, class): a cell's
+    key is ``(first * (CLASSES + 1) + second) * CLASSES + class``. ``number`` has the top words."""
+
+    class Known(dict):
+        def __missing__(self, word):
+            self[word] = found = tail_class(word)
+            return found
+
+    def send(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, counts, held = [], [], 0
+
+        def flush():
+            nonlocal held
+            k, n = add_up(keys, counts)
+            keys.clear(), counts.clear()
+            held = 0
+            # Contexts are dealt by a multiplicative hash, so that shards are alike.
+            shard = ((k // CLASSES * 2654435761 % (1 << 32)) * shards) >> 32
+            for b in np.unique(shard).tolist():
+                own = shard == b
+                yield pa.RecordBatch.from_pydict({"bucket": [b], "cells": [B.squeeze_sorted(k[own].astype(np.uint64))], "counts": [B.squeeze(n[own])]}, fields)
+
+        fields = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+        for batch in batches:
+            for row in B.rows_of(batch):
+                blk, known = B.Block(row), Known(number)
+                classes, starts = [], []
+                for flag, text in zip(blk.flags, blk.texts(), strict=True):
+                    if flag == 1:
+                        starts.append(len(classes))
+                        classes.extend(map(known.__getitem__, tokens_of(text)))
+                        classes.append(END)
+                if not classes:
+                    continue
+                seq = np.array(classes, np.int64)
+                first, second = contexts_of(seq, np.array(starts, np.int64))
+                k, n = np.unique(((first * (CLASSES + 1) + second) * CLASSES + seq).astype(np.int32), return_counts=True)
+                keys.append(k.astype(np.int64)), counts.append(n.astype(np.int64))
+                held += len(k)
+                if held > HELD_CELLS:
+                    k, n = add_up(keys, counts)
+                    keys[:], counts[:], held = [k], [n], len(k)
+                    if held > HELD_CELLS // 2:
+                        yield from flush()
+        if keys:
+            yield from flush()
+
+    def total(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, counts, held, bucket = [], [], 0, None
+        for batch in batches:
+            for row in B.rows_of(batch):
+                bucket = row["bucket"]
+                keys.append(B.spread_sorted(row["cells"]).astype(np.int64)), counts.append(B.spread(row["counts"]))
+                held += len(keys[-1])
+                if len(keys) > 1 and held > HELD_CELLS and held > 2 * len(keys[0]):
+                    k, n = add_up(keys, counts)
+                    keys, counts, held = [k], [n], len(k)
+        if bucket is not None:
+            k, n = add_up(keys, counts)
+            yield pa.RecordBatch.from_pydict({"cells": [B.squeeze_sorted(k.astype(np.uint64))], "counts": [B.squeeze(n)]}, pa.schema([("cells", pa.binary()), ("counts", pa.binary())]))
+
+    sent = packed.mapInArrow(send, "bucket int, cells binary, counts binary")
+    return cut(B.by_bucket(sent, shards, total, "cells binary, counts binary"))
+
+
+def slopes(left, right, q, b, cells, counts):
+    """Sums over ``cells`` of the gradients of the negative log-likelihood with respect to
+    ``left`` and ``right`` (each class's vector times its position's matrix), ``q`` and ``b``."""
+    import numpy as np
+
+    context, place = np.unique(cells // CLASSES, return_inverse=True)
+    edge = np.searchsorted(place, np.arange(len(context) + 1))
+    first, second = context // (CLASSES + 1), context % (CLASSES + 1)
+    n = np.add.reduceat(counts, edge[:-1]).astype(np.float32)
+    counts, target = counts.astype(np.float32), cells % CLASSES
+    qt, g_q, g_b, g_h = np.ascontiguousarray(q.T), np.zeros(q.shape), np.zeros(b.shape), np.empty((len(context), DIM), np.float32)
+    for at in range(0, len(context), CHUNK):
+        x = slice(at, min(at + CHUNK, len(context)))
+        y = slice(edge[x.start], edge[x.stop])
+        h = left[first[x]] + right[second[x]]
+        p = h @ qt + b
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (n[x] / p.sum(axis=1))[:, None]
+        p.ravel()[(place[y] - at) * CLASSES + target[y]] -= counts[y]
+        g_q += p.T @ h
+        g_b += p.sum(axis=0)
+        g_h[x] = p @ q
+
+    def by_class(which):
+        order = np.argsort(which, kind="stable")
+        at = np.flatnonzero(np.diff(which[order], prepend=-1))
+        out = np.zeros(left.shape)
+        out[which[order][at]] = np.add.reduceat(g_h[order], at)
+        return out
+
+    return by_class(first), by_class(second), g_q, g_b
+
+
 class LogBilinear:
     """Class scores ``q_w . (C1 r_1 + C2 r_2) + b_w``."""
 
@@ -134,40 +254,36 @@ class LogBilinear:
         self.c = np.stack([np.eye(DIM, dtype=np.float32)] * 2)
         self.b = np.log(self.unigram).astype(np.float32)
 
-    def fit(self, first, second, target) -> LogBilinear:
-        """Adam on the noise-contrastive loss: data against ``NOISE`` draws from the unigram."""
+    def fit(self, counted: DataFrame, tokens: int) -> LogBilinear:
+        """Adam on the mean log-likelihood of all ``tokens``; each step is one pass over the
+        shards of ``count_cells``, which send four small arrays each."""
         import numpy as np
 
         params = [self.r, self.q, self.c, self.b]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        rng, step, steps = np.random.default_rng(4), 0, EPOCHS * -(-len(target) // BATCH)
-        log_kn = np.log(NOISE * self.unigram).astype(np.float32)
-        for _ in range(EPOCHS if len(target) else 0):
-            order = rng.permutation(len(target))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                a, z, t, n = first[pick], second[pick], target[pick], len(pick)
-                noise = rng.choice(CLASSES, NOISE, p=self.unigram)
-                h = self.r[a] @ self.c[0] + self.r[z] @ self.c[1]
-                own = (h * self.q[t]).sum(axis=1) + self.b[t] - log_kn[t]
-                oth = h @ self.q[noise].T + self.b[noise] - log_kn[noise]
-                g_own = -1 / (1 + np.exp(np.minimum(own, 40))) / n
-                g_oth = 1 / (1 + np.exp(-np.maximum(oth, -40))) / n
-                g_h = g_own[:, None] * self.q[t] + g_oth @ self.q[noise]
-                g_q, g_b, g_r = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
-                np.add.at(g_q, t, g_own[:, None] * h)
-                np.add.at(g_q, noise, g_oth.T @ h)
-                np.add.at(g_b, t, g_own)
-                np.add.at(g_b, noise, g_oth.sum(axis=0))
-                np.add.at(g_r, a, g_h @ self.c[0].T)
-                np.add.at(g_r, z, g_h @ self.c[1].T)
-                g_c = np.stack([self.r[a].T @ g_h, self.r[z].T @ g_h])
-                step += 1
-                rate = RATE * (1 - step / (steps + 1)) + 1e-4
-                for p, g, mm, vv in zip(params, (g_r, g_q, g_c, g_b), m, v, strict=True):
-                    mm += 0.1 * (g - mm)
-                    vv += 0.01 * (g * g - vv)
-                    p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-9)
+        shapes = [self.r.shape, self.r.shape, self.q.shape, self.b.shape]
+        for step in range(1, STEPS + 1 if tokens else 1):
+            left, right, q, b = self.r @ self.c[0], self.r @ self.c[1], self.q, self.b
+
+            def run(batches: Iterator, left=left, right=right, q=q, b=b):
+                import pyarrow as pa
+
+                for batch in batches:
+                    for row in B.rows_of(batch):
+                        found = slopes(left, right, q, b, B.spread_sorted(row["cells"]).astype(np.int64), B.spread(row["counts"]))
+                        yield pa.RecordBatch.from_pydict({"g": [np.concatenate([x.ravel() for x in found]).astype(np.float32).tobytes()]}, pa.schema([("g", pa.binary())]))
+
+            total = np.zeros(sum(int(np.prod(x)) for x in shapes))
+            for r in counted.mapInArrow(run, "g binary").collect():
+                total += np.frombuffer(r["g"], np.float32)
+            parts = np.split(total / tokens, np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
+            g_l, g_r, g_q, g_b = (x.reshape(s).astype(np.float32) for x, s in zip(parts, shapes, strict=True))
+            grads = (g_l @ self.c[0].T + g_r @ self.c[1].T, g_q, np.stack([self.r.T @ g_l, self.r.T @ g_r]), g_b)
+            rate = RATE * (1 - (step - 1) / STEPS)
+            for p, g, mm, vv in zip(params, grads, m, v, strict=True):
+                mm += 0.1 * (g - mm)
+                vv += 0.01 * (g * g - vv)
+                p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-9)
         return self
 
     def log_prob(self, first, second, target):
@@ -207,7 +323,7 @@ def contexts_of(classes, starts):
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (log10) of each document.
 
-    ``learn`` says which documents are counted and sampled for training.
+    ``learn`` says which documents are counted and trained on.
     """
     import numpy as np
 
@@ -233,20 +349,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     unseen = np.minimum((once + 0.5) / (tails + 1.0), 0.9)
     number = {w: i for i, (w, _) in enumerate(top)}
 
-    # Thinned by the number of training documents, so that the driver gets no more from more tasks.
-    train_docs = thinned(docs.where(learn), id_col, SAMPLE_DOCS, docs.where(learn).count())
-    short = train_docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
-    sample = hashed_sample(short.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", SAMPLE_DOCS)
-    classes, starts = [], []
-    for r in sample.collect():
-        if len(classes) < SAMPLE_TOKENS:
-            starts.append(len(classes))
-            classes += [number[w] if w in number else tail_class(w) for w in tokens_of(r["text"].encode("utf-8", "replace"))]
-            classes.append(END)
+    shards = max(8, min(MOST_SHARDS, -(-raw // SHARD_BYTES)))
     model = LogBilinear(unigram)
-    if classes:
-        seq = np.array(classes, np.int64)
-        model.fit(*contexts_of(seq, np.array(starts, np.int64)), seq)
+    if n_all:
+        model.fit(count_cells(packed, number, shards), n_all)
 
     def run(row: dict, replies: list[dict]):
         import pyarrow as pa

@@ -228,6 +228,49 @@ def test_lm_is_normalised():
     assert abs(np.exp(p).sum() - 1) < 1e-4
 
 
+def test_lm_counts_every_context(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD_CELLS", 300)
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, 4_000 if i == 7 else 20), int(i % 5 != 1)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn int").repartition(3)
+    number = {w.encode(): k for k, w in enumerate(WORDS[:6])}
+    want = Counter()
+    for _, text, learn in rows:
+        ws = [*(number[w] if w in number else lm.tail_class(w) for w in lm.tokens_of(text.encode())), lm.END] if learn else []
+        for x in zip([lm.START, lm.START, *ws], [lm.START, *ws], ws, strict=False):
+            want[x] += 1
+    got = Counter()
+    for r in lm.count_cells(lm.B.pack(docs, "doc_id", "text", F.col("learn") == 1, block_bytes=2_000), number, 5).collect():
+        for k, n in zip(lm.B.spread_sorted(r["cells"]).tolist(), lm.B.spread(r["counts"]).tolist(), strict=True):
+            assert (k // lm.CLASSES // (lm.CLASSES + 1), k // lm.CLASSES % (lm.CLASSES + 1), k % lm.CLASSES) not in got
+            got[k // lm.CLASSES // (lm.CLASSES + 1), k // lm.CLASSES % (lm.CLASSES + 1), k % lm.CLASSES] = n
+    assert got == want
+
+
+def test_lm_slopes():
+    rng = np.random.default_rng(1)
+    cells = np.unique(rng.integers(0, (lm.CLASSES + 1) ** 2 * lm.CLASSES, 40))
+    counts = rng.integers(1, 9, len(cells))
+    model = lm.LogBilinear(np.ones(lm.CLASSES))
+    first, second, target = cells // lm.CLASSES // (lm.CLASSES + 1), cells // lm.CLASSES % (lm.CLASSES + 1), cells % lm.CLASSES
+    loss = lambda: -(counts * model.log_prob(first, second, target)).sum()
+    found = lm.slopes(model.r @ model.c[0], model.r @ model.c[1], model.q, model.b, cells, counts)
+    for param, g in ((model.b, found[3]), (model.q, found[2]), (model.r, found[0] + found[1])):
+        for at in zip(*(x[:3] for x in np.nonzero(np.abs(g) > 0.5 * np.abs(g).max())), strict=True):
+            param[at] += 0.01
+            up = loss()
+            param[at] -= 0.02
+            down = loss()
+            param[at] += 0.01
+            assert abs((up - down) / 0.02 - g[at]) < 0.02 * abs(g[at]) + 0.02
+
+
+def test_lm_learns_from_long_texts(spark):
+    rows = [(0, "amber quick stone river " * 1_500), (1, "amber quick stone river " * 50), (2, "river stone quick amber " * 50)]
+    out = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0))
+    assert out[1]["base_score"] == out[2]["base_score"] and out[1]["score"] > out[2]["score"] + 50
+
+
 # --- mixing --------------------------------------------------------------------------------
 
 
