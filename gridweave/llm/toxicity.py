@@ -2,9 +2,11 @@
 
 A document is a bag of sentences. A sentence's logit is a fixed low bias plus the weights of
 its words and of their first ``STEM`` letters, so that compounds and inflections count; the document's probability is the noisy-or of its sentences and of a learned leak,
-which takes up labels that no sentence explains. Only document labels are learned from, by
-Adam with an L1 proximal step in numpy, on a bounded sample of labelled rows (``SAMPLE_DOCS``
-rows of at most ``SAMPLE_BYTES`` bytes each). Every whole text is scored, and the sentences
+which takes up labels that no sentence explains. What the low bias alone would give is taken off
+each sentence, so that one without learned words adds exactly nothing and a text is not toxic by
+its length. Only document labels are learned from, by
+Adam with an L1 proximal step in numpy, on a sample of labelled rows by hash alone (at most
+``SAMPLE_DOCS``, of any length). Every whole text is scored, and the sentences
 with a probability of one half or more are located.
 
 Defined results: null and empty texts score the leak; null ids pass through and are never
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 20_000
+SAMPLE_DOCS = 8_000
 LEAST_DOCS, LEAST_TOXIC, MOST_WORDS, LEAST_Z = 5, 2, 1_000, 4.0
 STEM, STEM_GAIN, DROPOUT = 4, 1.5, 0.5
 BIAS, L1, STEPS, RATE = -10.0, 5e-6, 500, 0.12
@@ -86,7 +88,7 @@ class NoisyOr:
         row, col, doc_of, first = map(np.asarray, (row, col, doc_of, first))
         row, col = row.astype(int), col.astype(int)
         w, rng = np.zeros(len(vocab)), np.random.default_rng(6)
-        leak = -3.0
+        leak, quiet = -3.0, np.log1p(-1 / (1 + np.exp(-BIAS)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, STEPS + 1):
             # Words are left out at random, so that each learns to speak for itself.
@@ -94,11 +96,12 @@ class NoisyOr:
             logit = BIAS + np.bincount(row, w[col] * used, len(doc_of))
             p = 1 / (1 + np.exp(-logit))
             lam = 1 / (1 + np.exp(-leak))
-            clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first) + np.log1p(-lam)
+            clean = np.add.reduceat(np.minimum(np.log1p(-np.minimum(p, 1 - 1e-9)) - quiet, 0), first) + np.log1p(-lam)
             total = np.maximum(-np.expm1(clean), 1e-9)
-            # d loss / d logit of a sentence is p for a clean document, p - p / total for a toxic one.
+            # d loss / d logit of a sentence is p for a clean document, p - p / total for a toxic one;
+            # under the bias it is 0.
             pull = 1 - y / total
-            g = np.append(np.bincount(col, (p * pull[doc_of])[row] * used, len(w)), (lam * pull).sum()) / len(y)
+            g = np.append(np.bincount(col, (p * (logit >= BIAS) * pull[doc_of])[row] * used, len(w)), (lam * pull).sum()) / len(y)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             delta = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -121,11 +124,11 @@ class NoisyOr:
         log_clean, spans = math.log1p(-self.leak), []
         quiet = math.log1p(-1 / (1 + math.exp(-BIAS)))
         if not hit:
-            return 1 - math.exp(log_clean + quiet * len(re.compile(_SENTENCE).findall(text))), []
+            return self.leak, []
         for s in re.compile(_SENTENCE).finditer(text):
             logit = BIAS + sum(get(w, 0.0) for w in marks(word(s[0].lower())))
             p = 1 / (1 + math.exp(-max(-60.0, min(logit, 30.0))))
-            log_clean += math.log1p(-min(p, 1 - 1e-12))
+            log_clean += min(0.0, math.log1p(-min(p, 1 - 1e-12)) - quiet)
             if p >= 0.5:
                 spans.append((s.start(), s.end(), p))
         return min(1.0, max(0.0, 1 - math.exp(log_clean))), spans
@@ -138,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).groupBy("label_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_DOCS)
     )
-    texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
     # The sample has SAMPLE_DOCS rows of two numbers at most.
     rows = texts.join(F.broadcast(picked), "label_id").orderBy(F.xxhash64("label_id"), "label_id", "text").limit(SAMPLE_DOCS).collect()
     return NoisyOr.fit([r["text"] for r in rows], [int(r["label"] > 0) for r in rows])

@@ -330,6 +330,25 @@ def test_toxicity_awkward(spark):
     assert kept.columns == odd.columns and kept.count() == len(rows) - 2
 
 
+def test_toxicity_length_adds_nothing(spark):
+    model = toxicity.NoisyOr({"idiot": 12.0, "mild": 0.0}, 0.02)
+    long = "a clean line. " * 40_000
+    assert model.score(long) == (0.02, [])
+    assert abs(model.score("mild. " + long)[0] - 0.02) < 1e-9
+    assert model.score(long + "idiot.")[0] > 0.5
+    assert toxicity.reject(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).count() == 1
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, ". ".join(text_of(rng, 20) for _ in range(250)) + (". you idiot there." if i % 5 == 0 else ". fine."), int(i % 5 == 0)) for i in range(60)]
+    assert min(len(r[1]) for r in rows) > 20_000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), F.lit(True))
+    out = by_id(toxicity.score(docs, model))
+    assert all((out[i]["score"] >= 0.5) == bool(y) for i, _, y in rows)
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 
