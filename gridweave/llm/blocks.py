@@ -11,6 +11,7 @@ bucket one entry per block; and no task sees more than a block or a bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import cut, shuffle_width
 
 BLOCK_BYTES = 4 << 20
+#: Tasks of an exchange at most; beyond as many buckets a task takes several, one after another.
+MOST_TASKS = 4096
 SCHEMA = "block long, n int, raw_bytes long, ids binary, known binary, flags binary, lens binary, data binary, extra binary"
 
 
@@ -156,17 +159,42 @@ def buckets_for(spark, raw_bytes: int, bytes_per_bucket: int = 12 << 20) -> int:
     return max(shuffle_width(spark), -(-raw_bytes // bytes_per_bucket))
 
 
-def cut_by_bucket(keys, buckets: int, bits: int):
-    """Where each bucket's range begins in ascending ``bits``-bit keys, and the last end."""
+def pieces(keys, buckets: int, bits: int):
+    """(bucket, start, stop) of the buckets that own some of the ascending ``bits``-bit keys; so a
+    block's work is bounded by its own keys, however many buckets there are."""
     import numpy as np
 
-    edges = [(b << bits) // buckets for b in range(buckets)]
-    return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
+    if not len(keys):
+        return
+    # bits >= 32; the top 32 of them place a key.
+    to = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+    start = 0
+    for stop in [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(keys)]:
+        yield int(to[start]), start, stop
+        start = stop
 
 
 def by_bucket(rows: DataFrame, buckets: int, run: Callable, schema: str) -> DataFrame:
-    """Rows with a ``bucket`` from 0 to the bucket of that number, one task each."""
-    return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, schema)
+    """``run`` over the rows of each ``bucket`` from 0 to ``buckets``, one bucket at a time: a task
+    has one bucket, or a range of them where there are more than ``MOST_TASKS``."""
+    if buckets <= MOST_TASKS:
+        return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, schema)
+
+    def each(batches: Iterator):
+        def parts():
+            for batch in batches:
+                own, start = batch.column(0).to_pylist(), 0
+                for stop in range(1, len(own) + 1):
+                    if stop == len(own) or own[stop] != own[start]:
+                        yield own[start], batch.slice(start, stop - start)
+                        start = stop
+
+        for _, of_one in groupby(parts(), key=lambda x: x[0]):
+            yield from run(x for _, x in of_one)
+
+    first = ["bucket", *[c for c in rows.columns if c != "bucket"]]
+    dealt = rows.select(*first).repartitionById(MOST_TASKS, F.floor(F.col("bucket").cast("long") * MOST_TASKS / F.lit(buckets)).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(each, schema)
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: str) -> DataFrame:

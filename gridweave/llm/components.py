@@ -1,45 +1,74 @@
-"""Connected components of an edge table by alternating star contractions.
+"""Connected components of an edge table by local union-find and pointer jumping.
 
-Every round points each vertex's larger neighbours at the smallest vertex it sees (large star)
-and its smaller ones likewise (small star); a few rounds leave stars around each component's
-smallest vertex. Minima are aggregated map-side and written before they are joined back, so a
-vertex with very many neighbours is split by adaptive execution. Nothing is collected.
+In each round every task joins the edges that it holds by union-find and sends on one row for
+each vertex: its least neighbour so far. A vertex thus has a row for each task at most, however
+many edges it has. A vertex that meets several of these roots hooks them onto the least one,
+and every vertex then jumps to the label of its root. The rounds end when no vertex meets two
+roots: then all labels are final. Each round at least halves the roots of a component that has
+several. Nothing is collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that one task joins in memory.
+EDGES_PER_TASK = 200_000
+
+
+def join_edges(u: list[int], v: list[int]) -> dict[int, int]:
+    """The least vertex that each vertex is joined with."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := above.setdefault(top, top)) != top:
+            top = y
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+
+    for a, b in zip(u, v, strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {x: root(x) for x in [*above]}
+
+
+def _local(batches: Iterator):
+    import pyarrow as pa
+
+    u, v = [], []
+
+    def flush():
+        found = join_edges(u, v)
+        u.clear(), v.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["vertex", "root"])
 
-#: Rows of a small edge table that one task handles; more tasks would only leave more files.
-ROWS_PER_TASK = 100_000
+    for batch in batches:
+        u += batch.column(0).to_pylist()
+        v += batch.column(1).to_pylist()
+        if len(u) > EDGES_PER_TASK:
+            yield flush()
+    if u:
+        yield flush()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(vertex, component) for each vertex of an edge; component is its smallest vertex."""
-    e = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
-    print_of = lambda x: x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    before = print_of(e)
-    while before[0] and rounds:
-        rounds -= 1
-        tasks = 1 + before[0] // ROWS_PER_TASK
-        few = lambda x: x.coalesce(tasks)
-        e = few(e)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: a vertex's larger neighbours point at the smallest of it and its neighbours.
-        low = few(cut(few(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))))
-        moved = both.join(low, F.col("u") == F.col("w")).where("v > u")
-        large = few(cut(few(few(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())))
-        # Small star: all edges now lead from a larger to a smaller vertex; u joins its least neighbour too.
-        low = few(cut(few(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))))
-        hung = few(large.join(low, F.col("u") == F.col("w")))
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        e = few(cut(few(few(small).distinct())))
-        after = print_of(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+    e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
+    while True:
+        seen = e.mapInArrow(_local, "vertex long, root long").groupBy("vertex")
+        label = cut(seen.agg(F.min("root").alias("component"), F.collect_set("root").alias("roots")))
+        n, n_open = label.agg(F.count("*"), F.coalesce(F.sum((F.size("roots") > 1).cast("long")), F.lit(0))).first()
+        if not n_open:
+            return label.select("vertex", "component")
+        hooks = label.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("component").alias("v")).where("u <> v")
+        above = label.select(F.col("vertex").alias("a_vertex"), F.col("component").alias("a_component"))
+        jumped = label.join(above, F.col("component") == F.col("a_vertex")).select(F.col("vertex").alias("u"), F.col("a_component").alias("v"))
+        e = cut(jumped.where("u <> v").union(hooks).coalesce(1 + n // EDGES_PER_TASK))

@@ -412,13 +412,10 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
                 many[1:] = ~head[1:] & (d[1:] != d[:-1])
                 keys = g[head]
                 several = np.bitwise_or.reduceat(many, np.flatnonzero(head)) if len(g) else many
-                edges = B.cut_by_bucket(keys, buckets, bits)
                 out = {"bucket": [], "block": [], "keys": [], "many": []}
-                for b in range(buckets):
-                    a, z = edges[b], edges[b + 1]
-                    if z > a:
-                        out["bucket"].append(b), out["block"].append(blk.block)
-                        out["keys"].append(B.squeeze_sorted(keys[a:z])), out["many"].append(B.squeeze(several[a:z].astype(np.uint8)))
+                for b, a, z in B.pieces(keys, buckets, bits):
+                    out["bucket"].append(b), out["block"].append(blk.block)
+                    out["keys"].append(B.squeeze_sorted(keys[a:z])), out["many"].append(B.squeeze(several[a:z].astype(np.uint8)))
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())]))
 
     def shared(batches: Iterator):
@@ -446,10 +443,10 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
 
         blk, data, lo, hi, anchor, doc, grams = scan(row)
         keys, place = np.unique(grams, return_inverse=True)
-        edges = B.cut_by_bucket(keys, buckets, bits)
+        ranges = {b: (a, z) for b, a, z in B.pieces(keys, buckets, bits)}
         good = np.zeros(len(keys), bool)
         for r in replies:
-            a, z = edges[r["bucket"]], edges[r["bucket"] + 1]
+            a, z = ranges[r["bucket"]]
             good[a:z] = np.unpackbits(B.spread(r["good"]), count=z - a)
         runs = np.flatnonzero(good[place]) if len(place) else np.empty(0, int)
         if not len(runs):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, components, jaccard, langid, lm, mixing, quality, queries, suffix, topk, toxicity, url_filter
+from gridweave.llm import blocks, bpe, components, jaccard, langid, lm, mixing, quality, queries, suffix, topk, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -423,16 +423,17 @@ def brute_jaccard(rows):
             if a < b and any(100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
                 x, y = root(a), root(b)
                 above[max(x, y)] = min(x, y)
-    return Counter((i, n if i is not None else None, root(i) if i is not None else None) for i, n in shapes)
+    return Counter((i, n, root(i) if i is not None else None) for i, n in shapes)
 
 
 def joined(df):
-    return Counter((r["doc_id"], r["n_shingles"] if r["doc_id"] is not None else None, r["component_id"]) for r in jaccard.join(df).collect())
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect())
 
 
-@pytest.mark.parametrize("seed, edits", [(1, 4), (2, 9)])
+@pytest.mark.parametrize("seed, edits", [(1, 4), (2, 9), (3, 14)])
 def test_jaccard_brute_force(spark, monkeypatch, seed, edits):
-    monkeypatch.setattr(jaccard, "SHARD_ROWS", 16)
+    monkeypatch.setattr(jaccard, "SHARD_ROWS", 8)
+    monkeypatch.setattr(jaccard, "QUERY_ROWS", 4)
     monkeypatch.setattr(jaccard, "COLUMN_BATCH", 64)
     monkeypatch.setattr(jaccard.B.pack, "__defaults__", (None, (), 4000))
     rng = random.Random(seed)
@@ -461,6 +462,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 20)
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(0, 400) if i % 80 != 79] + [(1000, i) for i in range(1001, 1200)]
+    edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(8)
+    got = {r["vertex"]: r["component"] for r in components.components(df).collect()}
+    assert got == {**{i: i // 80 * 80 for i in range(400)}, **{i: 1000 for i in range(1000, 1200)}}
+
+
 # --- quality -------------------------------------------------------------------------------
 
 
@@ -494,3 +506,35 @@ def test_quality_keeps_clean(spark):
     got = quality.apply_rules(documents(spark)).join(labels, F.col("doc_id") == F.col("i")).collect()
     clean = [r["kept"] for r in got if r["quality"] == 1 and not r["base_failed"]]
     assert sum(clean) / len(clean) > 0.97
+
+
+# --- the exchange of keys ------------------------------------------------------------------
+
+
+def test_pieces_are_bounded_by_keys():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 40, 500).astype(np.uint64))
+    for buckets in (1, 7, 10**6, 10**9):
+        got = [*blocks.pieces(keys, buckets, 40)]
+        assert len(got) <= len(keys) and [a for _, a, _ in got] == [0, *[z for *_, z in got]][:-1] and got[-1][2] == len(keys)
+        assert [b for b, *_ in got] == sorted({b for b, *_ in got}) and 0 <= got[0][0] and got[-1][0] < buckets
+    assert [*blocks.pieces(keys[:0], 5, 40)] == []
+
+
+@pytest.mark.parametrize("tasks", [4096, 3])
+def test_by_bucket_takes_one_bucket_at_a_time(spark, monkeypatch, tasks):
+    monkeypatch.setattr(blocks, "MOST_TASKS", tasks)
+    rows = spark.range(200).select(F.col("id").alias("x"), (F.col("id") % 17).cast("int").alias("bucket"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen, n = set(), 0
+        for b in batches:
+            seen |= set(b.column(b.schema.names.index("bucket")).to_pylist())
+            n += b.num_rows
+        if seen:
+            assert len(seen) == 1
+            yield pa.RecordBatch.from_pydict({"b": [seen.pop()], "n": [n]}, pa.schema([("b", pa.int32()), ("n", pa.int64())]))
+
+    got = {r["b"]: r["n"] for r in blocks.by_bucket(rows, 17, run, "b int, n long").collect()}
+    assert got == {b: len(range(b, 200, 17)) for b in range(17)}
