@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of
 
 # Functions of market-data add-ins by vendor, and confidence of each detector.
 VENDOR_FUNCTIONS = (
@@ -128,11 +127,11 @@ SQL_NAMES = {
     "ABS": "ABS", "ROUND": "ROUND", "ROUNDUP": "CEIL", "ROUNDDOWN": "FLOOR", "INT": "FLOOR", "MOD": "MOD", "POWER": "POWER", "SQRT": "SQRT", "LN": "LN", "LOG": "LOG", "LOG10": "LOG10", "EXP": "EXP",
     "LEFT": "LEFT", "RIGHT": "RIGHT", "MID": "SUBSTR", "LEN": "LENGTH", "TRIM": "TRIM", "UPPER": "UPPER", "LOWER": "LOWER", "CONCATENATE": "CONCAT", "SUBSTITUTE": "REPLACE", "FIND": "INSTR", "SEARCH": "INSTR", "TEXT": "FORMAT",
     "IF": "CASE WHEN", "AND": "AND", "OR": "OR", "NOT": "NOT", "IFERROR": "COALESCE", "IFNA": "COALESCE", "IFS": "CASE",
-    "VLOOKUP": "JOIN_LOOKUP", "HLOOKUP": "JOIN_LOOKUP", "XLOOKUP": "JOIN_LOOKUP", "INDEX": "INDEX_LOOKUP", "MATCH": "MATCH_LOOKUP", "OFFSET": "OFFSET_LOOKUP",
+    "VLOOKUP": "JOIN_LOOKUP", "HLOOKUP": "JOIN_LOOKUP", "XLOOKUP": "JOIN_LOOKUP", "INDEX": "INDEX", "MATCH": "MATCH", "OFFSET": "OFFSET",
     "TODAY": "CURRENT_DATE", "NOW": "CURRENT_TIMESTAMP", "YEAR": "YEAR", "MONTH": "MONTH", "DAY": "DAY", "DATE": "DATE", "DATEDIF": "DATEDIFF", "EDATE": "DATE_ADD", "EOMONTH": "LAST_DAY",
 }
 
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"""(?P<text>"(?:[^"]|"")*")|(?P<ref>(?:(?:'(?P<quoted>[^']+)'|(?P<plain>[A-Za-z0-9_.\[\]]+))!)?(?P<cell>\$?[A-Z]{1,3}\$?[0-9]+(?::\$?[A-Z]{1,3}\$?[0-9]+)?)(?![A-Za-z0-9_(]))"""
     r"""|(?P<call>[A-Za-z][A-Za-z0-9_.]*)\s*\(|(?P<op><>|<=|>=|[-+*/^&=<>])|(?P<open>\()|(?P<close>\))|(?P<comma>,)|(?P<other>[^\s()",&<>=*/^+-]+)|(?P<space>\s+)"""
 )
@@ -159,7 +158,7 @@ def to_sql(formula: str | None, names: dict[str, str] | None = None) -> str:
 
     at = 0
     while at < len(body):
-        m = _TOKEN.match(body, at)
+        m = TOKEN.match(body, at)
         if not m:
             say(body[at])
             at += 1
@@ -186,34 +185,3 @@ def to_sql(formula: str | None, names: dict[str, str] | None = None) -> str:
         name, args = stack.pop()
         say(f"{SQL_NAMES.get(name, name) if name else ''}({','.join(''.join(a) for a in args)}")
     return "".join(stack[0][1][0]) if len(stack[0][1]) == 1 else ",".join("".join(a) for a in stack[0][1])
-
-
-def scalar(name: str, *args: Column) -> Column:
-    """A spreadsheet function as an executable expression."""
-    a = args
-    made = {
-        "ABS": lambda: F.abs(a[0]), "ROUND": lambda: F.round(*a), "ROUNDUP": lambda: F.signum(a[0]) * F.ceil(F.abs(a[0])), "ROUNDDOWN": lambda: F.signum(a[0]) * F.floor(F.abs(a[0])),
-        "INT": lambda: F.floor(a[0]), "MOD": lambda: F.pmod(*a), "POWER": lambda: F.pow(*a), "SQRT": lambda: F.sqrt(a[0]), "LN": lambda: F.ln(a[0]), "LOG10": lambda: F.log10(a[0]),
-        "LOG": lambda: F.ln(a[0]) / F.ln(a[1] if len(a) > 1 else F.lit(10)), "EXP": lambda: F.exp(a[0]),
-        "LEFT": lambda: F.left(*a), "RIGHT": lambda: F.right(*a), "MID": lambda: F.substr(*a), "LEN": lambda: F.length(a[0]), "TRIM": lambda: F.trim(F.regexp_replace(a[0], " +", " ")),
-        "UPPER": lambda: F.upper(a[0]), "LOWER": lambda: F.lower(a[0]), "CONCATENATE": lambda: F.concat(*a), "SUBSTITUTE": lambda: F.replace(*a), "FIND": lambda: F.locate(_text(a[0]), a[1]),
-        "SEARCH": lambda: F.locate(_text(a[0]).lower(), F.lower(a[1])),
-        "IF": lambda: F.when(a[0], a[1]).otherwise(a[2] if len(a) > 2 else F.lit(None)), "AND": lambda: ~any_of([~x for x in a]), "OR": lambda: any_of([*a]), "NOT": lambda: ~a[0],
-        "IFERROR": lambda: F.coalesce(*a), "IFNA": lambda: F.coalesce(*a),
-        "YEAR": lambda: F.year(a[0]), "MONTH": lambda: F.month(a[0]), "DAY": lambda: F.day(a[0]), "DATE": lambda: F.make_date(*a), "EDATE": lambda: F.add_months(*a),
-        "EOMONTH": lambda: F.last_day(F.add_months(*a)), "DATEDIF": lambda: F.datediff(a[1], a[0]), "TODAY": F.current_date, "NOW": F.current_timestamp,
-    }
-    return made[name]()
-
-
-def _text(c) -> str:
-    return c if isinstance(c, str) else str(c)
-
-
-def aggregate(name: str, x: Column, condition: Column | None = None, weight: Column | None = None) -> Column:
-    """A spreadsheet aggregate as an executable one."""
-    return {
-        "SUM": lambda: F.sum(x), "AVERAGE": lambda: F.avg(x), "COUNT": lambda: F.count(x), "COUNTA": lambda: F.count(x), "MIN": lambda: F.min(x), "MAX": lambda: F.max(x),
-        "MEDIAN": lambda: F.median(x), "STDEV": lambda: F.stddev_samp(x), "STDEVP": lambda: F.stddev_pop(x), "VAR": lambda: F.var_samp(x), "VARP": lambda: F.var_pop(x),
-        "COUNTIF": lambda: F.count_if(condition), "SUMIF": lambda: F.sum(F.when(condition, x)), "SUMPRODUCT": lambda: F.sum(x * weight),
-    }[name]()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ def connection_id(category: Column, raw: Column, location: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    """What follows the last slash of either kind, without query and fragment."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"^file:/*", ""), r"[?#].*$", "")
+    """What follows the last slash of either kind, without query and fragment, after ``%xx``
+    escapes are resolved (once; what is not valid stays as it is)."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    bare = F.regexp_replace(F.regexp_replace(plain, r"^file:/*", ""), r"[?#].*$", "")
     return F.element_at(F.split(bare, r"[\\/]"), -1)
 
 
@@ -107,8 +110,15 @@ def python_name(text: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers without a fraction, others with two decimals."""
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e12), x.cast("bigint").cast("string")).otherwise(F.format_string("%.2f", x))
+    """Whole numbers under 1e12 without a fraction, others with four significant digits as C's
+    ``%.4g`` shows them. Java's formatter rounds the shortest decimal form instead of the number
+    itself, so the few cells of reports go through an Arrow batch."""
+    @F.pandas_udf("string")
+    def four(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.4g}", na_action="ignore")
+
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e12)
+    return F.when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(four(x.cast("double")))
 
 
 def chain_text(chain: Column) -> Column:
@@ -124,17 +134,5 @@ def cells_label(cells: Column, shown: int = 3) -> Column:
     return F.when(F.size(cells) <= shown, F.array_join(sorted_cells, ", ")).otherwise(more)
 
 
-def sql_parts(sql: Column) -> Column:
-    """Tables, columns, joins and filter of a SQL text by pattern."""
-    tables = F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:from|join)\s+([\w.\[\]\"]+)"), F.lit(1))
-    columns = F.regexp_extract(sql, r"(?is)select\s+(.*?)\s+from\b", 1)
-    return F.struct(
-        F.array_distinct(tables).alias("tables"),
-        F.when(columns == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(columns, ","), lambda x: F.trim(x))).alias("columns"),
-        F.regexp_extract_all(sql, F.lit(r"(?i)\bjoin\s+[\w.]+\s+on\s+([\w.]+\s*=\s*[\w.]+)"), F.lit(1)).alias("joins"),
-        empty_to_null(F.trim(F.regexp_extract(sql, r"(?is)\bwhere\s+(.*?)(?:\bgroup\b|\border\b|\bhaving\b|;|$)", 1))).alias("filter"),
-    )
-
-
 def any_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.or_, conditions, F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from ..sources.workbook import column_letters, column_number
 
@@ -11,7 +12,10 @@ MAX_EXPANDED, MAX_COL, MAX_DEPTH, MAX_CELLS = 10_000, 16_384, 20, 10_000
 _CELL = r"\$?[A-Za-z]{1,3}\$?\d+(?::\$?[A-Za-z]{1,3}\$?\d+)?|\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}"
 _OUTER = re.compile(rf"(?:'([^'\[]*)\[([^\]]+)\]([^']*)'|\[([^\]]+)\]([A-Za-z0-9_.]+))!({_CELL})(?![A-Za-z0-9_(])")
 _NAMED = re.compile(r"(?:'([^'\[]*)\[([^\]]+)\]([^']*)'|\[([^\]]+)\]([A-Za-z0-9_.]*)|'([^']+\.xls[xmb]?)'|([A-Za-z0-9_]+\.xls[xmb]?))!([A-Za-z_\\][A-Za-z0-9_.]*)(?![A-Za-z0-9_(!])")
-_TABLE = re.compile(r"(?:'?\[([^\]]+\.xls[xmb]?)\]'?|'?([A-Za-z0-9_]+\.xls[xmb]?)'?)!([A-Za-z_][A-Za-z0-9_]*)\[([^\]]*)\]")
+_COLUMNS = r"\[(?:[^\[\]]|\[[^\]]*\])*\]"
+_TABLE = re.compile(rf"(?:'?\[([^\]]+\.xls[xmb]?)\]'?|'?([A-Za-z0-9_]+\.xls[xmb]?)'?)!([A-Za-z_][A-Za-z0-9_]*){_COLUMNS}")
+#: A table of another workbook without ``!``: ``[book.xlsx]Table``, ``'folder[book.xlsx]'Table[Column]``.
+_BARE_TABLE = re.compile(rf"(?:'([^'\[]*)\[([^\]]+\.[^\]]+)\]'|\[([^\]]+\.[^\]]+)\])([A-Za-z_][A-Za-z0-9_]*)(?:{_COLUMNS})?(?![A-Za-z0-9_.!'(])")
 _INNER = re.compile(r"(?:(?:'((?:[^'\[]|'')+)'|([A-Za-z_][A-Za-z0-9_.]*))!)?(\$?[A-Za-z]{1,3}\$?\d+(?::\$?[A-Za-z]{1,3}\$?\d+)?)(?![A-Za-z0-9_(!.])")
 _TEXT = re.compile(r'"(?:[^"]|"")*"')
 
@@ -22,7 +26,8 @@ def blank_text(formula: str) -> str:
 
 
 def file_of(path: str) -> str:
-    return re.split(r"[\\/]", re.sub(r"[?#].*$", "", path))[-1]
+    """The last part of a path or address: escapes resolved, no query and no fragment."""
+    return re.split(r"[\\/]", re.sub(r"[?#].*$", "", re.sub(r"^file:/*", "", unquote(path))))[-1]
 
 
 def external_refs(formula: str, links: dict[int, str]) -> list[tuple[str, str, str, str, str]]:
@@ -59,13 +64,18 @@ def external_refs(formula: str, links: dict[int, str]) -> list[tuple[str, str, s
             file, path = name_of(m[2] or m[4] or m[6] or m[7], m[1] or "")
             qualifier = m[3] or m[5] or ""
             found.setdefault((file.lower(), qualifier.lower(), name.lower()), (file, qualifier, name, path, "named_range"))
+            spans.append(m.span())
+    for m in _BARE_TABLE.finditer(text):
+        if free(m) and not re.fullmatch(r"[A-Za-z]{1,3}\d+", m[4]):
+            file = m[2] or m[3]
+            found.setdefault((file.lower(), "", m[4].lower()), (file, "", m[4], (m[1] or "") + file, "table"))
     return [*found.values()]
 
 
 def inner_refs(formula: str, sheet: str) -> list[tuple[str, str]]:
     """(sheet, cell or range) of references within the workbook, in their order."""
     text = blank_text(formula)
-    spans = [m.span() for p in (_OUTER, _TABLE, _NAMED) for m in p.finditer(text)]
+    spans = [m.span() for p in (_OUTER, _TABLE, _NAMED, _BARE_TABLE) for m in p.finditer(text)]
     out: dict[tuple[str, str], None] = {}
     for m in _INNER.finditer(text):
         if any(m.start() < z and a < m.end() for a, z in spans) or (m.start() and re.match(r"[A-Za-z0-9_\]]", text[m.start() - 1])):

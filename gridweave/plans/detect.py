@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as FX
 from ..functions import text
+from ..functions.sql_text import sql_parts
 from ..operators import extractors as E
 from ..operators.tables import counts_by, first_wins
 from ..sources import workbook as W
@@ -35,7 +36,7 @@ def connections(books: DataFrame) -> DataFrame:
     """One row per connection id and file, the earliest extractor's; with parsed SQL."""
     rows = W.each(books, E.CONNECTIONS, E.connection_rows).unionByName(formula_connections(books))
     kept = first_wins(rows, ["file", "id"], ["extractor", "seq"])
-    parsed = F.when(F.length("query_text") >= 15, text.sql_parts(F.col("query_text")))
+    parsed = F.when(F.length("query_text") >= 15, sql_parts(F.col("query_text")))
     return kept.withColumn("parsed_query", parsed)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import refs, text
@@ -160,15 +160,26 @@ def ancestors_descendants(t):
     return down.select("start", "node").union(up.select("start", "node")).distinct().where("start <> node").groupBy("start").agg(F.count("*").alias("n_connected"))
 
 
-@query("""SELECT c_nationkey, count(*) AS n_missing, min(c_custkey) AS first_key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1""")
+@query("""SELECT c_custkey AS node, CAST(CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE c_custkey % 4 END AS INTEGER) AS level FROM customer""")
+def cyclic_levels(t):
+    """Four customers in a row: two steps on, back from the third to the first of them, and the
+    fourth beside the second. The step back closes a cycle and is left out."""
+    k = F.col("c_custkey")
+    last = (k % 4 == 3)
+    e = t("customer").select(F.when(last, k - 3).otherwise(k).alias("src"), F.when(last, k).when(k % 4 == 2, k - 2).otherwise(k + 1).alias("dst"))
+    known = t("customer").select(k.alias("there"))
+    return G.depth_levels(e.join(known, F.col("dst") == F.col("there"), "left_semi"))
+
+
+@query("""SELECT c_nationkey, count(*) AS n_missing, min(c_custkey) AS first_key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) GROUP BY 1""")
 def missing_files(t):
-    gone = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    gone = t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return gone.groupBy("c_nationkey").agg(F.count("*").alias("n_missing"), F.min("c_custkey").alias("first_key"))
 
 
-@query("""SELECT p_partkey, lower(p_name) AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')""")
+@query("""SELECT p_partkey, lower(p_name) AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)""")
 def phantom_links(t):
-    used = t("lineitem").where("l_returnflag = 'R'").select("l_partkey")
+    used = t("lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey")
     return t("part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", F.lower("p_name").alias("name"))
 
 
@@ -280,9 +291,11 @@ def path_normalise(t):
     return paths(t).select("page_id", text.normalise_path(F.col("path")).alias("normal"))
 
 
-@query(rf"""WITH p AS ({_PATHS}) SELECT page_id, list_last(string_split(regexp_replace(regexp_replace(path, '^file:/*', ''), '[?#].*$', ''), '/')) AS name FROM p""")
+@query(rf"""WITH p AS ({_PATHS}) SELECT page_id, CASE page_id % 5 WHEN 0 THEN list_last(string_split(split_part(split_part(path, '?', 1), '#', 1), '/')) WHEN 1 THEN page_id || '.xlsx' WHEN 2 THEN 'b.xlsx' WHEN 3 THEN 'Book.xlsx' ELSE 'book' || page_id || '.xlsx' END AS name,
+'Plan ' || page_id || ' & 50% ü+.xlsx' AS unquoted FROM p""")
 def file_name(t):
-    return paths(t).select("page_id", text.file_name(F.col("path")).alias("name"))
+    quoted = F.concat(F.lit("https://x.org/a%20b/Plan%20"), F.col("page_id"), F.lit("%20%26%2050%25%20%C3%BC+.xlsx?web=1#top"))
+    return paths(t).select("page_id", text.file_name(F.col("path")).alias("name"), text.file_name(quoted).alias("unquoted"))
 
 
 _CONN = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Provider=SQLOLEDB;Data Source=' || c_name || ';Initial Catalog=' || c_mktsegment WHEN 1 THEN 'DSN=' || c_mktsegment || ';UID=x'
@@ -308,9 +321,12 @@ def identifiers(t):
     return t("part").select("p_partkey", text.node_id(name).alias("node_id"), text.python_name(F.concat_ws(" ", "p_name", "p_brand")).alias("python_name"))
 
 
-@query("SELECT p_partkey, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE format('{:.2f}', x) END AS shown FROM (SELECT p_partkey, p_retailprice AS x FROM part)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, x, CASE WHEN x = floor(x) AND abs(x) < 1e12 THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE format('{:.4g}', x) END AS shown FROM (SELECT *, CASE l_orderkey % 5 WHEN 0 THEN l_extendedprice
+WHEN 1 THEN -l_extendedprice * 1e9 WHEN 2 THEN l_extendedprice / 1e9 WHEN 3 THEN l_quantity ELSE l_discount - 1234.5 END AS x FROM lineitem)""")
 def number_format(t):
-    return t("part").select("p_partkey", text.number_text(F.col("p_retailprice")).alias("shown"))
+    p, k = F.col("l_extendedprice"), F.col("l_orderkey") % 5
+    x = F.when(k == 0, p).when(k == 1, -p * 1e9).when(k == 2, p / 1e9).when(k == 3, F.col("l_quantity")).otherwise(F.col("l_discount") - 1234.5)
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x")).withColumn("shown", text.number_text(F.col("x")))
 
 
 @query("""SELECT conv_id, array_to_string(list(conv_id || '!A' || turn || ' (=' || substr(text, 1, 80) || ')' ORDER BY turn, text), ' → ') AS chain FROM conversations GROUP BY 1""")
@@ -329,28 +345,67 @@ def formula_external_ref(t):
     return got.select("l_orderkey", "l_linenumber", "l_partkey", "x.file", "x.sheet", F.regexp_replace("x.cell", r"\$", "").alias("cell"))
 
 
-_FORMULA = """SELECT event_id, CASE event_type WHEN 'click' THEN '=BDP("AAPL US Equity","PX_LAST")' WHEN 'view' THEN '=WEBSERVICE("http://x/' || event_id || '")' WHEN 'error' THEN '=RTD("srv.q",,"T' || user_id || '")' WHEN 'signup' THEN '=INDIRECT("Data!A' || user_id || '")' ELSE '=SUM(A1:A' || user_id || ')' END AS f FROM events"""
+# A formula for each detector; {0} is an event's number.
+DETECTED = (
+    ('=BDP("ticker {0}","PX_LAST")', "bloomberg", "ticker {0}"), ('=1+RHistory("RIC{0}",".Close")', "reuters", "RIC{0}"), ('=FDS("F{0}","P_PRICE")', "factset", "F{0}"), ('=CIQ("NYSE:{0}","IQ_TOTAL_REV")', "capitaliq", "NYSE:{0}"),
+    ('=SNL("S{0}",1)', "snl", "S{0}"), ('=WSD("W{0}","close")', "wind", "W{0}"), ('=WEBSERVICE("http://x.org/{0}")', "webservice", "http://x.org/{0}"), ('=RTD("srv.{0}",,"T")', "rtd", "srv.{0}"),
+    ("='https://acme.sharepoint.com/s/{0}/[B.xlsx]Q'!A1", "sharepoint_workbook", "https://acme.sharepoint.com/s/{0}/B.xlsx"), ("='https://acme.onedrive.com/{0}/[B.xlsx]Q'!A1", "onedrive_workbook", "https://acme.onedrive.com/{0}/B.xlsx"),
+    ("='https://files.org/{0}/[B.xlsx]Q'!A1", "http_workbook", "https://files.org/{0}/B.xlsx"), ("=[{0}]Sheet1!A1*2", "external_workbook_ref", "[ExternalLink{0}]"), ('=INDIRECT("Data!A{0}")', "indirect_ref", "Data!A{0}"), ("='[book{0}.xlsx]S'!A1", "external_workbook", "book{0}.xlsx"),
+    ("='\\\\srv{0}\\share\\[b.xlsx]S'!A1", "unc_path", "\\\\srv{0}\\share\\b.xlsx"), ("='C:\\d{0}\\[b.xlsm]S'!A1", "local_file", "C:\\d{0}\\b.xlsm"), ("=SUM(A1:A{0})", "", ""),
+)
+
+
+def _filled(pattern: str, number: Column) -> Column:
+    return F.concat(*[x for k, part in enumerate(pattern.split("{0}")) for x in ([number] if k else []) + [F.lit(part)]])
 
 
-@query(f"""WITH e AS ({_FORMULA}) SELECT event_id, CASE WHEN f LIKE '=BDP%' THEN 'bloomberg' WHEN f LIKE '=WEB%' THEN 'webservice' WHEN f LIKE '=RTD%' THEN 'rtd' ELSE 'indirect_ref' END AS sub_type FROM e WHERE f NOT LIKE '=SUM%'""")
+_DETECTED_SQL = ", ".join(f"({k}, '{kind}', '{source}')" for k, (_, kind, source) in enumerate(DETECTED) if kind)
+
+
+@query(f"""SELECT event_id, kind AS sub_type, replace(source, '{{0}}', CAST(event_id AS VARCHAR)) AS source FROM events JOIN (VALUES {_DETECTED_SQL}) d(k, kind, source) ON event_id % {len(DETECTED)} = k""")
 def formula_detectors(t):
+    """One formula for each detector, and one without any source."""
     from ..functions import formulas
 
-    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    f = (
-        F.when(F.col("event_type") == "click", F.lit('=BDP("AAPL US Equity","PX_LAST")')).when(F.col("event_type") == "view", F.concat(F.lit('=WEBSERVICE("http://x/'), e, F.lit('")')))
-        .when(F.col("event_type") == "error", F.concat(F.lit('=RTD("srv.q",,"T'), u, F.lit('")'))).when(F.col("event_type") == "signup", F.concat(F.lit('=INDIRECT("Data!A'), u, F.lit('")')))
-        .otherwise(F.concat(F.lit("=SUM(A1:A"), u, F.lit(")")))
-    )
-    return t("events").select("event_id", F.explode(formulas.detect(f)).alias("d")).select("event_id", F.col("d.sub_type").alias("sub_type"))
+    e, k = F.col("event_id").cast("string"), F.col("event_id") % len(DETECTED)
+    f = F.coalesce(*[F.when(k == i, _filled(pattern, e)) for i, (pattern, _, _) in enumerate(DETECTED)])
+    return t("events").select("event_id", F.explode(formulas.detect(f)).alias("d")).select("event_id", F.col("d.sub_type").alias("sub_type"), F.col("d.source").alias("source"))
 
 
-@query("""SELECT c_custkey, 'orders' AS t1, 'customer' AS t2, 'o_orderkey' AS c1, 2 AS n_columns, 'o.k = c.k' AS j1, 'c.k = ' || c_custkey AS filter FROM customer""")
+@query("""SELECT c_custkey, ['orders', 'customer', 'nation', 'hot'] AS tables, ['o_orderkey', 'c_name', 'k', 'c_custkey', 'n', 'flag', 'x'] AS columns, ['INNER customer ON o.k = c.k AND f(c.n, 2) > 1', 'LEFT nation ON n.k = c.k'] AS joins,
+'c.c_custkey = ' || c_custkey || ' AND o.k IN (SELECT k FROM hot WHERE x = ''a, where b'')' AS filter FROM customer""")
 def sql_parse(t):
-    sql = F.concat(F.lit("SELECT o_orderkey, c_name FROM orders o JOIN customer ON o.k = c.k WHERE c.k = "), F.col("c_custkey"), F.lit(" ORDER BY 1"))
-    sql = F.regexp_replace(sql, "orders o JOIN", "orders JOIN")
-    p = t("customer").select("c_custkey", text.sql_parts(sql).alias("p"))
-    return p.select("c_custkey", F.get("p.tables", F.lit(0)).alias("t1"), F.get("p.tables", F.lit(1)).alias("t2"), F.get("p.columns", F.lit(0)).alias("c1"), F.size("p.columns").alias("n_columns"), F.get("p.joins", F.lit(0)).alias("j1"), F.col("p.filter").alias("filter"))
+    """Functions with commas, aliases, a subquery, keywords inside strings and comments."""
+    from ..functions.sql_text import sql_parts
+
+    sql = F.concat(
+        F.lit("SELECT o.o_orderkey AS id, coalesce(c.c_name, 'a, from b') name, count(*) /* select z */ FROM [db].dbo.[orders] o JOIN customer AS c ON o.k = c.k AND f(c.n, 2) > 1\nLEFT OUTER JOIN nation n ON n.k = c.k WHERE c.c_custkey = "),
+        F.col("c_custkey"), F.lit(" AND o.k IN (SELECT k FROM hot WHERE x = 'a, where b') GROUP BY flag ORDER BY 1 -- from nowhere"),
+    )
+    p = t("customer").select("c_custkey", sql_parts(sql).alias("p"))
+    joins = F.transform("p.joins", lambda j: F.concat(j["type"], F.lit(" "), j["table"], F.lit(" ON "), j["on"]))
+    order = F.array(*[F.lit(c) for c in ("o_orderkey", "c_name", "k", "c_custkey", "n", "flag", "x")])
+    known = F.filter(order, lambda c: F.array_contains("p.columns", c))
+    return p.select("c_custkey", "p.tables", F.concat(known, F.array_except("p.columns", order)).alias("columns"), joins.alias("joins"), F.col("p.filter").alias("filter"))
+
+
+@query("""SELECT c_custkey, u.* FROM customer, (VALUES ('Budget.xlsx', '', 'SalesTable', 'table'), ('Plan A.xlsx', 'In', 'B2:B9', 'cell'), ('rates.xlsx', '', 'FX', 'named_range'), ('data.xlsx', '', 'Financials', 'table')) u(file, sheet, target, ref_type)""")
+def formula_book_refs(t):
+    """References into other workbooks: a table's column, a link number, a name, a bare table."""
+    from collections.abc import Iterator
+
+    from ..operators import formula_refs as R
+
+    f = F.concat(F.lit("=SUM([Budget.xlsx]SalesTable[Amount])+[1]In!$B$2:B9+'[rates.xlsx]'!FX*"), F.col("c_custkey"), F.lit('&"[no.xlsx]S!A1"&[data.xlsx]Financials'))
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(k, *x[:3], x[4]) for k, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in R.external_refs(text, {1: "https://x/Plan%20A.xlsx?web=1"})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.string()) for k in range(5)], names=["c_custkey", "file", "sheet", "target", "ref_type"])
+
+    return t("customer").select("c_custkey", f.alias("f")).mapInArrow(run, "c_custkey long, file string, sheet string, target string, ref_type string")
 
 
 @query("""SELECT s_suppkey, coalesce(n_name, 'unknown') AS label, coalesce(r_name, '[' || s_nationkey || ']') AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey > 0""")
@@ -429,12 +484,13 @@ def unique_sheet_names(t):
     return p.select("p_partkey", F.concat(F.substring("p_name", 1, 31), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n"))).otherwise("")).alias("sheet"))
 
 
-@query("""SELECT event_type, user_id, dense_rank() OVER (ORDER BY pos, event_type) AS pos FROM (SELECT DISTINCT event_type, user_id, coalesce(nullif(list_position(['purchase', 'click'], event_type), 0), 99) AS pos FROM events)""")
+@query("""SELECT event_type, user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 99 END AS pos, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 99 END, event_type) AS place
+FROM (SELECT DISTINCT event_type, user_id FROM events)""")
 def fixed_category_order(t):
+    """Categories of each user: those of the fixed list first, then by name."""
     p = F.array_position(F.array(F.lit("purchase"), F.lit("click")), F.col("event_type"))
-    e = t("events").select("event_type", "user_id", F.when(p > 0, p).otherwise(99).alias("raw")).distinct()
-    kinds = e.select("event_type", "raw").distinct().withColumn("pos", F.dense_rank().over(Window.orderBy("raw", "event_type")))
-    return e.join(F.broadcast(kinds.select(F.col("event_type").alias("kind"), "pos")), F.col("event_type") == F.col("kind")).select("event_type", "user_id", F.col("pos").cast("long").alias("pos"))
+    e = t("events").select("event_type", "user_id", F.when(p > 0, p).otherwise(99).cast("int").alias("pos")).distinct()
+    return e.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("pos", "event_type")).cast("long"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
