@@ -40,11 +40,11 @@ def main(argv: list[str] | None = None) -> int:
         if a.list_sheets or not a.sheet:
             W.sheets(mine).orderBy("sheet_idx").show(1000, False)
             return 0
-        config = trace.TraceConfig.from_json(Path(a.config).read_text()) if a.config else trace.TraceConfig()
+        config = trace.TraceConfig.from_text(Path(a.config).read_text()) if a.config else trace.TraceConfig()
         found, none = trace.trace(mine, a.sheet, W.files(spark, a.upstream_dir).where(f"file NOT LIKE '%{Path(path).name}'"), config)
         found.write.mode("overwrite").parquet(str(out / f"{stem}_matches"))
         none.write.mode("overwrite").parquet(str(out / f"{stem}_unmatched"))
-        print(reports.trace_report(out / f"{stem}_trace.xlsx", config, found, none))
+        print(reports.trace_report(out / f"{stem}_trace.xlsx", config, found, none, model=Path(path).name))
     elif a.command == "levels":
         refs = trace.levels(mine.union(W.files(spark, a.upstream_dir)).dropDuplicates(["file"]), Path(path).name, int(a.max_level or 10))
         (out / f"{stem}_levels.mmd").write_text(trace.level_diagram(refs, "LR" if a.lr else "TD"))

@@ -139,35 +139,65 @@ def external_links(book: Book) -> Iterator[tuple]:
                 yield made(*path_kind(path), path, path, part, 0.95, link_index=int(m[1]), sheets=tabs)
 
 
-_SQL = re.compile(r'"((?:SELECT|INSERT|UPDATE|DELETE|EXEC)\s[^"]{8,})"', re.I)
+# What macro code says about its sources: (category, sub type, pattern, confidence, least length).
+# A sub type of None is read from the connection string or the path that was found.
 _VBA = (
-    ("database", None, re.compile(r'"((?:Provider|Driver|DSN|Data Source|Server)=[^"]{3,})"', re.I), 0.9),
-    ("file", "workbooks_open", re.compile(r'Workbooks\.Open\s*\(?\s*(?:Filename:=)?\s*"([^"]+)"', re.I), 0.9),
-    ("file", "text", re.compile(r'(?:Open|OpenTextFile|OpenText)\s*\(?\s*"([A-Za-z]:\\[^"]+|\\\\[^"]+)"', re.I), 0.85),
-    ("web", "xmlhttp_request", re.compile(r'\.Open\s*\(?\s*"(?:GET|POST|PUT)"\s*,\s*"([^"]+)"', re.I), 0.9),
-    ("web", "web_query", re.compile(r'QueryTables\.Add\s*\(?\s*"?URL;([^"]+)"', re.I), 0.85),
-    ("web", "url", re.compile(r'"(https?://[^"\s]{6,})"', re.I), 0.7),
-    ("file", "unc_path", re.compile(r'"(\\\\[\w.$-]+\\[^"]+)"'), 0.75),
-    ("file", "local_file", re.compile(r'"([A-Za-z]:\\[^"]{4,})"'), 0.75),
+    ("database", None, re.compile(r"""(?:ConnectionString|\.Open)\s*=?\s*\(?\s*"([^"]*=[^"]*)\"""", re.I), 0.85, 5),
+    ("vba", "sql", re.compile(r'"\s*((?:SELECT|INSERT|UPDATE|DELETE|EXEC(?:UTE)?)\b[^"]{5,500})"', re.I), 0.8, 15),
+    ("file", "workbooks_open", re.compile(r'Workbooks\.Open\s*\(?\s*(?:Filename:=)?\s*"([^"]+)"', re.I), 0.9, 1),
+    ("web", "xmlhttp_request", re.compile(r'\.Open\s*\(?\s*"(?:GET|POST|PUT|DELETE|PATCH)"\s*,\s*"([^"]+)"', re.I), 0.9, 1),
+    ("file", None, re.compile(r'GetObject\s*\(\s*"([^"]+)"', re.I), 0.85, 3),
+    ("file", "text", re.compile(r'(?:\bOpen|OpenTextFile|OpenText)\s*\(?\s*(?:Filename:=)?"([A-Za-z]:\\[^"]+|\\\\[^"]+)"', re.I), 0.85, 5),
+    ("web", "web_query", re.compile(r'QueryTables\.Add\s*\(?[^"\n]*"URL;([^"]+)"', re.I), 0.85, 5),
+    ("file", "local_file", re.compile(r"[A-Za-z]:\\(?:[^\"'\n\\/:*?<>|]+\\)*[^\"'\n\\/:*?<>|]*\.(?:xlsx?|xlsm|xlsb|csv|txt|mdb|accdb)", re.I), 0.85, 5),
+    ("file", "unc_path", re.compile(r"\\\\[\w.$-]+\\[^\s\"'\n]+"), 0.8, 5),
+    ("web", "url", re.compile(r"https?://[^\s\"'<>)]+", re.I), 0.75, 10),
 )
+_ADODB, _XMLHTTP = re.compile(r"ADODB\.Connection", re.I), re.compile(r"(?:MSXML2|Microsoft)\.(?:Server)?XMLHTTP|WinHttp\.WinHttpRequest", re.I)
+_SETTING = re.compile(r"\b(Provider|Data Source|Server|Initial Catalog|Database|DSN)\s*=\s*([^;\"'\n]+)", re.I)
+
+
+def macro_sources(code: str, module: str) -> Iterator[tuple]:
+    """Sources that macro code names, each once for a pattern, with the line that it stands on.
+
+    Where a database object is made without a whole connection string, its parts are put together.
+    """
+    whole = False
+    for category, kind, pattern, sure, least in _VBA:
+        if kind == "xmlhttp_request" and not _XMLHTTP.search(code):
+            continue
+        seen = set()
+        for m in pattern.finditer(code):
+            raw = (m[1] if m.groups() else m[0]).strip()
+            raw = raw.rstrip(".,;)") if kind in ("url", "unc_path", "xmlhttp_request") else raw
+            if len(raw) < least or raw in seen:
+                continue
+            seen.add(raw)
+            where = f"{module}:{code.count(chr(10), 0, m.start()) + 1}"
+            if category == "database":
+                whole = True
+                sub, label = describe(raw)
+                yield made(category, sub, label, raw, where, sure, has_adodb=bool(_ADODB.search(code)))
+            elif kind is None:
+                cat, sub = ("web", "url") if re.match(r"https?://", raw, re.I) else ("file", "unc_path" if raw.startswith("\\\\") else "local_file")
+                yield made(cat, sub, raw, raw, where, sure, via="GetObject")
+            elif kind == "sql":
+                yield made(category, kind, f"SQL in {module}", raw, where, sure, raw)
+            else:
+                yield made(category, kind, raw[:100], raw, where, sure)
+    if not whole and _ADODB.search(code):
+        parts = {m[1].lower(): m[2].strip() for m in _SETTING.finditer(code)}
+        if parts:
+            raw = "; ".join(f"{k}={v}" for k, v in parts.items())
+            sub, label = describe(raw)
+            yield made("database", sub, label, raw, module, 0.7, components=parts)
 
 
 def macros(book: Book) -> Iterator[tuple]:
     """Text patterns in the raw bytes of the macro project; compressed streams stay opaque."""
     data = book.raw("xl/vbaProject.bin")
-    code = data.decode("latin-1") if data else ""
-    seen = set()
-    line = lambda m: code.count("\n", 0, m.start()) + 1
-    for m in _SQL.finditer(code):
-        if len(m[1]) >= 15 and m[1] not in seen:
-            seen.add(m[1])
-            yield made("vba", "sql", m[1][:60], m[1], f"xl/vbaProject.bin:{line(m)}", 0.85, m[1])
-    for category, kind, pattern, sure in _VBA:
-        for m in pattern.finditer(code):
-            if (category, m[1]) not in seen:
-                seen.add((category, m[1]))
-                sub, label = describe(m[1]) if kind is None else (kind, m[1])
-                yield made(category, sub, label, m[1], f"xl/vbaProject.bin:{line(m)}", sure)
+    if data:
+        yield from macro_sources(data.decode("latin-1"), "xl/vbaProject.bin")
 
 
 def _sheet_of(book: Book, part: str, kind: str) -> str:

@@ -26,3 +26,13 @@ def headers(cells: DataFrame, sheet: str, start_col: str, end_col: str) -> DataF
     wanted = cells.sparkSession.range(a, z + 1).select(F.col("id").cast("int").alias("want"))
     text = cells.where((F.col("sheet") == sheet) & (F.col("row") == 1)).select("col", F.coalesce("text_value", F.col("num_value").cast("string")).alias("header"))
     return wanted.join(text, F.col("want") == F.col("col"), "left").select(F.col("want").alias("col"), "header").orderBy("col")
+
+
+def list_sheets(books: DataFrame) -> DataFrame:
+    """(file, sheet_idx, sheet) in workbook order."""
+    return W.sheets(books).select("file", "sheet_idx", "sheet").orderBy("file", "sheet_idx")
+
+
+def named_ranges(books: DataFrame) -> DataFrame:
+    """(file, name, value, scope, hidden): all defined names, those of one sheet with that sheet."""
+    return W.names(books).select("file", "name", "value", "scope", "hidden")

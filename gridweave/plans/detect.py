@@ -55,6 +55,16 @@ def hardcoded_vectors(books: DataFrame, min_len: int = 3) -> DataFrame:
     return vectors(W.hardcoded(W.cells(books)), min_len)
 
 
+def sheet_vectors(books: DataFrame, min_len: int = 3) -> DataFrame:
+    """(file, sheet_idx, sheet, vectors): every sheet, those without vectors with an empty list."""
+    v = hardcoded_vectors(books, min_len)
+    row = F.struct("direction", "cell_range", "length", F.slice("values", 1, 5).alias("samples"))
+    lists = v.groupBy(F.col("file").alias("v_file"), F.col("sheet").alias("v_sheet")).agg(F.array_sort(F.collect_list(row)).alias("found"))
+    all_sheets = W.sheets(books).select("file", "sheet_idx", "sheet")
+    met = all_sheets.join(lists, (F.col("file") == F.col("v_file")) & (F.col("sheet") == F.col("v_sheet")), "left")
+    return met.select("file", "sheet_idx", "sheet", F.coalesce("found", F.array().cast(lists.schema["found"].dataType)).alias("vectors"))
+
+
 def vectors(cells: DataFrame, min_len: int = 3) -> DataFrame:
     """Column and row runs of numbers: file, sheet, direction, start, length, values, range."""
     from ..functions import refs

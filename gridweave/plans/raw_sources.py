@@ -5,22 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import extractors as E
 from ..operators import formula_refs as R
+from ..operators.graph import cut
 from ..operators.tables import first_wins
 from ..sources import workbook as W
 from .detect import connections
-from .trace import TraceConfig, external_refs, levels, trace
+from .trace import TraceConfig, base_name, external_refs, file_listing, resolved_files, trace
 
 SKIPPED = ("input", "metadata", "hardcoded")
 
 
+def file_refs(books: DataFrame, model: str, sheets: list[str], max_level: int = 5) -> DataFrame:
+    """Level-numbered references from file to file: level 1 from the given sheets of the model
+    (all, if none are given), the next levels from all sheets of each file found, once a file."""
+    listing = cut(file_listing(books))
+    direct = cut(external_refs(books).drop("chain"))
+    name = lambda c: F.lower(base_name(c))
+    now = direct.where(name("file") == model.lower())
+    now = now.where(F.col("sheet").isin(*sheets)) if sheets else now
+    seen = listing.sparkSession.createDataFrame([(model.lower(),)], "seen string")
+    key = ["file", "sheet", "cell", F.lower("target_file").alias("k_file"), F.lower("target_sheet").alias("k_sheet"), F.upper("target").alias("k_target")]
+    out = None
+    for level in range(1, max_level + 1):
+        placed = resolved_files(now, listing).withColumn("level", F.lit(level)).select("*", *key[3:])
+        placed = cut(placed.dropDuplicates(["file", "sheet", "cell", "k_file", "k_sheet", "k_target"]).drop("k_file", "k_sheet", "k_target"))
+        out = placed if out is None else out.unionByName(placed)
+        fresh = cut(placed.where("found").select("resolved_path", name("target_file").alias("seen")).distinct().join(seen, "seen", "left_anti"))
+        if level == max_level or fresh.isEmpty():
+            break
+        seen = cut(seen.union(fresh.select("seen")).distinct())
+        now = direct.join(fresh.select("resolved_path").distinct(), F.col("file") == F.col("resolved_path"), "left_semi")
+    return out
+
+
+def source_files(refs: DataFrame, model: str) -> DataFrame:
+    """(file_name, path, level): the model, and each file found with its first level."""
+    name = F.lower(base_name("target_file"))
+    found = refs.where("found").groupBy(name.alias("key")).agg(F.min(F.struct("level", base_name("target_file").alias("file_name"), F.col("resolved_path").alias("path"))).alias("x"))
+    own = refs.sparkSession.createDataFrame([(model, None, 0)], "file_name string, path string, level int")
+    return own.unionByName(found.where(F.col("key") != model.lower()).select("x.file_name", "x.path", "x.level"))
+
+
 def missing_files(refs: DataFrame) -> DataFrame:
-    """Files that are referred to but not there: first level, first referrer, sheets, cells."""
+    """Files that are referred to but not there: first level and referrer, the sheets that are
+    asked of them, and at most ten of the cells that ask."""
     gone = refs.where("NOT found")
     return gone.groupBy(F.lower("target_file").alias("missing")).agg(
-        F.min("level").alias("first_level"), F.min_by("file", F.struct("level", "file")).alias("first_referrer"), F.array_sort(F.collect_set("sheet")).alias("sheets"),
-        F.slice(F.array_sort(F.collect_set(F.concat("sheet", F.lit("!"), "cell"))), 1, 10).alias("cells"),
+        F.min("level").alias("first_level"), F.min_by(base_name("file"), F.struct("level", "file")).alias("first_referrer"), F.array_sort(F.collect_set(F.nullif("target_sheet", F.lit("")))).alias("sheets"),
+        F.slice(F.array_sort(F.collect_set(F.concat("sheet", F.lit("!"), "cell"))), 1, 10).alias("cells"), F.countDistinct("file", "sheet", "cell").alias("n_cells"),
     )
 
 
@@ -38,9 +72,9 @@ def rtd_calls(books: DataFrame) -> DataFrame:
 
 def phantom_links(books: DataFrame) -> DataFrame:
     """Registered external links that no formula uses."""
-    used = external_refs(books).select("file", F.lower("target_file").alias("used"))
-    name = F.lower(F.element_at(F.split("target", r"[\\/]"), -1))
-    return W.links(books).withColumn("link_file", name).join(used.drop("file"), F.col("link_file") == F.col("used"), "left_anti")
+    used = external_refs(books).select(F.col("file").alias("user"), F.lower("target_file").alias("used"))
+    rows = W.links(books).withColumn("link_file", F.lower(text.file_name(F.col("target"))))
+    return rows.join(used, (F.col("file") == F.col("user")) & (F.col("link_file") == F.col("used")), "left_anti")
 
 
 def part_refs(books: DataFrame) -> DataFrame:
@@ -67,9 +101,9 @@ def binary_workbooks(spark, folder: str, refs: DataFrame) -> DataFrame:
 
 def vector_context(found: DataFrame, books: DataFrame) -> DataFrame:
     """Vectors with the header in row 1 of their column and the label in column 1 of their row."""
-    text = W.cells(books).where(F.col("text_value").isNotNull()).select("file", "sheet", "row", "col", "text_value")
-    head = text.where("row = 1").select("file", "sheet", F.col("col").alias("c1"), F.col("text_value").alias("header"))
-    side = text.where("col = 1").select("file", "sheet", F.col("row").alias("r1"), F.col("text_value").alias("label"))
+    words = W.cells(books).where(F.col("text_value").isNotNull()).select("file", "sheet", "row", "col", "text_value")
+    head = words.where("row = 1").select("file", "sheet", F.col("col").alias("c1"), F.col("text_value").alias("header"))
+    side = words.where("col = 1").select("file", "sheet", F.col("row").alias("r1"), F.col("text_value").alias("label"))
     return found.join(head, ["file", "sheet", "c1"], "left").join(side, ["file", "sheet", "r1"], "left")
 
 
@@ -83,10 +117,9 @@ def required_inputs(refs: DataFrame, found: DataFrame) -> DataFrame:
 def detect_sources(books: DataFrame, model: str, sheets: list[str], max_level: int = 5, config: TraceConfig = TraceConfig(approximate=False, min_similarity=0.85)) -> dict[str, DataFrame]:
     """All tables of the raw-source report by name; ``model`` is the model's file name."""
     own = F.lower(F.element_at(F.split("file", "/"), -1)) == model.lower()
-    refs = levels(books, model, max_level)
-    refs = refs.where((F.col("level") > 1) | F.col("sheet").isin(*sheets)) if sheets else refs
+    refs = file_refs(books, model, sheets, max_level)
     mine, rest = books.where(own), books.where(~own)
-    out = {"formula_refs": refs, "missing_files": missing_files(refs), "connections": connections(books)}
+    out = {"formula_refs": refs, "source_files": source_files(refs, model), "missing_files": missing_files(refs), "connections": connections(books)}
     parts = [trace(mine, s, rest, config) for s in sheets]
     for k, (m, u) in enumerate(parts):
         out["matched"] = m if k == 0 else out["matched"].unionByName(m)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.tables import first_wins
+from ..sources import workbook as W
 from ..sources import writer
 from .trace import TraceConfig
 
@@ -43,10 +44,10 @@ def _rows(df: DataFrame, order: list[str]) -> tuple[list[str], list[list]]:
     return plain.columns, [list(r) for r in plain.orderBy(*[c for c in order if c in plain.columns]).collect()]
 
 
-def trace_report(path: str | Path, config: TraceConfig, matches: DataFrame, unmatched: DataFrame, refs: DataFrame | None = None) -> Path:
+def trace_report(path: str | Path, config: TraceConfig, matches: DataFrame, unmatched: DataFrame, refs: DataFrame | None = None, model: str = "") -> Path:
     """Config, Upstream Sources, Tracing Results, and a sheet for each level."""
     summary = trace_summary(matches, unmatched)
-    tabs: dict = {"Config": (["setting", "value"], [[k, str(v)] for k, v in (asdict(config) | summary).items()])}
+    tabs: dict = {"Config": (["setting", "value"], [[k, str(v)] for k, v in ({"model_file": model} | asdict(config) | summary).items()])}
     tabs["Upstream Sources"] = _rows(upstream_sources(matches, refs), ["source"])
     results = matches.unionByName(unmatched.select(F.col("file").alias("model_file"), F.col("sheet").alias("model_sheet"), F.col("cell_range").alias("model_cell_range"), F.lit("unmatched").alias("match_type")), allowMissingColumns=True)
     tabs["Tracing Results"] = _rows(results, ["model_sheet", "model_cell_range", "rank"])
@@ -57,6 +58,26 @@ def trace_report(path: str | Path, config: TraceConfig, matches: DataFrame, unma
     return writer.write_report(path, tabs)
 
 
+def read_levels(report: DataFrame) -> DataFrame:
+    """The references on the ``Level N`` sheets of trace reports, by their header row, as
+    ``level_diagram`` takes them."""
+    level = F.regexp_extract("sheet", r"^Level (\d+)$", 1).try_cast("int")
+    grid = W.cells(report).where("sheet RLIKE '^Level [0-9]+$'").select("file", level.alias("level"), "row", "col", F.coalesce("text_value", F.col("num_value").cast("string")).alias("v"))
+    head = grid.where("row = 1").select(F.col("file").alias("h_file"), F.col("level").alias("h_level"), F.col("col").alias("h_col"), F.col("v").alias("title"))
+    cells = grid.where("row > 1").join(head, (F.col("file") == F.col("h_file")) & (F.col("level") == F.col("h_level")) & (F.col("col") == F.col("h_col")))
+    cols = ("file", "sheet", "cell", "target_file", "target_sheet", "target", "found")
+    wide = cells.groupBy(F.col("file").alias("report"), "level", "row").pivot("title", list(cols)).agg(F.first("v"))
+    text_of = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return wide.where("file IS NOT NULL").select("report", "level", *[text_of(c) for c in cols[:-1]], F.lower("found").isin("true", "yes", "1").alias("found"))
+
+
+def report_model(report: DataFrame) -> DataFrame:
+    """(report, model): the model's name on the Config sheet of trace reports."""
+    c = W.cells(report, ["Config"]).select("file", "row", "col", "text_value")
+    key = c.where("col = 1 AND text_value = 'model_file'").select("file", "row")
+    return key.join(c.where("col = 2").withColumnRenamed("text_value", "model"), ["file", "row"]).select(F.col("file").alias("report"), "model")
+
+
 def sources_summary(tables: dict[str, DataFrame]) -> dict[str, int]:
     refs = tables["formula_refs"].agg(
         F.count("*").alias("formula_refs"), F.countDistinct(F.lower("target_file")).alias("files"), F.countDistinct(F.when(F.col("found"), F.lower("target_file"))).alias("files_found"), F.max("level").alias("levels")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import refs as X
 from ..operators import formula_refs as R
 from ..operators import vectors as V
 from ..operators.graph import cut
+from ..sources import settings
 from ..sources import workbook as W
 from .detect import vectors
 
@@ -28,12 +30,11 @@ class TraceConfig:
     min_length: int = 3
 
     @classmethod
-    def from_json(cls, text: str) -> TraceConfig:
-        """Settings by name at the top or in ``matching`` and ``performance``; others are ignored."""
-        import json
-
-        got = json.loads(text)
-        flat = got | got.get("matching", {}) | got.get("performance", {})
+    def from_text(cls, text: str) -> TraceConfig:
+        """Settings in JSON or YAML by name, at the top or in ``matching`` and ``performance``;
+        others are ignored."""
+        got = settings.read(text)
+        flat = got | (got.get("matching") or {}) | (got.get("performance") or {})
         return cls(**{k: flat[k] for k in asdict(cls()) if k in flat})
 
 
@@ -64,9 +65,7 @@ def match(model: DataFrame, upstream: DataFrame, config: TraceConfig = TraceConf
         exact = exact.unionByName(near.withColumn("match_type", F.lit("approximate")).select(*cols))
     name = lambda d, p: d.select(F.col("vid").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("file", "sheet", "direction", "cell_range", "r1", "c1", "length")])
     rows = exact.join(name(m, "model"), "model_id").join(name(u, "up"), "up_id").withColumn("similarity", F.bround("similarity", 6))
-    from ..functions import refs
-
-    part = refs.sub_range(F.col("up_direction"), F.col("up_r1"), F.col("up_c1"), F.col("offset"), F.least("model_length", "up_length"))
+    part = X.sub_range(F.col("up_direction"), F.col("up_r1"), F.col("up_c1"), F.col("offset"), F.least("model_length", "up_length"))
     rows = rows.withColumn("matched_range", F.when(F.col("up_length") > F.col("model_length"), part).otherwise(F.col("up_cell_range")))
     order = [F.col("match_type") == "approximate", F.desc("similarity"), F.col("up_file"), F.col("up_sheet"), F.col("up_cell_range"), F.col("offset")]
     ranked = cut(V.rank_matches(rows, "model_id", order))
@@ -100,34 +99,90 @@ def external_refs(books: DataFrame, walk: bool = False) -> DataFrame:
     return W.each(books, REFS, rows)
 
 
+def base_name(path: str | Column) -> Column:
+    return F.element_at(F.split(path, r"[\\/]"), -1)
+
+
+def file_listing(books: DataFrame) -> DataFrame:
+    """(file, folder): the workbooks that references may lead to."""
+    return books.select("file").distinct().withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+
+
+def resolved_files(refs: DataFrame, listing: DataFrame) -> DataFrame:
+    """``refs`` with ``found`` and ``resolved_path``: a file of that name in the upper folder, else
+    one in it whose name differs in case only, else one in a folder below; only the last part of
+    the reference's path counts. The upper folder is the shortest one."""
+    top = F.min(F.struct(F.length("folder"), "folder"))["folder"]
+    upper = listing.agg(top.alias("top")).first()["top"]
+    places = listing.select(F.lower(base_name("file")).alias("place_name"), base_name("file").alias("exact_name"), "file", (F.col("folder") != F.lit(upper or "")).alias("below"))
+    names = refs.select(base_name("target_file").alias("asked")).distinct()
+    phase = F.when(~F.col("below") & (F.col("asked") == F.col("exact_name")), 0).when(~F.col("below"), 1).otherwise(2)
+    hits = names.join(places, F.lower("asked") == F.col("place_name")).groupBy("asked").agg(F.min(F.struct(phase.alias("phase"), "file")).alias("hit"))
+    hits = hits.select(F.col("asked").alias("hit_name"), F.col("hit.file").alias("resolved_path"))
+    return refs.drop("found", "resolved_path").join(hits, base_name("target_file") == F.col("hit_name"), "left").drop("hit_name").withColumn("found", F.col("resolved_path").isNotNull())
+
+
+def resolved_names(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """References by name with what the name stands for in the file that was found: one that leads
+    to another workbook, else the name of the sheet that qualifies it, else that of the workbook,
+    else the first of other sheets, else a table; ``name_kind`` is null if there is none."""
+    t = targets.select(F.col("file").alias("t_file"), F.col("name").alias("t_name"), "seq", "kind", "scope", F.col("sheet").alias("t_sheet"), "cell_range", "other_file")
+    asked = refs.where("found AND ref_type <> 'cell'").select("resolved_path", "target", "target_sheet").distinct()
+    scoped = (F.col("target_sheet") != "") & (F.lower("scope") == F.lower("target_sheet"))
+    order = F.when(F.col("kind") == "external", 0).when(F.col("kind") == "table", 4).when(scoped, 1).when(F.col("scope").isNull(), 2).otherwise(3)
+    met = asked.join(t, (F.col("resolved_path") == F.col("t_file")) & (F.lower("target") == F.col("t_name")))
+    best = met.groupBy("resolved_path", "target", "target_sheet").agg(F.min(F.struct(order.alias("pos"), "seq", "kind", "t_sheet", "cell_range", "other_file")).alias("b"))
+    best = best.select(F.col("resolved_path").alias("n_path"), F.col("target").alias("n_target"), F.col("target_sheet").alias("n_sheet"), F.col("b.kind").alias("name_kind"), F.col("b.t_sheet").alias("name_sheet"), F.col("b.cell_range").alias("name_range"), F.col("b.other_file").alias("name_file"))
+    same = (F.col("resolved_path") == F.col("n_path")) & (F.col("target") == F.col("n_target")) & (F.col("target_sheet") == F.col("n_sheet")) & (F.col("ref_type") != "cell")
+    return refs.join(best, same, "left").drop("n_path", "n_target", "n_sheet")
+
+
 def levels(books: DataFrame, model: str, max_level: int = 10) -> DataFrame:
     """Level-numbered external references: level 1 is all of the model's own, the next level
     those cells of each found file that the level before referred to, with their precedents.
 
-    One join per level; a file is entered once, by lower-case name. Cells are filtered by the
-    rectangles referred to; references by name or table take the whole file.
+    A file is entered once, by lower-case name. Cells are filtered by the rectangles referred to.
+    A name or table stands for its rectangle; one that leads to yet another workbook gives a
+    reference of the next level; a file with a name that cannot be resolved, or with no rectangle
+    at all, is scanned whole, for direct references only.
     """
-    from ..functions import refs as X
-
-    base = lambda c: F.lower(F.element_at(F.split(c, r"[\\/]"), -1))
-    direct = cut(external_refs(books).withColumn("name", base("file")))
-    deep = cut(external_refs(books, walk=True).withColumn("name", base("file")))
-    present = cut(books.select(base("file").alias("present")).distinct())
-    now = direct.where(F.col("name") == model.lower())
-    done = [model.lower()]
+    listing, targets = cut(file_listing(books)), cut(W.name_targets(books))
+    direct = cut(external_refs(books))
+    deep = cut(external_refs(books, walk=True))
+    name = lambda c: F.lower(base_name(c))
+    now = direct.where(name("file") == model.lower())
+    seen = listing.sparkSession.createDataFrame([(model.lower(),)], "seen string")
     out = None
     for level in range(1, max_level + 1):
-        now = cut(now.join(present, F.lower("target_file") == F.col("present"), "left").withColumn("found", F.col("present").isNotNull()).withColumn("level", F.lit(level)).drop("present"))
-        out = now if out is None else out.unionByName(now)
-        ask = now.where("found").select(F.lower("target_file").alias("to_file"), F.lower("target_sheet").alias("to_sheet"), "target", "ref_type").distinct().where(~F.col("to_file").isin(done))
-        nxt = [r[0] for r in ask.select("to_file").distinct().collect()]  # file names of one level
-        if not nxt:
+        placed = resolved_files(now, listing).withColumn("level", F.lit(level))
+        fresh = placed.join(seen, name("target_file") == F.col("seen"), "left").withColumn("fresh", F.col("seen").isNull()).drop("seen")
+        named = cut(resolved_names(fresh, targets))
+        far = F.concat("target", F.lit(" → ["), "name_file", F.lit("]"), "name_sheet", F.lit("!"), "name_range")
+        near = F.concat("target", F.lit(" → "), "name_range")
+        known = F.col("fresh") & F.col("name_kind").isNotNull()
+        shown = named.withColumn("shown", F.when(~known | (F.col("ref_type") == "cell"), F.col("target")).when(F.col("name_kind") == "external", far).when(F.col("name_kind") == "dynamic", F.concat("target", F.lit(" (dynamic)"))).otherwise(near))
+        shown = shown.withColumn("target_sheet", F.when(known & (F.col("ref_type") != "cell"), F.coalesce("name_sheet", F.lit(""))).otherwise(F.col("target_sheet")))
+        kind = F.when(known & (F.col("name_kind") == "table"), "table").when(known, "named_range").otherwise(F.col("ref_type"))
+        rows = shown.withColumn("ref_type", F.when(F.col("ref_type") == "cell", "cell").otherwise(kind)).drop("target", "fresh", "name_kind", "name_sheet", "name_range", "name_file").withColumnRenamed("shown", "target")
+        out = rows if out is None else out.unionByName(rows)
+        ask = cut(named.where("found AND fresh"))
+        if level == max_level or ask.isEmpty():
             break
-        box = ask.withColumn("box", X.rect(F.col("target")))
-        here = (F.lower("sheet") == F.col("to_sheet")) & X.contains(F.col("box"), X.ref_row(F.col("cell")), X.ref_col(F.col("cell")))
-        wanted = box.select("to_file", "to_sheet", "box", F.col("ref_type").alias("to_type"))
-        now = deep.join(wanted, (F.col("name") == F.col("to_file")) & ((F.col("to_type") != "cell") | here), "left_semi")
-        done += nxt
+        seen = cut(seen.union(ask.select(name("target_file"))).distinct())
+        by_cell = (F.col("ref_type") == "cell") | F.col("name_kind").isin("local", "table")
+        pick = lambda a, b: F.when(F.col("ref_type") == "cell", F.col(a)).otherwise(F.col(b))
+        boxes = ask.where(by_cell).select("resolved_path", F.lower(pick("target_sheet", "name_sheet")).alias("to_sheet"), X.rect(pick("target", "name_range")).alias("box")).distinct()
+        unsure = (F.col("ref_type") != "cell") & (F.col("name_kind").isNull() | (F.col("name_kind") == "dynamic"))
+        whole = ask.groupBy("resolved_path").agg(F.max(unsure).alias("unsure"), F.max(by_cell).alias("some")).where("unsure OR NOT some").select(F.col("resolved_path").alias("whole_path"))
+        inside = (F.lower("sheet") == F.col("to_sheet")) & X.contains(F.col("box"), X.ref_row(F.col("cell")), X.ref_col(F.col("cell")))
+        part = deep.join(whole, F.col("file") == F.col("whole_path"), "left_anti").join(boxes, (F.col("file") == F.col("resolved_path")) & inside, "left_semi")
+        entire = direct.join(whole, F.col("file") == F.col("whole_path"), "left_semi")
+        redirect = ask.where("name_kind = 'external'").select(
+            F.col("resolved_path").alias("file"), F.lit("").alias("sheet"), F.concat(F.lit("(definedName:"), "target", F.lit(")")).alias("cell"), F.concat(F.lit("definedName="), "target").alias("formula"), F.col("name_file").alias("target_file"),
+            F.coalesce("name_sheet", F.lit("")).alias("target_sheet"), F.col("name_range").alias("target"), F.col("name_file").alias("target_path"),
+            F.when(F.col("name_range").rlike(r"^\$?[A-Za-z]{1,3}\$?[0-9]+(:|$)"), "cell").otherwise("named_range").alias("ref_type"), F.array().cast(deep.schema["chain"].dataType).alias("chain"),
+        ).distinct()
+        now = part.unionByName(entire).unionByName(redirect)
     return out
 
 

@@ -25,6 +25,7 @@ SHEETS = "file string, sheet_idx int, sheet string, part string, hidden boolean"
 RELS = "file string, part string, rid string, target string, type string, mode string"
 PARTS = "file string, part string, size long"
 LINKS = "file string, link_idx int, target string, mode string"
+TARGETS = "file string, name string, seq int, kind string, scope string, sheet string, cell_range string, other_file string"
 _LETTERS = re.compile(r"^\$?([A-Za-z]{1,3})\$?([0-9]+)$")
 
 
@@ -150,6 +151,14 @@ class Book:
                 m = re.fullmatch(r"'?((?:[^'!\[]|'')+)'?!(\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?)", value)
                 yield el.get("name"), order[int(scope)] if scope and int(scope) < len(order) else None, value, m[1].replace("''", "'") if m else None, m[2].replace("$", "") if m else None, "(" in value, el.get("hidden") in ("1", "true")
 
+    def tables(self) -> Iterator[tuple[str, str, str]]:
+        """(name, sheet, range) of the tables on the sheets."""
+        for sheet, part, _ in self.sheets():
+            for target, kind, _ in self.rels(part).values():
+                root = self.xml(self.resolve(part, target)) if kind.endswith("/table") else None
+                if root is not None and root.get("ref"):
+                    yield root.get("displayName") or root.get("name", ""), sheet, root.get("ref")
+
     def link_targets(self) -> dict[int, tuple[str, str]]:
         """External link number to (target, mode)."""
         out = {}
@@ -215,6 +224,33 @@ def names(books: DataFrame) -> DataFrame:
     return each(books, NAMES, lambda file, b: ((file, *n) for n in b.defined_names()))
 
 
+def name_targets(books: DataFrame) -> DataFrame:
+    """What each defined name (built-in ones aside) and table stands for, in file order: kind is
+    ``external`` (with the other file), ``local``, ``dynamic`` (its value is a call) or ``table``."""
+    from ..operators.formula_refs import external_refs
+
+    def rows(file: str, book: Book):
+        links = {k: v[0] for k, v in book.link_targets().items()}
+        seq = 0
+        for name, scope, value, *_ in book.defined_names():
+            seq += 1
+            if name.startswith("_xlnm"):
+                continue
+            if "[" in value:
+                for other, sheet, target, *_ in external_refs(f"={value}", links)[:1]:
+                    yield file, name.lower(), seq, "external", scope, sheet, target, other
+            elif "!" in value:
+                sheet, _, rng = value.removeprefix("=").partition("!")
+                yield file, name.lower(), seq, "dynamic" if "(" in value else "local", scope, sheet.strip("'").replace("''", "'") if "(" not in sheet else None, rng.replace("$", ""), None
+            elif "(" in value:
+                yield file, name.lower(), seq, "dynamic", scope, None, value, None
+        for name, sheet, rng in book.tables():
+            seq += 1
+            yield file, name.lower(), seq, "table", None, sheet, rng.replace("$", ""), None
+
+    return each(books, TARGETS, rows)
+
+
 def parts(books: DataFrame) -> DataFrame:
     return each(books, PARTS, lambda file, b: ((file, i.filename, i.file_size) for i in b.zip.infolist()))
 

@@ -19,9 +19,10 @@ _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 
 
-def workbook_bytes(sheets: dict[str, Iterable[Iterable]], names: dict[str, str] | None = None, extra: dict[str, str] | None = None, sheet_tails: dict[str, str] | None = None) -> bytes:
+def workbook_bytes(sheets: dict[str, Iterable[Iterable]], names: dict[str, str] | list[tuple[str, str, int | None]] | None = None, extra: dict[str, str] | None = None, sheet_tails: dict[str, str] | None = None) -> bytes:
     """An .xlsx archive. Strings that begin with ``=`` are formulas, ``(formula, value)`` pairs
-    formulas with a stored value; ``extra`` adds parts, ``sheet_tails`` XML at a sheet's end."""
+    formulas with a stored value; ``names`` are values by name, or (name, value, place of the sheet
+    that it belongs to); ``extra`` adds parts, ``sheet_tails`` XML at a sheet's end."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         many = [*sheets]
@@ -29,7 +30,8 @@ def workbook_bytes(sheets: dict[str, Iterable[Iterable]], names: dict[str, str]
         z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{over}</Types>')
         z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_REL}"><Relationship Id="rId1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         listed = "".join(f'<sheet name="{html.escape(s)}" sheetId="{k}" r:id="rId{k}"/>' for k, s in enumerate(many, 1))
-        defined = "".join(f'<definedName name="{n}">{html.escape(v)}</definedName>' for n, v in (names or {}).items())
+        listed_names = [(n, v, None) for n, v in names.items()] if isinstance(names, dict) else names or []
+        defined = "".join(f'<definedName name="{n}"' + (f' localSheetId="{k}"' if k is not None else "") + f">{html.escape(v)}</definedName>" for n, v, k in listed_names)
         z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>{listed}</sheets>' + (f"<definedNames>{defined}</definedNames>" if defined else "") + "</workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_REL}">' + "".join(f'<Relationship Id="rId{k}" Type="{_DOC}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(many) + 1)) + "</Relationships>")
         for k, s in enumerate(many, 1):

@@ -50,7 +50,7 @@ def test_expand():
 
 def test_external_refs():
     got = R.external_refs("='C:\\d\\[src.xlsx]Sheet 1'!$B$2+[2]Data!C3+[1]!Rate", {1: "up.xlsx", 2: "http://x/y%20z.xlsx"})
-    assert [(g[0], g[1], g[2], g[4]) for g in got] == [("src.xlsx", "Sheet 1", "B2", "cell"), ("y%20z.xlsx", "Data", "C3", "cell"), ("up.xlsx", "", "Rate", "named_range")]
+    assert [(g[0], g[1], g[2], g[4]) for g in got] == [("src.xlsx", "Sheet 1", "B2", "cell"), ("y z.xlsx", "Data", "C3", "cell"), ("up.xlsx", "", "Rate", "named_range")]
     assert R.external_refs('="[no.xlsx]Sheet1!A1"', {}) == []
     assert R.external_refs("=[3]S!A1", {})[0][0] == "[ExternalLink3]"
 

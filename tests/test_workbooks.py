@@ -60,7 +60,7 @@ def test_connections(books, tmp_path):
     made = detect.report(one(books, "model.xlsx"), tmp_path, "model")
     assert [p.suffix for p in made] == [".json", ".xlsx", ".mmd"] and all(p.stat().st_size for p in made)
     sql = detect.connections(one(books, "model.xlsx")).where("sub_type = 'sql_server'").first()["parsed_query"]
-    assert sql["tables"] == ["t", "u"] and sql["columns"] == ["a", "b"] and sql["filter"] == "a = 1"
+    assert sql["tables"] == ["t", "u"] and sql["columns"] == ["a", "b", "x"] and sql["filter"] == "a = 1"
 
 
 def test_trace(books):
