@@ -29,4 +29,30 @@ def euclidean(model: np.ndarray, batch: np.ndarray, sigma: float) -> np.ndarray:
     return 1.0 / (1.0 + d / (max(sigma, 1e-15) * np.sqrt(len(model))))
 
 
+def _pearson_table(models: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    if models.shape[1] < 2:
+        return np.zeros((len(models), len(batch)))
+    m, b = models - models.mean(axis=1, keepdims=True), batch - batch.mean(axis=1, keepdims=True)
+    mm, bb = (m * m).sum(axis=1), (b * b).sum(axis=1)
+    norm = np.sqrt(mm[:, None] * bb[None])
+    out = np.where(norm > 1e-15, np.clip((m @ b.T) / np.where(norm > 1e-15, norm, 1.0), -1.0, 1.0), 0.0)
+    flat = np.flatnonzero(mm < 1e-30)
+    out[flat] = (bb[None] < 1e-30) & (np.abs(batch[None, :, 0] - models[flat, :1]) < 1e-10)
+    return out
+
+
+def _cosine_table(models: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((models * models).sum(axis=1)[:, None] * (batch * batch).sum(axis=1)[None])
+    return np.where(norm > 1e-15, np.clip((models @ batch.T) / np.where(norm > 1e-15, norm, 1.0), -1.0, 1.0), 0.0)
+
+
 KERNELS = {"pearson": pearson, "cosine": cosine, "euclidean": euclidean}
+_TABLES = {pearson: _pearson_table, cosine: _cosine_table}
+
+
+def table(kernel, models: np.ndarray, batch: np.ndarray, sigmas=None) -> np.ndarray:
+    """The similarities of all models and all vectors of a batch: one matrix product where the
+    kernel has that form, else a call for each model; ``sigmas`` has the spread for each model."""
+    if kernel in _TABLES:
+        return _TABLES[kernel](models, batch)
+    return np.array([kernel(m, batch) if sigmas is None else kernel(m, batch, s) for m, s in zip(models, sigmas if sigmas is not None else models, strict=True)]).reshape(len(models), len(batch))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.refs import overlaps
+
 #: Rows of a sheet that share a bin in overlap joins.
 BIN_ROWS = 4096
 
@@ -35,6 +37,17 @@ def overlapping(left: DataFrame, right: DataFrame, on: tuple[str, str], left_ran
     return ls.join(rs, cond).where(F.floor(F.greatest(a, lo) / bin_rows) == F.col("bin_l")).drop("bin_l", "bin_r")
 
 
+def overlapping_boxes(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], boxes: tuple[str, str], bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Pairs with equal keys whose rectangles (``struct(r1, c1, r2, c2)``) overlap, each once: by
+    equality on the keys and a bin of rows; a pair counts in the bin where its overlap begins."""
+    a, b = (F.col(c) for c in boxes)
+    bins = lambda box: F.explode(F.sequence(F.floor(box["r1"] / bin_rows), F.floor(box["r2"] / bin_rows)))
+    cond = (F.col("bin_l") == F.col("bin_r")) & overlaps(a, b) & (F.floor(F.greatest(a["r1"], b["r1"]) / bin_rows) == F.col("bin_l"))
+    for x, y in keys:
+        cond = cond & (F.col(x) == F.col(y))
+    return left.withColumn("bin_l", bins(a)).join(right.withColumn("bin_r", bins(b)), cond).drop("bin_l", "bin_r")
+
+
 def neighbourhood(grid: DataFrame, line: str, row: str, col: str, radius: int) -> DataFrame:
     """Pairs of cells of one sheet within ``radius`` rows and columns, by equality on row.
 

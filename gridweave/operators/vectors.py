@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 
 MIN_LENGTH = 3
+#: Places of a line that are looked through together, and numbers that a task holds in windows.
+RUN_BLOCK, WINDOW_CELLS = 4096, 1 << 22
 
 
-def runs(cells: DataFrame, lines: list[str], index: str, value: str, min_len: int = MIN_LENGTH) -> DataFrame:
+def runs(cells: DataFrame, lines: list[str], index: str, value: str, min_len: int = MIN_LENGTH, block: int = RUN_BLOCK) -> DataFrame:
     """Maximal runs of consecutive ``index`` along each line: first, last, length, values.
 
-    One shuffle: the window and the grouping below it share the lines' partitioning.
+    Runs are found within blocks of ``block`` places of a line, so a line is not one task however
+    long it is; the window and the grouping below it share one shuffle. Only runs that touch a
+    block's edge (two for each block at most) are then joined with their neighbours.
     """
-    w = Window.partitionBy(*lines).orderBy(index)
-    island = F.col(index) - F.row_number().over(w)
-    grouped = cells.where(F.col(value).isNotNull()).withColumn("island", island).groupBy(*lines, "island")
-    made = grouped.agg(
+    w = Window.partitionBy(*lines, "run_block").orderBy(index)
+    placed = cells.where(F.col(value).isNotNull()).withColumn("run_block", F.floor(F.col(index) / block))
+    grouped = placed.withColumn("island", F.col(index) - F.row_number().over(w)).groupBy(*lines, "run_block", "island")
+    part = grouped.agg(
         F.min(index).alias("first_idx"), F.max(index).alias("last_idx"), F.count("*").cast("int").alias("length"),
         F.transform(F.sort_array(F.collect_list(F.struct(index, value))), lambda s: s[value]).alias("values"),
-    )
-    return made.where(F.col("length") >= min_len).drop("island")
+    ).drop("run_block", "island")
+    at_edge = (F.pmod("first_idx", F.lit(block)) == 0) | (F.pmod("last_idx", F.lit(block)) == block - 1)
+    order = Window.partitionBy(*lines).orderBy("first_idx")
+    new = F.when(F.col("first_idx") == F.lag("last_idx").over(order) + 1, 0).otherwise(1)
+    edges = part.where(at_edge).withColumn("new", new).withColumn("chain", F.sum("new").over(order)).drop("new")
+    joined = edges.groupBy(*lines, "chain").agg(
+        F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), F.sum("length").cast("int").alias("length"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first_idx", "values"))), lambda s: s["values"])).alias("values"),
+    ).drop("chain")
+    return part.where(~at_edge).unionByName(joined).where(F.col("length") >= min_len)
 
 
 def whole_group_runs(cells: DataFrame, lines: list[str], index: str, min_len: int = MIN_LENGTH) -> DataFrame:
@@ -58,82 +68,121 @@ def contained_matches(model: DataFrame, upstream: DataFrame, key: str = "values"
     return m.join(at, "match_head").where(same).drop("match_head", "up_round", "model_round")
 
 
-def similar(model: DataFrame, upstream: DataFrame, id_col: str, vec_col: str, metric: str = "pearson", least: float = 0.8, shard_rows: int = 4096, model_rows: int = 1024) -> DataFrame:
-    """Pairs (model_id, up_id, similarity) of vectors of equal length from ``least`` on.
+def _dealt(model: DataFrame, upstream: DataFrame, partners, shard_rows: int, model_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, vec) as rows of a pair of lengths, an upstream shard and a model block.
 
-    Upstream vectors are dealt to shards of about ``shard_rows`` by a hash of their id, model
-    vectors in blocks of about ``model_rows`` to every shard of their length; a shard and a block
-    are one batched kernel call, so no task holds more than the two.
+    ``partners`` gives the upstream lengths for a model length. Upstream vectors are dealt to
+    shards of about ``shard_rows`` by a hash of their id, model vectors to blocks of about
+    ``model_rows``, and each shard meets each block of a fitting length once.
     """
-    kernel = kernels.KERNELS.get(metric, kernels.pearson)
-    size = F.size(vec_col)
-    up = upstream.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), size.alias("len"))
-    mod = model.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), size.alias("len"))
     total = lambda f: F.aggregate("vec", F.lit(0.0), lambda a, x: a + f(x))
-    sizes = up.groupBy("len").agg(F.count("*").alias("rows"), F.sum(total(lambda x: x)).alias("s1"), F.sum(total(lambda x: x * x)).alias("s2"))
-    sizes = sizes.select(F.col("len").alias("l"), F.ceil(F.col("rows") / shard_rows).alias("shards"), "rows", "s1", "s2")
-    blocks = mod.groupBy("len").count().select(F.col("len").alias("bl"), F.ceil(F.col("count") / model_rows).alias("blocks"))
-    # Lengths and their counts: a row for each length that occurs.
-    up = up.join(sizes, F.col("len") == F.col("l")).join(blocks, F.col("len") == F.col("bl"))
-    up = up.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    up = up.select("len", F.pmod(F.xxhash64("id"), "shards").alias("shard"), "block", "id", "vec")
-    mod = mod.join(sizes, F.col("len") == F.col("l")).join(blocks, F.col("len") == F.col("bl"))
-    mod = mod.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    mod = mod.select(F.col("len").alias("m_len"), F.col("shard").alias("m_shard"), F.pmod(F.xxhash64("id"), "blocks").alias("m_block"), F.col("id").alias("m_id"), F.col("vec").alias("m_vec"), "rows", "s1", "s2")
+    sizes = upstream.groupBy(F.size("vec").alias("u_len")).agg(F.count("*").alias("rows"), F.sum(total(lambda x: x)).alias("s1"), F.sum(total(lambda x: x * x)).alias("s2"))
+    sizes = sizes.withColumn("shards", F.ceil(F.col("rows") / shard_rows))
+    blocks = model.groupBy(F.size("vec").alias("m_len")).agg(F.ceil(F.count("*") / model_rows).alias("blocks"))
+    # A row for each pair of lengths that occurs.
+    pairs = blocks.withColumn("p_len", F.explode(partners(F.col("m_len")))).join(sizes, F.col("p_len") == F.col("u_len")).drop("p_len")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    up = upstream.withColumn("n", F.size("vec")).join(pairs, F.col("n") == F.col("u_len")).withColumn("block", every("blocks"))
+    mod = model.withColumn("n", F.size("vec")).join(pairs, F.col("n") == F.col("m_len")).withColumn("shard", every("shards"))
+    key = ["m_len", "u_len", "shard", "block"]
+    mod = mod.withColumn("block", deal("blocks")).select(*[F.col(c).alias(f"m_{c}") for c in key], "id", "vec", "rows", "s1", "s2")
+    return up.withColumn("shard", deal("shards")).select(*[F.col(c).alias(f"u_{c}") for c in key], "id", "vec"), mod
+
+
+def _matrix(table, columns: int):
+    """The vectors of an Arrow table as a matrix, without a step through Python lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = table.column("vec").combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return np.asarray(flat.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(table.num_rows, columns)
+
+
+def _compared(model: DataFrame, upstream: DataFrame, partners, id_col: str, vec_col: str, metric: str, least: float, shard_rows: int, model_rows: int) -> DataFrame:
+    kernel = kernels.KERNELS.get(metric, kernels.pearson)
+    vec = F.transform(vec_col, lambda x: x.cast("double")).alias("vec")
+    side = lambda d: d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec)
+    up, mod = _dealt(side(model), side(upstream), partners, shard_rows, model_rows)
+
+    def spread(short, wins):
+        import numpy as np
+
+        return float(np.std(np.concatenate([short, wins.ravel()])))
 
     def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        ids, ups, sims = [], [], []
-        if left.num_rows and right.num_rows:
-            names = left.column("id").to_pylist()
-            batch = np.array(left.column("vec").to_pylist(), float).reshape(len(names), -1)
-            for mid, vec, n, s1, s2 in zip(*(right.column(c).to_pylist() for c in ("m_id", "m_vec", "rows", "s1", "s2")), strict=True):
-                v = np.array(vec, float)
-                if kernel is kernels.euclidean:
-                    count = (n + 1) * max(1, len(v))
-                    mean = (s1 + v.sum()) / count
-                    sim = kernel(v, batch, float(np.sqrt(max(0.0, (s2 + v @ v) / count - mean * mean))))
+        out = pa.schema([("model_id", pa.int64()), ("up_id", pa.int64()), ("offset", pa.int32()), ("similarity", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        m_len, u_len = right.column("m_m_len")[0].as_py(), right.column("m_u_len")[0].as_py()
+        u, m = _matrix(left, u_len), _matrix(right, m_len)
+        u_ids, m_ids = np.asarray(left.column("id").to_pylist()), np.asarray(right.column("id").to_pylist())
+        ids, ups, offsets, sims = [], [], [], []
+
+        def keep(rows, best, at):
+            i, j = np.nonzero(best >= least)
+            ids.append(m_ids[rows][i]), ups.append(u_ids[j]), offsets.append(at[i, j]), sims.append(best[i, j])
+
+        if m_len == u_len:
+            sigmas = None
+            if kernel is kernels.euclidean:
+                n, s1, s2 = (np.asarray(right.column(c).to_pylist(), float) for c in ("rows", "s1", "s2"))
+                count = (n + 1) * max(1, m_len)
+                mean = (s1 + m.sum(axis=1)) / count
+                sigmas = np.sqrt(np.maximum(0.0, (s2 + (m * m).sum(axis=1)) / count - mean * mean))
+            best = kernels.table(kernel, m, u, sigmas)
+            keep(slice(None), best, np.zeros(best.shape, np.int32))
+        else:
+            n_win = abs(m_len - u_len) + 1
+            step = max(1, WINDOW_CELLS // (n_win * min(m_len, u_len) + n_win * len(u)))
+            for at in range(0, len(m), step):
+                part = m[at : at + step]
+                if u_len > m_len:
+                    wins = np.lib.stride_tricks.sliding_window_view(u, m_len, axis=1)
+                    if kernel is kernels.euclidean:
+                        sim = np.array([[kernel(v, w, spread(v, w)) for w in wins] for v in part])
+                    else:
+                        sim = kernels.table(kernel, part, wins.reshape(-1, m_len)).reshape(len(part), len(u), n_win)
                 else:
-                    sim = kernel(v, batch)
-                for k in np.flatnonzero(sim >= least):
-                    ids.append(mid), ups.append(names[k]), sims.append(float(sim[k]))
-        return pa.table({"model_id": pa.array(ids, pa.int64()), "up_id": pa.array(ups, pa.int64()), "similarity": pa.array(sims, pa.float64())})
+                    wins = np.lib.stride_tricks.sliding_window_view(part, u_len, axis=1)
+                    if kernel is kernels.euclidean:
+                        sim = np.array([[kernel(v, w, spread(v, w)) for v in u] for w in wins])
+                    else:
+                        sim = kernels.table(kernel, wins.reshape(-1, u_len), u).reshape(len(part), n_win, len(u)).transpose(0, 2, 1)
+                # Of windows that are equal but for the last digits the first one counts.
+                place = np.round(sim, 12).argmax(axis=2)
+                keep(slice(at, at + step), np.take_along_axis(sim, place[..., None], 2)[..., 0], place.astype(np.int32))
+        cols = [pa.array(np.concatenate(x), f.type) for x, f in zip((ids, ups, offsets, sims), out, strict=True)]
+        return pa.Table.from_arrays(cols, schema=out)
 
-    return up.groupBy("len", "shard", "block").cogroup(mod.groupBy("m_len", "m_shard", "m_block")).applyInArrow(run, "model_id long, up_id long, similarity double")
+    key = ["m_len", "u_len", "shard", "block"]
+    return up.groupBy(*[f"u_{c}" for c in key]).cogroup(mod.groupBy(*[f"m_{c}" for c in key])).applyInArrow(run, "model_id long, up_id long, offset int, similarity double")
 
 
-def best_window(model: DataFrame, upstream: DataFrame, metric: str = "pearson", least: float = 0.8, tolerance: float = 0.5, min_len: int = MIN_LENGTH, id_col: str = "vid", vec_col: str = "values") -> DataFrame:
+def similar(model: DataFrame, upstream: DataFrame, id_col: str, vec_col: str, metric: str = "pearson", least: float = 0.8, shard_rows: int = 4096, model_rows: int = 1024) -> DataFrame:
+    """Pairs (model_id, up_id, similarity) of vectors of equal length from ``least`` on: one matrix
+    product for each shard of upstream vectors and block of model vectors."""
+    return _compared(model, upstream, F.array, id_col, vec_col, metric, least, shard_rows, model_rows).drop("offset")
+
+
+def best_window(model: DataFrame, upstream: DataFrame, metric: str = "pearson", least: float = 0.8, tolerance: float = 0.5, min_len: int = MIN_LENGTH, id_col: str = "vid", vec_col: str = "values", shard_rows: int = 1024, model_rows: int = 1024) -> DataFrame:
     """Model vectors against upstream ones of another length within the tolerance.
 
-    The shorter one slides over the longer; the first best window counts. Lengths are joined by
-    equality on exploded bounds, so pairs outside the tolerance never meet.
+    The shorter one slides over the longer; the first best window counts. All windows of a shard
+    are compared with a block of the other side by matrix products. The Euclidean spread is that
+    of one pair's windows.
     """
-    m = model.select(F.col(id_col).alias("model_id"), F.col(vec_col).alias("m"), F.size(vec_col).alias("m_len"))
-    bounds = F.sequence(F.greatest(F.lit(min_len), F.floor(F.col("m_len") * (1 - tolerance)).cast("int")), F.greatest(F.lit(min_len), (F.floor(F.col("m_len") * (1 + tolerance)) * 2).cast("int")))
-    m = m.withColumn("u_len", F.explode(bounds)).where("u_len <> m_len")
-    u = upstream.select(F.col(id_col).alias("up_id"), F.col(vec_col).alias("u"), F.size(vec_col).alias("u_len"))
-    kernel = kernels.KERNELS.get(metric, kernels.pearson)
 
-    def run(batches: Iterator):
-        import numpy as np
-        import pyarrow as pa
+    def partners(n: Column) -> Column:
+        low = F.greatest(F.lit(min_len), F.floor(n * (1 - tolerance)).cast("int"))
+        high = F.greatest(low, (F.floor(n * (1 + tolerance)) * 2).cast("int"))
+        return F.filter(F.sequence(low, high), lambda x: x != n)
 
-        for batch in batches:
-            out = ([], [], [], [])
-            for mid, uid, a, b in zip(*(batch.column(c).to_pylist() for c in ("model_id", "up_id", "m", "u")), strict=True):
-                a, b = np.array(a, float), np.array(b, float)
-                short, long = (a, b) if len(a) < len(b) else (b, a)
-                wins = np.lib.stride_tricks.sliding_window_view(long, len(short))
-                sim = kernel(short, wins, float(np.std(np.concatenate([short, wins.ravel()])))) if kernel is kernels.euclidean else kernel(short, wins)
-                k = int(np.argmax(sim))
-                if sim[k] >= least:
-                    for x, y in zip(out, (mid, uid, k, float(sim[k])), strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64())], names=["model_id", "up_id", "offset", "similarity"])
-
-    return m.join(u, "u_len").select("model_id", "up_id", "m", "u").mapInArrow(run, "model_id long, up_id long, offset int, similarity double")
+    return _compared(model, upstream, partners, id_col, vec_col, metric, least, shard_rows, model_rows)
 
 
 def rank_matches(matches: DataFrame, model: str, order: list[Column], top: int | None = None, alias: str = "rank") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import formulas as FX
 from ..functions import refs, text
 from ..operators import formula_refs as R
 from ..operators.graph import cut, depth_levels
-from ..operators.tables import first_wins
+from ..operators.tables import first_wins, overlapping_boxes
 from ..operators.vectors import whole_group_runs
 from ..sources import workbook as W
 from ..sources import writer
@@ -49,7 +49,9 @@ def transformations(books: DataFrame, found: DataFrame) -> DataFrame:
     found = cut(found)
     cells = W.formulas(W.cells(books)).select("file", "sheet", "row", "col", "ref", "formula")
     v = found.where("source_type = 'formula'").select("file", "sheet", "variable_id", "business_name", refs.rect(F.col("cell_range")).alias("box"))
-    inside = cells.join(v, ["file", "sheet"]).where(refs.contains(F.col("box"), F.col("row"), F.col("col")))
+    at = F.struct(F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2"))
+    v = v.withColumnsRenamed({"file": "v_file", "sheet": "v_sheet"})
+    inside = overlapping_boxes(cells.withColumn("at", at), v, [("file", "v_file"), ("sheet", "v_sheet")], ("at", "box"))
     first = cut(first_wins(inside.select("variable_id", "business_name", "file", "sheet", "row", "col", "formula"), ["variable_id"], ["row", "col"]))
     names = found.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("sheet", F.lit("!"), "cell_range"), "business_name"))).alias("names"))
 
@@ -70,8 +72,8 @@ def transformations(books: DataFrame, found: DataFrame) -> DataFrame:
 def dependency_edges(steps: DataFrame, found: DataFrame) -> DataFrame:
     """(src, dst): the variables whose cells a transformation reads, by overlap on one sheet."""
     r = steps.select("file", F.col("variable_id").alias("dst"), F.explode("reads").alias("r")).select("file", "dst", F.col("r.sheet").alias("sheet"), refs.rect(F.col("r.cell_range")).alias("a"))
-    v = found.select("file", "sheet", F.col("variable_id").alias("src"), refs.rect(F.col("cell_range")).alias("b"))
-    return r.join(v, ["file", "sheet"]).where(refs.overlaps(F.col("a"), F.col("b")) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    v = found.select(F.col("file").alias("v_file"), F.col("sheet").alias("v_sheet"), F.col("variable_id").alias("src"), refs.rect(F.col("cell_range")).alias("b"))
+    return overlapping_boxes(r, v, [("file", "v_file"), ("sheet", "v_sheet")], ("a", "b")).where("src <> dst").select("src", "dst").distinct()
 
 
 def contract(books: DataFrame, output_sheets: list[str]) -> dict[str, DataFrame]:
@@ -82,9 +84,9 @@ def contract(books: DataFrame, output_sheets: list[str]) -> dict[str, DataFrame]
 
 def link_upstream(found: DataFrame, matches: DataFrame) -> DataFrame:
     """Variables with the last overlapping match of their place."""
-    m = matches.select(F.col("model_sheet").alias("sheet"), refs.rect(F.col("model_cell_range")).alias("a"), "up_file", "up_sheet", "matched_range", "match_type", "rank")
+    m = matches.select(F.col("model_sheet").alias("m_sheet"), refs.rect(F.col("model_cell_range")).alias("a"), "up_file", "up_sheet", "matched_range", "match_type", "rank")
     v = found.withColumn("b", refs.rect(F.col("cell_range")))
-    hit = v.join(m, "sheet").where(refs.overlaps(F.col("a"), F.col("b")))
+    hit = overlapping_boxes(v, m, [("sheet", "m_sheet")], ("b", "a"))
     best = hit.groupBy("variable_id").agg(F.max_by(F.struct("up_file", "up_sheet", "matched_range", "match_type"), F.struct("rank", "up_file", "up_sheet", "matched_range")).alias("upstream"))
     return found.join(best, "variable_id", "left")
 

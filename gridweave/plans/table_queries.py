@@ -29,6 +29,17 @@ def range_overlap(t):
     return T.overlapping(a, b, ("suppkey", "b_supp"), ("a_lo", "a_hi"), ("b_lo", "b_hi"), 64).drop("b_supp")
 
 
+@query("""WITH s AS (SELECT l_suppkey, l_returnflag, min(l_partkey) AS r1, least(max(l_partkey), min(l_partkey) + 300) AS r2, min(l_quantity) AS c1, least(max(l_quantity), min(l_quantity) + 15) AS c2 FROM lineitem GROUP BY 1, 2)
+SELECT a.l_suppkey AS suppkey, a.l_returnflag AS a_flag, b.l_returnflag AS b_flag FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 WHERE a.l_returnflag < b.l_returnflag""")
+def range_overlap_2d(t):
+    """Rectangles of one sheet that overlap in rows and columns."""
+    g = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min("l_partkey").alias("r1"), F.least(F.max("l_partkey"), F.min("l_partkey") + 300).alias("r2"), F.min("l_quantity").alias("c1"), F.least(F.max("l_quantity"), F.min("l_quantity") + 15).alias("c2"))
+    box = F.struct("r1", "c1", "r2", "c2")
+    a = g.select(F.col("l_suppkey").alias("suppkey"), F.col("l_returnflag").alias("a_flag"), box.alias("a"))
+    b = g.select(F.col("l_suppkey").alias("b_supp"), F.col("l_returnflag").alias("b_flag"), box.alias("b"))
+    return T.overlapping_boxes(a, b, [("suppkey", "b_supp")], ("a", "b"), 64).where("a_flag < b_flag").select("suppkey", "a_flag", "b_flag")
+
+
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1""")
 def dedup_first_wins(t):
     return T.first_wins(t("events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])

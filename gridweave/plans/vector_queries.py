@@ -161,12 +161,36 @@ def length_bounded_join(t):
     return m.join(lens, "up_len").groupBy(F.col("l_orderkey").alias("model_key"), F.col("first_idx").alias("model_first")).agg(F.count("*").alias("n_partners"))
 
 
-@query(None)
+@query(_HALVES + """, m AS (SELECT l_orderkey AS mk, first_idx AS mf, values AS a, length AS n FROM runs WHERE l_returnflag = 'A' AND length >= 4), u AS (SELECT l_orderkey AS uk, first_idx AS uf, values AS b, length AS l FROM runs WHERE l_returnflag = 'R' AND length >= 3)
+, p AS (SELECT *, unnest(range(abs(n - l) + 1)) AS o FROM m JOIN u ON l <> n AND l BETWEEN greatest(3, floor(n * 0.5)) AND floor(n * 1.5) * 2)
+, w AS (SELECT mk, mf, uk, uf, o, CASE WHEN l > n THEN a ELSE a[o + 1 : o + l] END AS x, CASE WHEN l > n THEN b[o + 1 : o + n] ELSE b END AS y FROM p)
+, d AS (SELECT mk, mf, uk, uf, o, x[1] AS x1, y[1] AS y1, list_transform(x, lambda v: v - list_avg(x)) AS x, list_transform(y, lambda v: v - list_avg(y)) AS y FROM w)
+, q AS (SELECT *, list_inner_product(x, x) AS xx, list_inner_product(y, y) AS yy FROM d)
+, s AS (SELECT mk, mf, uk, uf, o, CASE WHEN xx < 1e-30 THEN CASE WHEN yy < 1e-30 AND x1 = y1 THEN 1.0 ELSE 0.0 END WHEN yy < 1e-30 THEN 0.0 ELSE list_inner_product(x, y) / sqrt(xx * yy) END AS sim FROM q)
+SELECT mk AS model_key, mf AS model_first, uk AS up_key, uf AS up_first, CAST(arg_min(o, (-round(sim, 9), o)) AS INTEGER) AS "offset", round(max(sim), 6) AS similarity FROM s GROUP BY 1, 2, 3, 4 HAVING max(sim) >= 0.95""")
 def best_window(t):
-    """Runs of orders with returns against runs of other lengths (a kernel has no SQL form)."""
-    a = half_runs(t, "A").where("length >= 4").select(F.xxhash64("l_orderkey", "first_idx").alias("vid"), "values")
-    r = half_runs(t, "R").where("length >= 3").select(F.xxhash64("l_orderkey", "first_idx").alias("vid"), "values")
-    return V.best_window(a, r, least=0.95)
+    """Runs of orders with returns against runs of other lengths."""
+    named = lambda flag, n: half_runs(t, flag).where(F.col("length") >= n).withColumn("vid", F.xxhash64("l_orderkey", "first_idx"))
+    a, r = named("A", 4), named("R", 3)
+    found = V.best_window(a, r, least=0.95)
+    m = a.select(F.col("vid").alias("model_id"), F.col("l_orderkey").alias("model_key"), F.col("first_idx").alias("model_first"))
+    u = r.select(F.col("vid").alias("up_id"), F.col("l_orderkey").alias("up_key"), F.col("first_idx").alias("up_first"))
+    return found.join(m, "model_id").join(u, "up_id").select("model_key", "model_first", "up_key", "up_first", "offset", F.round("similarity", 6).alias("similarity"))
+
+
+# Series of events by user, of one length each: 91 against 3,196 vectors where there are as many.
+_SERIES = """WITH e AS (SELECT event_id // 12 AS vid, event_id % 12 AS i, value FROM events), v AS (SELECT vid, list(value ORDER BY i) AS a FROM e GROUP BY 1 HAVING count(*) = 12)
+, p AS (SELECT m.vid AS model_id, u.vid AS up_id, list_transform(m.a, lambda x: x - list_avg(m.a)) AS x, list_transform(u.a, lambda x: x - list_avg(u.a)) AS y FROM v m JOIN v u ON m.vid < 91 AND u.vid >= 91 AND u.vid < 91 + 3196)"""
+
+
+@query(_SERIES + " SELECT model_id, up_id, round(sim, 6) AS similarity FROM (SELECT model_id, up_id, list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) AS sim FROM p) WHERE sim >= 0.8")
+def series_trace(t):
+    """91 model vectors against 3,196 upstream ones: exact partners first, then similar ones."""
+    e = t("events").select(F.floor(F.col("event_id") / 12).alias("vid"), (F.col("event_id") % 12).alias("i"), "value")
+    v = e.groupBy("vid").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("values")).where("n = 12")
+    m, u = v.where("vid < 91"), v.where("vid >= 91 AND vid < 91 + 3196")
+    s = V.similar(m, u, "vid", "values")
+    return s.select("model_id", "up_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(_ROWS + """, g5 AS (SELECT length, list(l_orderkey ORDER BY l_orderkey) AS ks FROM runs GROUP BY 1)
