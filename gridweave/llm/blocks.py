@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, shuffle_width
+from .common import cut, shuffle_width, tidied, tidy
 
 BLOCK_BYTES = 4 << 20
 #: Tasks of an exchange at most; beyond as many buckets a task takes several, one after another.
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None
         if ids:
             yield flush()
 
-    return cut(rows.mapInArrow(run, SCHEMA))
+    return cut(rows.mapInArrow(tidied(run), SCHEMA))
 
 
 def squeeze(values) -> bytes:
@@ -155,7 +155,7 @@ def key_bits(raw_bytes: int) -> int:
     return min(63, max(32, raw_bytes.bit_length() + 8))
 
 
-def buckets_for(spark, raw_bytes: int, bytes_per_bucket: int = 12 << 20) -> int:
+def buckets_for(spark, raw_bytes: int, bytes_per_bucket: int = 8 << 20) -> int:
     return max(shuffle_width(spark), -(-raw_bytes // bytes_per_bucket))
 
 
@@ -178,7 +178,7 @@ def by_bucket(rows: DataFrame, buckets: int, run: Callable, schema: str) -> Data
     """``run`` over the rows of each ``bucket`` from 0 to ``buckets``, one bucket at a time: a task
     has one bucket, or a range of them where there are more than ``MOST_TASKS``."""
     if buckets <= MOST_TASKS:
-        return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, schema)
+        return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(tidied(run), schema)
 
     def each(batches: Iterator):
         def parts():
@@ -194,7 +194,7 @@ def by_bucket(rows: DataFrame, buckets: int, run: Callable, schema: str) -> Data
 
     first = ["bucket", *[c for c in rows.columns if c != "bucket"]]
     dealt = rows.select(*first).repartitionById(MOST_TASKS, F.floor(F.col("bucket").cast("long") * MOST_TASKS / F.lit(buckets)).cast("int"))
-    return dealt.sortWithinPartitions("bucket").mapInArrow(each, schema)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(tidied(each), schema)
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -206,6 +206,7 @@ def with_replies(blocks: DataFrame, replies: DataFrame, run: Callable, schema: s
 
         # One row: a block's number is unique.
         found = [*run(next(rows_of(left.to_batches()[0])), [r for b in right.to_batches() for r in rows_of(b)])] if left.num_rows else []
+        tidy()
         return pa.Table.from_batches(found) if found else nothing
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)

@@ -19,8 +19,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 LONG_WORD = 96
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: The vocabulary is shipped to the workers; it is a fixed file, whose size is checked.
 MOST_VOCABULARY_BYTES = 32 << 20
 _NONE = 1 << 62
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def encode_into(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
@@ -209,7 +211,7 @@ def encode_into(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id
             ids, _ = _arrays(batch.column(at).to_pylist(), bpe)
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -228,4 +230,4 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
             texts = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
+    return encoded.mapInArrow(tidied(run), T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``; only where that is
-    unset (unit tests on one machine) a folder of our own."""
+    """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``. Where it is unset a folder
+    of this machine will do only if all of Spark runs in one process; elsewhere that is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridweave-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -28,6 +32,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that an idle worker does not hold on to the peak of
+    its last block or bucket. Without effect where the C library has no such call."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over batches that ends with ``tidy``."""
+
+    def inner(batches):
+        yield from run(batches)
+        tidy()
+
+    return inner
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; a null id counts as crc 0."""
     crc = F.crc32(id_col.cast("string").cast("binary"))

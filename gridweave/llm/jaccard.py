@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import cut
+from .common import cut, tidied
 from .components import components, join_edges
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -180,7 +180,7 @@ def local_sets(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = (
             names=["doc_id", "n", "digest", "toks", "key", "block", "row"],
         )
 
-    sent = packed.mapInArrow(send, "bucket int, block long, keys binary, n binary")
+    sent = packed.mapInArrow(tidied(send), "bucket int, block long, keys binary, n binary")
     replies = B.by_bucket(sent, buckets, total, "bucket int, block long, codes binary")
     return packed, cut(B.with_replies(packed, replies, settle, _LOCAL))
 
@@ -373,7 +373,7 @@ def _groups(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = dealt.union(guests.select("lead", F.xxhash64("s_key", "shard")))
     sets = reps.select(F.col("rep").alias("t_rep"), "n", "toks")
     met = placed.join(sets, F.col("rep") == F.col("t_rep")).select("grp", "rep", "n", "toks")
-    return dealt, cut(met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_make_groups, "grp long, u long, v long, union binary, members binary"))
+    return dealt, cut(met.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidied(_make_groups), "grp long, u long, v long, union binary, members binary"))
 
 
 def _asks(reps: DataFrame, dealt: DataFrame, label: DataFrame) -> DataFrame:
@@ -406,10 +406,10 @@ def _between(reps: DataFrame, groups: DataFrame, asks: DataFrame) -> DataFrame:
     unions = stored.select("grp", "union").join(shape, F.col("grp") == F.col("s_grp"))
     unions = unions.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *nobody, F.col("union").alias("toks"))
     by_group = lambda x: x.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("rep").asc_nulls_first())
-    qualified = cut(by_group(unions.unionByName(queries)).mapInArrow(_qualify, "grp long, part int, rep long, n int, cells binary"))
+    qualified = cut(by_group(unions.unionByName(queries)).mapInArrow(tidied(_qualify), "grp long, part int, rep long, n int, cells binary"))
     opened = qualified.select(F.col("grp").alias("o_grp"), "part").distinct()
     members = stored.select("grp", "members").join(opened, F.col("grp") == F.col("o_grp")).select("grp", "part", *nobody, F.col("members").alias("cells"))
-    return by_group(members.unionByName(qualified)).mapInArrow(_open, "u long, v long")
+    return by_group(members.unionByName(qualified)).mapInArrow(tidied(_open), "u long, v long")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, tidied
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 SAMPLE_WINDOWS, WINDOWS_PER_TEXT, MOST_LANGS = 16_000, 4, 256
@@ -194,4 +194,4 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {kind}, lang_pred string, score double")

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import cut, shuffle_width
+from .common import cut, shuffle_width, tidied
 
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # 26 bytes may stand before an anchor in its windows
 _CHUNK, _PLACE = 1 << 18, (1 << 20) - 1
 BLOCK_BYTES, SAMPLE_BLOCKS = 2 << 20, 48
-BUCKET_KEYS, LOOK_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 150_000, 12_000, 24, 1_000_000
+BUCKET_KEYS, LOOK_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 100_000, 12_000, 24, 1_000_000
 KEY, WORDS, WINDOW_WORDS = 80, 10, 7
 
 
@@ -460,7 +460,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
         runs = runs.astype(np.int32)
         return words[order[first]], ids[order[first]], runs[order[first]], runs[order[twin]], runs[order[lead[twin]]]
 
-    grams = packed.mapInArrow(send, "bucket int, block long, keys binary, many binary")
+    grams = packed.mapInArrow(tidied(send), "bucket int, block long, keys binary, many binary")
     good = cut(B.by_bucket(grams, buckets, shared, "bucket int, block long, good binary, n long"))
 
     # Splitters from the keys of a hashed sample of blocks; one block in ``every``.

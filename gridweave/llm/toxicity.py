@@ -22,6 +22,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SAMPLE_DOCS = 8_000
 LEAST_DOCS, LEAST_TOXIC, MOST_WORDS, LEAST_Z = 5, 2, 1_000, 4.0
 STEM, STEM_GAIN, DROPOUT = 4, 1.5, 0.5
@@ -162,7 +164,7 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in made], pa.float64()), pa.array(spans, kind)], names=[id_col, "score", "sentences"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, sentences array<struct<start:long,end:long,score:double>>")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {kind}, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
 def reject(docs: DataFrame, model: NoisyOr, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -175,4 +177,4 @@ def reject(docs: DataFrame, model: NoisyOr, text_col: str = "text", threshold: f
         for batch in batches:
             yield batch.filter(pa.array([model.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
