@@ -93,6 +93,8 @@ def test_language(spark):
     out = langid.predict(odd, model).collect()
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
     assert {r["doc_id"] for r in out if r["lang_pred"] == "und"} == {1, 2, 7}
+    signs = spark.createDataFrame([(1, "½ ² ① 12 _"), (2, "½ é"), (3, "漢")], "doc_id long, text string")
+    assert {r["doc_id"] for r in langid.predict(signs, model).collect() if r["lang_pred"] == "und"} == {1}
 
 
 def test_language_empty(spark):
@@ -170,9 +172,11 @@ def test_multikey_sort():
     assert head.sum() == len({x[:4] for x in want})
 
 
-def test_boundary_least():
-    edges = [(0, b"a", b"c", 5, 7, False), (1, b"c", b"c", 9, 9, True), (2, b"c", b"d", 4, 1, False), (4, b"d", b"e", 3, 3, False)]
-    assert suffix.boundary_least(edges) == {1: 7, 4: 1}
+def test_carried_buckets(spark):
+    edges = [(0, b"a", b"c", 5, 7), (1, b"c", b"c", 9, 9), (2, b"c", b"d", 4, 1), (3, b"e", b"e", 8, 8), (4, b"d", b"e", 3, 3)]
+    wide = lambda x: x.ljust(suffix.WINDOW_WORDS * 8, b"\0")
+    rows = spark.createDataFrame([(b, wide(x) + wide(y), i, n) for b, x, y, i, n in edges], "bucket int, keys binary, block long, n long")
+    assert {r["bucket"] for r in suffix.carried_buckets(rows).collect()} == {1, 4}
 
 
 # --- language model ------------------------------------------------------------------------
@@ -221,11 +225,70 @@ def test_lm_awkward(spark):
     assert lm.score(empty(spark), F.lit(True)).count() == 0
 
 
-def test_lm_is_normalised():
-    model = lm.LogBilinear(np.arange(lm.CLASSES))
-    t = np.arange(lm.CLASSES)
-    p = model.log_prob(np.full(lm.CLASSES, 3), np.full(lm.CLASSES, lm.START), t)
-    assert abs(np.exp(p).sum() - 1) < 1e-4
+def plain_scores(rows, learn, model, top, texts):
+    """The model's log10 probability of each text, token by token in plain Python."""
+    number = {w: i for i, w in enumerate(top)}
+    cls = lambda w: number.get(w, lm.tail_class(w))
+    count = Counter(w for i, t in rows if learn(i) for w in lm.tokens_of((t or "").encode()))
+    tails, once = Counter(), Counter()
+    for w, c in count.items():
+        if w not in number:
+            tails[cls(w)] += c
+            once[cls(w)] += c == 1
+    unseen = lambda c: min((once[c] + 0.5) / (tails[c] + 1.0), 0.9) if tails[c] else 1.0
+
+    def dist(a, b):
+        s = (model.r[a] @ model.c[0] + model.r[b] @ model.c[1]) @ model.q.T + model.b
+        e = np.exp(s.astype(float) - s.max())
+        return e / e.sum()
+
+    def prob(w, p):
+        if w is None:
+            return p[lm.END]
+        if w in number:
+            return p[number[w]]
+        if count[w]:
+            return p[cls(w)] * (1 - unseen(cls(w))) * count[w] / tails[cls(w)]
+        return sum(p[c] * unseen(c) for c in range(lm.TOP, lm.END))
+
+    out = []
+    for t in texts:
+        a = b = lm.START
+        total = 0.0
+        for w in [*lm.tokens_of((t or "").encode()), None]:
+            total += math.log10(prob(w, dist(a, b)))
+            a, b = b, lm.END if w is None else cls(w)
+        out.append(total)
+    p = dist(3, lm.START)
+    return out, sum(prob(w, p) for w in [*count, None, b"\xff not a word"])
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_lm_scores_by_hand(spark, monkeypatch, many):
+    """Scores against the plain version; and all known tokens and one unknown add up to 1, with
+    fewer words than places for frequent ones and with more."""
+    monkeypatch.setattr(lm, "STEPS", 6)
+    rng = random.Random(11)
+    rows = [(i, text_of(rng, rng.randint(0, 12)) + "".join(f" odd{i}x{k}" for k in range(15 if many else i % 3))) for i in range(60)] + [(60, None)]
+    learn = lambda i: i % 4 != 1
+    made = []
+    kind = lm.LogBilinear
+
+    class Kept(kind):
+        def __init__(self, *a, **b):
+            super().__init__(*a, **b)
+            made.append(self)
+
+    monkeypatch.setattr(lm, "LogBilinear", Kept)
+    words = Counter(w for i, t in rows if learn(i) for w in lm.tokens_of((t or "").encode()))
+    assert (len(words) > lm.TOP) == many
+    number = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))][: lm.TOP]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(lm.score(df, F.col("doc_id") % 4 != 1))
+    want, total = plain_scores(rows, learn, made[-1], number, [t for _, t in rows])
+    assert abs(total - 1) < 1e-4
+    for (i, _), w in zip(rows, want, strict=True):
+        assert abs(got[i]["score"] - w) < 1e-3 * max(1, abs(w))
 
 
 def test_lm_counts_every_context(spark, monkeypatch):
@@ -282,17 +345,60 @@ def test_mixing_meets_targets(spark):
     for r in got:
         assert r["rate"] >= 0 and abs(sum(r["posterior"]) - 1) < 1e-9
         total += r["rate"] * r["n_tokens"] * np.array(r["posterior"])
-    assert abs(total[1] / total.sum() - 0.95) < 0.01
+    assert abs(total[1] / total.sum() - 0.95) < 1e-3
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["n_tokens"] == len((texts[r["doc_id"]] or "").encode().split()) for r in got)
     want = {r["doc_id"]: r["n_copies"] for r in got}
     assert Counter(r["doc_id"] for r in mixing.resample(docs, labels).collect()) == {i: n for i, n in want.items() if n}
 
 
+@needs_tables
+def test_mixing_held_out(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learn = labels.where(~F.col("doc_id").isin([i for i in truth if held(i)]))
+    model = mixing.train_domains(docs, learn)
+    rows = [(r["text"], truth[r["doc_id"]]) for r in docs.collect() if held(r["doc_id"]) and truth.get(r["doc_id"]) is not None]
+    _, p = model.posteriors([t for t, _ in rows])
+    right = [(q > 0.5) == (y == 1) for q, (_, y) in zip(p[:, 1], rows, strict=True)]
+    assert np.mean(right) > 0.95
+    assert np.mean([ok for ok, (_, y) in zip(right, rows, strict=True) if y == 1]) > 0.98
+
+
+def plain_rates(n, p, want, steps=50_000):
+    """Projected gradient descent with a small fixed step on the whole problem."""
+    r = np.ones(len(n))
+    a = n[:, None] * p
+    rate = 1 / (np.linalg.norm(a, 2) ** 2)
+    for _ in range(steps):
+        r = np.maximum(0, r - rate * a @ (r @ a - want))
+    return r @ a
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 0.2, "b": 0.2, "c": 0.6}, {"a": 1.0, "b": 0.0, "c": 0.0}])
+def test_mixing_fits_overlapping_domains(spark, targets):
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 50, 300), rng.dirichlet([0.6, 0.6, 0.6], 300)
+    rows = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(300)] + [(None, 0, [1.0, 0.0, 0.0])], "doc long, n long, posterior array<double>")
+    mixer = mixing.fit_rates(rows, mixing.Mixer(["a", "b", "c"]), targets, "a")
+    want, got = np.array([*mixer.wanted.values()]), np.array([*mixer.reached.values()])
+    assert np.allclose(mixer.rates(n, p) @ (n[:, None] * p), got)
+    best = plain_rates(n.astype(float), p, want)
+    assert np.linalg.norm(got - want) <= np.linalg.norm(best - want) * 3 + 2e-4 * want.max()
+
+
 def test_mixing_awkward(spark):
     odd, rows = awkward(spark)
     labels = spark.createDataFrame([(None, 1), (3, None), (99, 1)], "doc_id long, quality int")
     out = mixing.resample(odd, labels)
     assert out.columns == odd.columns and out.count() == len(rows)
-    assert mixing.mix(empty(spark), labels).count() == 0
+    assert mixing.mix(empty(spark), labels).count() == 0 and mixing.resample(empty(spark), labels).count() == 0
+    two = spark.createDataFrame([(3, 1), (5, 0), (6, 1)], "doc_id long, quality int")
+    got = [r for r in mixing.mix(odd, two).collect()]
+    assert len(got) == len(rows) and all(r["rate"] == 1.0 and r["n_copies"] == 1 for r in got if r["n_tokens"] == 0)
+    assert all(abs(sum(r["posterior"]) - 1) < 1e-9 for r in got) and sum(r["doc_id"] is None for r in got) == 2
 
 
 # --- toxicity ------------------------------------------------------------------------------
