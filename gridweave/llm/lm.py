@@ -7,9 +7,11 @@ mixed by one matrix per position and multiplied with the classes' output vectors
 depends on the training texts only through how often each class follows each two: these counts
 are taken over all tokens of all training documents, whatever their lengths, and merged into
 shards of contexts. Each step of Adam sums the exact gradient over all shards. Scores come from
-batched matrix products that are normalised over all classes. Within a tail class a word
-has its share of the class's training tokens; one more, unseen word has the Good-Turing share.
-So the model is normalised over the V known tokens and one unknown.
+batched matrix products that are normalised over all classes that can occur. Within a tail class
+the known words have their shares of the class's training tokens, less the Good-Turing share of
+words not seen yet. What the tail classes leave for such words, added up, is the probability of
+the one unknown token, which every word outside the training texts counts as. So the model is
+normalised over the V known tokens and one unknown.
 
 There are at most (CLASSES + 1)^2 contexts, so a step costs the same beyond some corpus size.
 Token counts are exact and over all training documents, too (see ``blocks``).
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import cut
+from .common import cut, tidied
 
 TOP, TAILS, DIM = 448, 63, 24
 STEPS, RATE, CHUNK = 40, 0.1, 1024
@@ -72,17 +74,16 @@ def count_tokens(packed: DataFrame, buckets: int) -> DataFrame:
                 train, other, ends = Counter(), set(), int((blk.flags == 1).sum())
                 for flag, text in zip(blk.flags, blk.texts(), strict=True):
                     train.update(tokens_of(text)) if flag == 1 else other.update(tokens_of(text))
-                parts: list[list[bytes]] = [[] for _ in range(buckets)]
+                parts: dict[int, list[bytes]] = {0: []}
                 for w in {*train, *other}:
-                    parts[_bucket(w, buckets)].append(w)
+                    parts.setdefault(_bucket(w, buckets), []).append(w)
                 out = {"bucket": [], "block": [], "words": [], "counts": [], "ends": []}
                 pack = zstandard.ZstdCompressor(level=1).compress
-                for b, words in enumerate(parts):
-                    if words or b == 0:
-                        words.sort()
-                        out["bucket"].append(b), out["block"].append(blk.block), out["ends"].append(ends if b == 0 else 0)
-                        out["words"].append(pack(b"\n".join(words)))
-                        out["counts"].append(B.squeeze(np.array([train[w] for w in words], np.int64)))
+                for b, words in parts.items():
+                    words.sort()
+                    out["bucket"].append(b), out["block"].append(blk.block), out["ends"].append(ends if b == 0 else 0)
+                    out["words"].append(pack(b"\n".join(words)))
+                    out["counts"].append(B.squeeze(np.array([train[w] for w in words], np.int64)))
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("ends", pa.int64())]))
 
     def total(batches: Iterator):
@@ -120,7 +121,7 @@ def count_tokens(packed: DataFrame, buckets: int) -> DataFrame:
         n = len(best)
         yield pa.RecordBatch.from_pydict({"kind": [2] * n, "bucket": [bucket] * n, "block": [0] * n, "word": [w for w, _ in best], "counts": [b""] * n, "n": [c for _, c in best], "sums": [None] * n}, fields)
 
-    sent = packed.mapInArrow(send, "bucket int, block long, words binary, counts binary, ends long")
+    sent = packed.mapInArrow(tidied(send), "bucket int, block long, words binary, counts binary, ends long")
     return cut(B.by_bucket(sent, buckets, total, "kind int, bucket int, block long, word binary, counts binary, n long, sums array<long>"))
 
 
@@ -203,7 +204,7 @@ def count_cells(packed: DataFrame, number: dict[bytes, int], shards: int) -> Dat
             k, n = add_up(keys, counts)
             yield pa.RecordBatch.from_pydict({"cells": [B.squeeze_sorted(k.astype(np.uint64))], "counts": [B.squeeze(n)]}, pa.schema([("cells", pa.binary()), ("counts", pa.binary())]))
 
-    sent = packed.mapInArrow(send, "bucket int, cells binary, counts binary")
+    sent = packed.mapInArrow(tidied(send), "bucket int, cells binary, counts binary")
     return cut(B.by_bucket(sent, shards, total, "cells binary, counts binary"))
 
 
@@ -244,11 +245,13 @@ def slopes(left, right, q, b, cells, counts):
 class LogBilinear:
     """Class scores ``q_w . (C1 r_1 + C2 r_2) + b_w``."""
 
-    def __init__(self, unigram, seed: int = 3):
+    def __init__(self, unigram, live=None, seed: int = 3):
+        """``live`` has the classes that can occur."""
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        self.unigram = (unigram + 0.5) / (unigram + 0.5).sum()
+        weight = np.where(True if live is None else live, unigram + 0.5, 1e-30)
+        self.unigram = weight / weight.sum()
         self.r = rng.normal(0, 0.1, (CLASSES + 1, DIM)).astype(np.float32)
         self.q = rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32)
         self.c = np.stack([np.eye(DIM, dtype=np.float32)] * 2)
@@ -307,6 +310,22 @@ class LogBilinear:
         return out
 
 
+    def log_unknown(self, first, second, unseen):
+        """Natural log-probabilities of the unknown token: what the tail classes leave for it."""
+        import numpy as np
+
+        key = first.astype(np.int64) * (CLASSES + 1) + second
+        contexts, place = np.unique(key, return_inverse=True)
+        out = np.empty(len(contexts))
+        left, right = self.r @ self.c[0], self.r @ self.c[1]
+        for at in range(0, len(contexts), 2048):
+            c = contexts[at : at + 2048]
+            s = (left[c // (CLASSES + 1)] + right[c % (CLASSES + 1)]) @ self.q.T + self.b
+            e = np.exp((s - s.max(axis=1, keepdims=True)).astype(np.float64))
+            out[at : at + 2048] = np.log((e[:, TOP:END] * unseen[TOP:END]).sum(axis=1) / e.sum(axis=1))
+        return out[place]
+
+
 def contexts_of(classes, starts):
     """The two classes before each token; ``starts`` are where texts begin."""
     import numpy as np
@@ -345,12 +364,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     tails, kinds, once = (x.astype(float) for x in sums)
     unigram = tails.copy()
     unigram[: len(top)] = [c for _, c in top]
-    # The share of the one unseen word in each tail class.
-    unseen = np.minimum((once + 0.5) / (tails + 1.0), 0.9)
+    # What each tail class leaves for the unknown token: all of it, where it has no words.
+    unseen = np.where(tails > 0, np.minimum((once + 0.5) / (tails + 1.0), 0.9), 1.0)
     number = {w: i for i, (w, _) in enumerate(top)}
 
     shards = max(8, min(MOST_SHARDS, -(-raw // SHARD_BYTES)))
-    model = LogBilinear(unigram)
+    live = np.ones(CLASSES, bool)
+    live[len(top) : TOP] = False  # places of frequent words that no word has taken
+    model = LogBilinear(unigram, live)
     if n_all:
         model.fit(count_cells(packed, number, shards), n_all)
 
@@ -359,9 +380,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
         blk = B.Block(row)
         texts = [tokens_of(t) for t in blk.texts()]
-        parts: list[list[bytes]] = [[] for _ in range(buckets)]
+        parts: dict[int, list[bytes]] = {0: []}
         for w in {w for t in texts for w in t}:
-            parts[_bucket(w, buckets)].append(w)
+            parts.setdefault(_bucket(w, buckets), []).append(w)
         counts = {}
         for r in replies:
             words = sorted(parts[r["bucket"]])
@@ -374,11 +395,15 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         ids = np.fromiter((i for t in texts for i in (*map(local.__getitem__, t), end)), np.int64, int(lens.sum()))
         first_at = np.concatenate([[0], np.cumsum(lens)[:-1]])
         with np.errstate(divide="ignore"):
-            inside = np.where(local_count > 0, np.log((1 - unseen[local_class]) * local_count / np.maximum(tails[local_class], 1)), np.log(unseen[local_class]))
+            inside = np.where(local_count > 0, np.log((1 - unseen[local_class]) * local_count / np.maximum(tails[local_class], 1)), 0.0)
         inside[(local_class < len(top)) | (local_class == END)] = 0.0
         base = np.log10((local_count + 0.5) / (n_all + 0.5 * (v_all + 1)))
         cls = local_class[ids]
-        log_p = model.log_prob(*contexts_of(cls, first_at), cls) + inside[ids]
+        before = contexts_of(cls, first_at)
+        log_p = model.log_prob(*before, cls) + inside[ids]
+        new = np.flatnonzero((local_count == 0)[ids] & (cls != END))
+        if len(new):
+            log_p[new] = model.log_unknown(before[0][new], before[1][new], unseen)
         add = lambda x: np.add.reduceat(x, first_at)
         yield pa.RecordBatch.from_arrays(
             [
