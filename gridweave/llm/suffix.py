@@ -36,8 +36,11 @@ from .common import cut, shuffle_width, tidied
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM  # 26 bytes may stand before an anchor in its windows
 _CHUNK, _PLACE = 1 << 18, (1 << 20) - 1
-BLOCK_BYTES, SAMPLE_BLOCKS = 2 << 20, 48
-BUCKET_KEYS, LOOK_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 100_000, 12_000, 24, 1_000_000
+#: Blocks that the splitters are sampled from: this many, or one in ``SAMPLE_PART`` if that is more.
+BLOCK_BYTES, SAMPLE_BLOCKS, SAMPLE_PART = 2 << 20, 48, 64
+#: Buckets, and so splitters on the driver, at most: 6 MB of them; a bucket grows beyond.
+MOST_BUCKETS = 65_536
+BUCKET_KEYS, LOOK_KEYS, SAMPLES_PER_BUCKET, MOST_SAMPLES = 100_000, 12_000, 24, 262_144
 KEY, WORDS, WINDOW_WORDS = 80, 10, 7
 
 
@@ -135,8 +138,8 @@ def words_of(rows):
 def multikey_sort(words, last):
     """Order of the rows by their words, ties by ``last``; and where a new key begins.
 
-    Three-way radix quicksort, level by level: after each word only the rows that are still
-    equal to a neighbour are sorted on by the next.
+    A multikey sort of all partitions of a level at once: rows are parted by their first word, and
+    after each word only the parts of several equal rows are sorted on, by the next one.
     """
     import numpy as np
 
@@ -336,7 +339,7 @@ def _sort_runs(batches: Iterator):
 
 def _sort_windows(batches: Iterator):
     """Bucket of windows: those that a smaller document has (kind 0, by block), and the
-    bucket's edges (kind 1): first and last string, and the last one's least document."""
+    bucket's edges (kind 1): first and last string, and their least documents (block and n)."""
     import numpy as np
 
     bucket = None
@@ -362,24 +365,21 @@ def _sort_windows(batches: Iterator):
     for r in _by_block(2, blks[wait], runs=runs[wait], more=shift[wait]):
         out.append(r | {"bucket": bucket})
     ends = np.concatenate([words[:1], words[-1:]])
-    out.append({"kind": 1, "bucket": bucket, "block": int(key[-1] == 0), "n": int(low[-1]), "keys": ends.astype(">u8").tobytes(), "docs": B.squeeze(low[:1])})
+    out.append({"kind": 1, "bucket": bucket, "block": int(low[0]), "n": int(low[-1]), "keys": ends.astype(">u8").tobytes()})
     yield _batch(out)
 
 
-def boundary_least(edges: list[tuple[int, bytes, bytes, int, int, bool]]) -> dict[int, int]:
-    """For buckets whose first string goes on from the one before: its least document there.
+def carried_buckets(edges: DataFrame) -> DataFrame:
+    """(bucket): those whose first string goes on from buckets before with a smaller document.
 
-    ``edges``: bucket, first and last string, their least documents, and whether all is one."""
-    carry: dict[int, int] = {}
-    before: tuple[bytes, int] | None = None
-    for bucket, first, last, first_low, last_low, one in sorted(edges):
-        if before and before[0] == first:
-            if before[1] < first_low:
-                carry[bucket] = before[1]
-            if one:
-                last_low = min(last_low, before[1])
-        before = (last, last_low)
-    return carry
+    ``edges``: bucket, ``keys`` (first and last string), ``block`` and ``n`` (their least documents).
+    Equal strings are in a row of buckets and documents ascend within a string, so the first of the
+    buckets that end with a string has its least document."""
+    half = WINDOW_WORDS * 8
+    part = edges.select("bucket", F.substring("keys", 1, half).alias("first"), F.substring("keys", half + 1, half).alias("last"), F.col("block").alias("first_low"), F.col("n").alias("last_low"))
+    begun = part.groupBy(F.col("last").alias("string")).agg(F.min(F.struct("bucket", "last_low")).alias("b"))
+    met = part.join(begun, (F.col("first") == F.col("string")) & (F.col("b.bucket") < F.col("bucket")) & (F.col("b.last_low") < F.col("first_low")))
+    return met.select("bucket")
 
 
 def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
@@ -465,8 +465,8 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
 
     # Splitters from the keys of a hashed sample of blocks; one block in ``every``.
     total = good.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    every = max(1, n_blocks // SAMPLE_BLOCKS)
-    n_b = max(shuffle_width(spark), -(-total // BUCKET_KEYS))
+    every = max(1, n_blocks // max(SAMPLE_BLOCKS, n_blocks // SAMPLE_PART))
+    n_b = min(MOST_BUCKETS, max(shuffle_width(spark), -(-total // BUCKET_KEYS)))
     rate = _rate(total, n_b, 1 / every)
 
     def sample(row: dict, replies: list[dict]):
@@ -490,7 +490,7 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
 
     asked = sorted_runs.where("kind = 1")
     total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_w = max(shuffle_width(spark), -(-total // BUCKET_KEYS))
+    n_w = min(MOST_BUCKETS, max(shuffle_width(spark), -(-total // BUCKET_KEYS)))
     window_rate = _rate(total, n_w)
 
     def sample_windows(batches: Iterator):
@@ -506,11 +506,8 @@ def _analyse(docs: DataFrame, id_col: str, text_col: str, extra: list[str]):
                 yield _batch(_dealt(window_cuts, r["block"], _load(r["keys"], WINDOW_WORDS), B.spread(r["docs"]), B.spread(r["runs"]), B.spread(r["more"])))
 
     sorted_windows = cut(B.by_bucket(asked.mapInArrow(deal_windows, _KEYS), n_w, _sort_windows, _KEYS))
-    half = WINDOW_WORDS * 8
-    # Two strings for each bucket.
-    edges = [(r["bucket"], bytes(r["keys"][:half]), bytes(r["keys"][half:]), int(B.spread(bytes(r["docs"]))[0]), r["n"], bool(r["block"])) for r in sorted_windows.where("kind = 1").collect()]
-    carried = [*boundary_least(edges)]
-    late = sorted_windows.where((F.col("kind") == 2) & F.col("bucket").isin(carried)) if carried else sorted_windows.where("false")
+    carried = carried_buckets(sorted_windows.where("kind = 1"))
+    late = sorted_windows.where("kind = 2").join(carried, "bucket", "left_semi").select(*sorted_windows.columns)
     hits = sorted_windows.where("kind = 0").unionByName(late).withColumn("kind", F.lit(1))
     told = sorted_runs.where("kind IN (0, 3)").unionByName(hits)
     return packed, told.select("block", "kind", "docs", "runs", "more")
@@ -524,11 +521,10 @@ def _cut_block(row: dict, replies: list[dict]):
     data = np.frombuffer(blk.data, np.uint8)
     if not replies:
         return blk, data, np.zeros(len(data), bool)
-    lo, hi, _, doc = anchor_runs(data, blk.starts, blk.known)
+    lo, hi, anchor, doc = anchor_runs(data, blk.starts, blk.known)
     ids = blk.ids[doc]
     left = np.full(len(lo), BEFORE)  # shift of a run's first window
     whole, mask = np.zeros(len(lo), bool), np.zeros(len(lo), np.int64)
-    anchor = anchor_runs(data, blk.starts, blk.known)[2]
     left -= anchor - lo
     for r in replies:
         if r["kind"] == 0:
