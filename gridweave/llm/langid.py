@@ -6,8 +6,8 @@ layer scores the languages. Every window of a text is scored; a text's scores ar
 its windows' log-probabilities. Weights are trained in numpy on windows of a sample of
 labelled texts (``SAMPLE_WINDOWS`` at most, dealt evenly over the languages).
 
-Defined results: ``und`` with score 0 for null texts and texts without a letter, and for every
-text if nothing could be learned; null languages are never learned from; null ids pass
+Defined results: ``und`` with score 0 for null texts and texts without a letter (Unicode category L), and for every
+text if nothing could be learned; more than ``MOST_LANGS`` languages are an error; null languages are never learned from; null ids pass
 through; repeated rows are predicted each; very long texts are read whole; extra columns are
 ignored; an empty table gives an empty table.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, tidied
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
-SAMPLE_WINDOWS, WINDOWS_PER_TEXT, MOST_LANGS = 16_000, 4, 256
+SAMPLE_WINDOWS, WINDOWS_PER_TEXT, MOST_LANGS = 16_000, 4, 1_000
 EPOCHS, BATCH, RATE = 8, 256, 0.02
 _SLICE = 2048  # windows scored at once
 
@@ -34,7 +34,9 @@ def _window_bytes(text: str) -> bytes:
 def training_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, bound: int = SAMPLE_WINDOWS) -> DataFrame:
     """(label, window) rows, at most ``bound``, spread evenly over the labels."""
     rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGS).collect()
+    sizes = rows.groupBy(label_col).count().limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{label_col} has more than {MOST_LANGS} values; a sample of {bound} windows cannot tell them apart")
     rate = F.lit(0.0)
     for r in sizes:
         share = 2.0 * bound / WINDOWS_PER_TEXT / len(sizes) / r["count"]
@@ -167,12 +169,11 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     """id, ``lang_pred`` and ``score``, the predicted language's share of the mean scores."""
 
     def run(batches: Iterator):
-        import re
-
         import numpy as np
         import pyarrow as pa
+        import regex
 
-        letter = re.compile(r"[^\W\d_]").search
+        letter = regex.compile(r"\p{L}").search
         tables = model.tables() if model else {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -83,9 +83,9 @@ def tile_scores(q, c):
         bound = norm(q) * norm(c)
     if bound < 2.0**53:
         return (q @ c.T).astype(np.int64)
-    whole = [[int(x) for x in row] for row in c]
-    low, high = -(2**63) + 1, 2**63 - 1
-    return np.array([[min(high, max(low, sum(int(a) * b for a, b in zip(row, other, strict=True)))) for other in whole] for row in q], np.int64).reshape(len(q), len(c))
+    whole = lambda m: np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
+    exact = np.dot(whole(q), whole(c).T)
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def select(scores, query_ids, ids, k: int):
