@@ -24,7 +24,7 @@ def col(x) -> Column:
 
 
 def _number(x) -> Column:
-    return col(x).try_cast("double") if isinstance(x, Column) else F.lit(None if x is None else float(x))
+    return col(x).try_cast("double")
 
 
 def _digits(x, digits, cut: Callable) -> Column:

@@ -115,10 +115,11 @@ def number_text(x: Column) -> Column:
     itself, so the few cells of reports go through an Arrow batch."""
     @F.pandas_udf("string")
     def four(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: f"{v:.4g}", na_action="ignore")
+        return values.map(lambda v: f"{v:.4g}")
 
     whole = (x == F.floor(x)) & (F.abs(x) < 1e12)
-    return F.when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(four(x.cast("double")))
+    shown = F.when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(four(x.cast("double")))
+    return F.when(x.isNotNull(), shown)
 
 
 def chain_text(chain: Column) -> Column:

@@ -1,11 +1,14 @@
 from gridweave.functions import formulas as FX
 from gridweave.functions import kernels as K
+from gridweave.functions import sheet_functions as S
+from gridweave.functions import sql_text, text
 from gridweave.operators import extractors as E
 from gridweave.operators import formula_refs as R
-from gridweave.sources import diagram
+from gridweave.sources import diagram, settings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize(
@@ -87,3 +90,93 @@ def test_diagram():
     assert diagram.parse("sequenceDiagram\nA->>B: x") == ({}, [])
     chain = "graph TD\n" + "\n".join(f"N{i} --> N{i + 1}" for i in range(500))
     assert len(diagram.parse(chain)[1]) == 500
+
+
+def columns(spark, **exprs):
+    """Values of expressions over one row."""
+    return spark.range(1).select(*[x.alias(n) for n, x in exprs.items()]).first().asDict()
+
+
+def test_sheet_functions(spark):
+    import datetime as dt
+
+    names = {"A1": F.lit(3.14159), "B1": F.lit(-3.14159), "C1": F.lit(0.0), "D1": F.lit("2024-01-31").cast("date"), "T1": F.lit("abcabc"), "N1": F.lit(None).cast("string"), "Sheet 2!A1": F.lit(7)}
+    f = lambda text: S.compiled(text, names)
+    got = columns(
+        spark, up=f("=ROUNDUP(A1,2)"), up_neg=f("=ROUNDUP(B1,2)"), down=f("=ROUNDDOWN(B1,1)"), tens=f("=ROUNDUP(1234,-2)"), exact=f("=ROUNDUP(3.15,2)"), mod=f("=MOD(5,-3)"), mod2=f("=MOD(-5,3)"), mod0=f("=MOD(5,C1)"),
+        months=f('=DATEDIF(D1,DATE(2024,3,31),"M")'), short=f('=DATEDIF(D1,DATE(2024,2,29),"m")'), back=f('=DATEDIF(DATE(2025,1,1),D1,"D")'), md=f('=DATEDIF(D1,DATE(2024,3,5),"MD")'), left=f("=LEFT(T1)"), right=f("=RIGHT(T1)"),
+        error=f("=IFERROR(1/0,-1)"), text_error=f('=IFERROR("x"+1,-9)'), power=f("=-2^2"), order=f("=1+2*3^2-4/2"), percent=f("=50%*4"), both=f('=T1&"-"&1'), quoted=f("='Sheet 2'!A1+1"), compare=f('=IF(T1<>"x",1,2)'),
+        sub=f('=SUBSTITUTE(T1,"b","X",2)'), sub9=f('=SUBSTITUTE(T1,"b","X",9)'), find=f('=FIND("c",T1,4)'), none=f('=FIND("z",T1)'), wild=f('=SEARCH("B?A",T1)'), join=f('=CONCATENATE(N1,"x")'), date=f("=DATE(2023,14,0)"),
+    )
+    assert got == {
+        "up": 3.15, "up_neg": -3.15, "down": -3.1, "tens": 1300.0, "exact": 3.15, "mod": -1.0, "mod2": 1.0, "mod0": None, "months": 2, "short": 0, "back": None, "md": 5, "left": "a", "right": "c", "error": -1.0, "text_error": -9.0, "power": 4.0, "order": 17.0,
+        "percent": 2.0, "both": "abcabc-1", "quoted": 8.0, "compare": 1, "sub": "abcaXc", "sub9": "abcabc", "find": 6, "none": None, "wild": 2, "join": "x", "date": dt.date(2024, 1, 31),
+    }
+    with pytest.raises(KeyError):
+        S.compiled("=Z9+1", names)
+    with pytest.raises(ValueError):
+        S.compiled("=A1 B1", names)
+    with pytest.raises(ValueError):
+        S.compiled("=A1+", names)
+
+
+def test_text_formats(spark):
+    shown = lambda x, form: S.scalar("TEXT", F.lit(x), form)
+    got = columns(spark, a=shown(1234.5, "#,##0.00"), b=shown(0.256, "0.0%"), c=shown(-1234.567, "0.00"), d=shown(7, "000"), e=shown(2.5, "0"), f=shown(1.5, "$0.00"), g=shown(3.0, "0.##"), h=S.scalar("TEXT", F.lit("2024-03-09 14:05:06").cast("timestamp"), "yyyy-mm-dd hh:mm:ss"))
+    assert got == {"a": "1,234.50", "b": "25.6%", "c": "-1234.57", "d": "007", "e": "3", "f": "$1.50", "g": "3.", "h": "2024-03-09 14:05:06"}
+
+
+def test_lookups(spark):
+    a = lambda *x: F.array(*[F.lit(v) for v in x])
+    grid = F.array(a(1, 10), a(5, 50), a(9, 90))
+    at = lambda r, c: S.scalar("OFFSET", F.lit("B2:C3"), F.lit(r), F.lit(c))
+    got = columns(
+        spark, near=S.scalar("VLOOKUP", F.lit(6), grid, 2), under=S.scalar("VLOOKUP", F.lit(0), grid, 2), exact=S.scalar("VLOOKUP", F.lit(6), grid, 2, False), h=S.scalar("HLOOKUP", F.lit(5), F.array(a(1, 5), a(7, 8)), 2, False),
+        x=S.scalar("XLOOKUP", F.lit(6), a(9, 1, 5), a("n", "o", "f"), "none"), below=S.scalar("XLOOKUP", F.lit(6), a(9, 1, 5), a("n", "o", "f"), "none", -1), i=S.scalar("INDEX", grid, F.lit(2), F.lit(1)), out=S.scalar("INDEX", a(1), F.lit(5)),
+        down=S.scalar("MATCH", F.lit(6), a(9, 7, 3), -1), moved=at(1, 2), edge=at(-2, 0), one=S.scalar("OFFSET", F.lit("B2"), F.lit(0), F.lit(0), F.lit(3), F.lit(2)),
+    )
+    assert got == {"near": 50, "under": None, "exact": None, "h": 8, "x": "none", "below": "f", "i": 5, "out": None, "down": 2, "moved": "D3:E4", "edge": None, "one": "B2:C4"}
+
+
+@pytest.mark.parametrize(
+    "sql, tables, joins, filter_text",
+    [
+        ("SELECT a, max(b, c) FROM x.y z, [w w] WHERE f(a, 'from q') > 1 ORDER BY 1", ["y", "w w"], [], "f(a, 'from q') > 1"),
+        ("select * from t left join u as v on t.a = v.b cross join w", ["t", "u", "w"], [("LEFT", "u", "t.a = v.b"), ("CROSS", "w", "")], None),
+        ("WITH c AS (SELECT 1 FROM d WHERE e = 1) SELECT * FROM c WHERE g = 2 GROUP BY h", ["d", "c"], [], "g = 2"),
+        ("no sql", [], [], None),
+    ],
+)
+def test_sql_text(sql, tables, joins, filter_text):
+    got = sql_text.read(sql)
+    assert got["tables"] == tables and [(j["type"], j["table"], j["on"]) for j in got["joins"]] == joins and got["filter"] == filter_text
+    assert sql_text.read(" ") is None and sql_text.read(None) is None
+
+
+def test_number_text(spark):
+    xs = [0.000123456, 1234567.891, 12.345, 1234.5, 5.0, -3.0, 1e12, 1e-5, None, float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(text.number_text(F.col("x"))).collect()]
+    assert got == ["0.0001235", "1.235e+06", "12.35", "1234", "5", "-3", "1e+12", "1e-05", None, "nan"]
+
+
+def test_table_references():
+    got = lambda f: [(x[0], x[1], x[2], x[4]) for x in R.external_refs(f, {})]
+    assert got("=SUM([Budget.xlsx]SalesTable[Amount])") == [("Budget.xlsx", "", "SalesTable", "table")]
+    assert got("=[Budget.xlsx]SalesTable") == [("Budget.xlsx", "", "SalesTable", "table")]
+    assert got("='[data.xlsx]Sheet1'!A1") == [("data.xlsx", "Sheet1", "A1", "cell")]
+    assert got("='C:\\x\\[b.xlsx]'T[[#All],[q]]") == [("b.xlsx", "", "T", "table")]
+    assert R.inner_refs("=[Budget.xlsx]Sales2024+B2", "S") == [("S", "B2")]
+
+
+def test_settings():
+    assert settings.read('{"top_n": 3}') == {"top_n": 3}
+    got = settings.read("# how\ntop_n: 3\nmatching:\n  metric: 'cosine'  # kind\n  min_similarity: 0.9\n  exact: no\nsheets:\n  - A\n  - B 2\nnames: [x, y]\nempty:\n")
+    assert got == {"top_n": 3, "matching": {"metric": "cosine", "min_similarity": 0.9, "exact": False}, "sheets": ["A", "B 2"], "names": ["x", "y"], "empty": {}}
+    assert settings.read("") == {}
+
+
+def test_macro_families():
+    code = 'Set c = New ADODB.Connection\n c.Provider = "x"\nData Source=srv9;\nInitial Catalog=db9;\nGetObject("https://o.org/a.xls")\nGetObject("C:\\x\\y.doc")\n.Open "DELETE", "http://no.such/kind"\n'
+    got = {(r[1], r[2], r[3]) for r in E.macro_sources(code, "M")}
+    assert ("database", "odbc", "srv9/db9") in got and ("web", "url", "https://o.org/a.xls") in got and ("file", "local_file", "C:\\x\\y.doc") in got
+    assert not any(k == "xmlhttp_request" for _, k, _ in got)

@@ -68,3 +68,65 @@ def test_rect(spark, rng, want):
 def test_letters(spark):
     got = spark.range(1, 16_385).select("id", refs.idx_to_col(F.col("id").cast("int")).alias("x")).select("id", "x", refs.col_to_idx(F.col("x")).alias("back"))
     assert got.where("id <> back").isEmpty() and got.where("id = 16384").first()["x"] == "XFD"
+
+
+def test_graph_without_depth_caps(spark, monkeypatch):
+    from gridweave.operators import graph
+
+    monkeypatch.setattr(graph, "KEPT_FRONTIERS", 4)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(23)], "src long, dst long")
+    assert {r["node"]: r["level"] for r in graph.depth_levels(chain).collect()} == {i: i for i in range(24)}
+    start = spark.createDataFrame([(0, 0)], "start long, node long")
+    assert {r["node"]: r["depth"] for r in graph.reach(start, chain).collect()} == {i: i for i in range(24)}
+    assert graph.reach(start, chain, 3).count() == 4
+    assert {r["component"] for r in graph.components(chain).collect()} == {0}
+
+
+def test_levels_open_cycles(spark):
+    from gridweave.operators import graph
+
+    edges = [(5, 1), (1, 2), (2, 3), (3, 1), (3, 4), (7, 8), (8, 7), (4, 9), (9, 9), (20, 20)]
+    got = {r["node"]: r["level"] for r in graph.depth_levels(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {5: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 5, 7: 0, 8: 1, 20: 0}
+
+
+def test_runs_across_blocks(spark):
+    from gridweave.operators import vectors as V
+
+    places = [*range(0, 23), *range(25, 27), *range(30, 41), 50, *range(-9, -3)]
+    cells = spark.createDataFrame([("a", i, float(i)) for i in places] + [("b", 7, 1.0), ("b", 8, None), ("b", 9, 1.0)], "line string, i long, v double")
+    for block in (1, 4, 10, 4096):
+        got = {(r["line"], r["first_idx"], r["last_idx"], r["length"], tuple(r["values"])) for r in V.runs(cells, ["line"], "i", "v", 3, block).collect()}
+        assert got == {("a", a, z, z - a + 1, tuple(float(x) for x in range(a, z + 1))) for a, z in ((0, 22), (30, 40), (-9, -4))}
+
+
+def test_overlapping_boxes(spark):
+    import random
+
+    from gridweave.operators import tables as T
+
+    rng = random.Random(3)
+    box = lambda: (lambda r, c: (rng.randint(0, 1), r, c, r + rng.randint(0, 30), c + rng.randint(0, 5)))(rng.randint(1, 60), rng.randint(1, 9))
+    left, right = [(i, *box()) for i in range(40)], [(i, *box()) for i in range(40)]
+    named = lambda rows, p: spark.createDataFrame(rows, f"{p}_id int, {p}_sheet int, r1 int, c1 int, r2 int, c2 int").select(f"{p}_id", f"{p}_sheet", F.struct("r1", "c1", "r2", "c2").alias(p))
+    got = T.overlapping_boxes(named(left, "a"), named(right, "b"), [("a_sheet", "b_sheet")], ("a", "b"), 8).select("a_id", "b_id").collect()
+    want = {(i, j) for i, s, a, b, c, d in left for j, t, e, f, g, h in right if s == t and a <= g and e <= c and b <= h and f <= d}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_entry_without_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for broken in (False, True):
+        copy = tmp_path / str(broken)
+        shutil.copytree(root / "gridweave", copy / "gridweave", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        if broken:
+            (copy / "gridweave" / "llm").mkdir()
+            (copy / "gridweave" / "llm" / "__init__.py").write_text("import no_such_module\n")
+        run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1_') for k in e.queries()))"], cwd=copy, capture_output=True, text=True, check=True)
+        assert run.stdout.split()[1] == "False" and int(run.stdout.split()[0]) > 100

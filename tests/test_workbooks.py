@@ -79,6 +79,54 @@ def test_levels(books):
     assert "(missing)" in trace.level_diagram(refs)
 
 
+def test_names_by_scope_and_redirect(spark):
+    """A name that a sheet qualifies, one that leads on to another workbook, one that is computed,
+    one that is not there; and a file in a folder below, in other case."""
+    made = writer.workbook_bytes
+    model = made({"S": [["=[up.xlsx]B!Rate"], ["='[up.xlsx]'!Rate"], ["='[up.xlsx]'!Far"], ["=[dyn.xlsx]X!Calc"], ["=[none.xlsx]X!Nope"]]})
+    names = [("Rate", "A!$A$1", None), ("Rate", "B!$A$2", 1), ("Far", "'[third.xlsx]T'!$C$3", None)]
+    files = {
+        "/in/m.xlsx": model, "/in/up.xlsx": made({"A": [["=[a.xlsx]S!A1"]], "B": [["=[no.xlsx]S!A1"], ["=[b.xlsx]S!A1"]]}, names), "/in/dyn.xlsx": made({"X": [["=[c.xlsx]S!A1"]], "Y": [["=[d.xlsx]S!A1"]]}, {"Calc": "OFFSET(X!$A$1,0,0)"}),
+        "/in/deep/THIRD.xlsx": made({"T": [[None], [None], [None, None, "=[e.xlsx]S!A1"]]}),
+    }
+    books = spark.createDataFrame([*files.items()], "file string, content binary")
+    got = {(r["level"], r["target_file"], r["target"], r["found"]) for r in trace.levels(books, "m.xlsx").collect()}
+    assert got == {
+        (1, "up.xlsx", "Rate → A2", True), (1, "up.xlsx", "Rate → A1", True), (1, "up.xlsx", "Far → [third.xlsx]T!C3", True), (1, "dyn.xlsx", "Calc (dynamic)", True), (1, "none.xlsx", "Nope", False),
+        (2, "a.xlsx", "A1", False), (2, "b.xlsx", "A1", False), (2, "third.xlsx", "C3", True), (2, "c.xlsx", "A1", False), (2, "d.xlsx", "A1", False), (3, "e.xlsx", "A1", False),
+    }
+
+
+def test_files_resolve_by_phase(spark):
+    listing = spark.createDataFrame([("/in/a.xlsx", "/in"), ("/in/B.xlsx", "/in"), ("/in/x/a.xlsx", "/in/x"), ("/in/x/b.xlsx", "/in/x"), ("/in/x/y/c.xlsx", "/in/x/y")], "file string, folder string")
+    refs = spark.createDataFrame([("a.xlsx",), ("C:\\old\\A.XLSX",), ("b.xlsx",), ("http://h/C.xlsx",), ("d.xlsx",)], "target_file string")
+    got = {r["target_file"]: r["resolved_path"] for r in trace.resolved_files(refs, listing).collect()}
+    assert got == {"a.xlsx": "/in/a.xlsx", "C:\\old\\A.XLSX": "/in/a.xlsx", "b.xlsx": "/in/B.xlsx", "http://h/C.xlsx": "/in/x/y/c.xlsx", "d.xlsx": None}
+
+
+def test_file_refs_start_from_given_sheets(books):
+    some = raw_sources.file_refs(books, "model.xlsx", ["Calc"])
+    assert {(r["level"], r["target_file"]) for r in some.collect()} == {(1, "upstream_a.xlsx"), (2, "upstream_b.xlsx"), (3, "ghost.xlsx")}
+    assert raw_sources.file_refs(books, "model.xlsx", ["Inputs"]).isEmpty()
+    assert [(r["file_name"], r["level"]) for r in raw_sources.source_files(some, "model.xlsx").orderBy("level").collect()] == [("model.xlsx", 0), ("upstream_a.xlsx", 1), ("upstream_b.xlsx", 2)]
+
+
+def test_empty_sheets_have_empty_vectors(books):
+    got = {r["sheet"]: len(r["vectors"]) for r in detect.sheet_vectors(one(books, "model.xlsx")).collect()}
+    assert got == {"Inputs": 3, "Calc": 0, "Summary": 0}
+
+
+def test_report_is_a_source(spark, books, tmp_path):
+    matches, unmatched = trace.trace(one(books, "model.xlsx"), "Inputs", books.where("file LIKE '%upstream%'"), trace.TraceConfig(approximate=False))
+    refs = trace.levels(books, "model.xlsx")
+    made = reports.trace_report(tmp_path / "t.xlsx", trace.TraceConfig(), matches, unmatched, refs, "model.xlsx")
+    report = W.files(spark, str(made))
+    back = reports.read_levels(report)
+    key = ("level", "sheet", "cell", "target_file", "target_sheet", "target", "found")
+    assert sorted(map(tuple, back.select(*key).collect())) == sorted(map(tuple, refs.select(*key).collect()))
+    assert trace.level_diagram(back).startswith("flowchart") and reports.report_model(report).first()["model"] == "model.xlsx"
+
+
 def test_raw_sources(books):
     t = raw_sources.detect_sources(books, "model.xlsx", ["Inputs", "Calc"])
     assert t["dynamic_refs"].first()["note"] == "built from parts"
