@@ -3,6 +3,10 @@
 Input: a table with an id and a text column (other columns are ignored, so their names
 cannot clash). Output: one row per input row, repeated rows included.
 
+The stop-word rule has lists of four languages. Words are matched without regard to case, and texts
+whose letters are mostly not Latin ones are not judged by it; long texts of other languages in
+Latin letters are rejected, unless they share two of the words.
+
 Defined results: null or empty text has no words and every count 0, so ``base_failed`` is
 true and ``kept`` false; a null id is passed through; an empty table gives an empty table;
 very long texts are handled in O(n log n) in their own row.
@@ -15,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 # Frequent function words of four languages.
 STOP_WORDS = (
     "the of and to in is by for at as was this are with be it that on he an "
@@ -23,13 +29,15 @@ STOP_WORDS = (
     "el los las y que del se por con para una su al lo como es"
 ).split()
 
+#: Different stop words that a text mostly of Latin letters must have.
+STOP_KINDS = 2
 #: (name, measure, lowest allowed, highest allowed, words a text needs for the rule to apply).
 #: A text is rejected by a rule when its measure is outside the two bounds.
 RULES: tuple[tuple[str, str, float | None, float | None, int], ...] = (
     ("length", "n_words", 20, None, 0),
     ("mean_word_chars", "mean_word_chars", 2.0, 14.0, 20),
     ("symbol_ratio", "symbol_ratio", None, 0.2, 0),
-    ("stop_words", "stop_kinds", 2, None, 40),
+    ("stop_words", "missing_stop_kinds", None, 0, 40),
     ("duplicate_lines", "dup_line_ratio", None, 0.4, 0),
     ("repeated_windows", "repeat_ratio", None, 0.3, 0),
 )
@@ -90,6 +98,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sto
         F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
     stops = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words)])
+    low_words = F.split(ascii_lower(F.col("text")), _SPACE)
+    latin = 2 * F.length(F.regexp_replace("text", "[^A-Za-z]+", "")) >= F.length(F.array_join("words", ""))
+    kinds = F.size(F.array_intersect(low_words, stops))
     counted = base.select(
         id_col,
         F.size("words").cast("long").alias("n_words"),
@@ -97,7 +108,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sto
         (F.length("text") - F.length(F.regexp_replace("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_intersect("words", stops)).cast("long").alias("stop_kinds"),
+        F.when(latin, F.greatest(F.lit(0), F.lit(STOP_KINDS) - kinds)).otherwise(F.lit(0)).cast("long").alias("missing_stop_kinds"),
         F.col("words"),
         hashes.alias("hashes"),
     )

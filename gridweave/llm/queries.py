@@ -50,7 +50,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.listed_from_pages(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, url_filter.listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,8 @@ def _op7_sql() -> str:
     whens = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, h, p in rules]
     rule = " ".join(w + f"'{h}{p}'" for w, (_, h, p) in zip(whens, rules, strict=True))
     act = " ".join(w + f"'{a}'" for w, (a, _, _) in zip(whens, rules, strict=True))
-    labels = ", ".join(f"'{x}'" for x in url_filter.LISTED_LABELS)
+    any_of = lambda xs: "|".join(x.replace(".", "[.]") for x in xs)
+    shape = f"({any_of(url_filter.LISTED_PREFIXES)})({any_of(url_filter.LISTED_LABELS)})[.]example[.]({any_of(url_filter.LISTED_ENDS)})/({any_of(url_filter.LISTED_TONGUES)})/(0|[1-9][0-9]{{0,8}})"
     return f"""
 WITH r AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -110,12 +111,12 @@ WITH r AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
 ), c AS (
   SELECT *, regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') AS canonical FROM h
-), listed AS (
-  SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), [{labels}])
+), n AS (
+  SELECT *, CASE WHEN regexp_full_match(canonical, '{shape}') THEN CAST(regexp_extract(canonical, '([0-9]+)$', 1) AS BIGINT) END AS number FROM c
 )
 SELECT page_id, host, path, CASE {rule} END AS rule,
-  CASE {act} ELSE CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END END AS verdict
-FROM c
+  CASE {act} ELSE CASE WHEN number < {url_filter.LISTED_NUMBERS} AND number % {url_filter.LISTED_STEP} = {url_filter.LISTED_FIRST} THEN 'block' ELSE 'allow' END END AS verdict
+FROM n
 """
 
 
@@ -141,7 +142,8 @@ w AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
-    len(list_distinct(list_intersect(words, [{stops}]))) AS stop_kinds, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+    CASE WHEN 2 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= length(array_to_string(words, ''))
+      THEN greatest(0, {quality.STOP_KINDS} - len(list_distinct(list_intersect(list_transform(words, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), [{stops}])))) ELSE 0 END AS missing_stop_kinds, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN u USING (rid)
 ), f AS (
   SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(word_chars, 1) AS symbol_ratio,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -25,7 +25,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-BITS_PER_URL, WORDS, BLOCK_BITS = 16, 4, 256
+BITS_PER_URL, WORDS, BLOCK_BITS, SHARD_BLOCKS = 16, 4, 256, 1024
 #: A side is broadcast only when its measured size is under this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -61,49 +61,63 @@ def _bloom_keys(c: Column, blocks: int) -> dict[str, Column]:
 
 
 def build_filter(listed: DataFrame, url_col: str, n_listed: int) -> tuple[DataFrame, int]:
-    """Blocks of 256 bits as four longs; each URL sets one bit in each long of one block."""
+    """(shard, words): the filter's blocks of 256 bits, as four longs each, in order, the blocks of
+    a shard as one array. Each URL sets one bit in each long of one block."""
     blocks = max(1, -(-n_listed * BITS_PER_URL // BLOCK_BITS))
     keyed = listed.select(*[v.alias(k) for k, v in _bloom_keys(F.col(url_col), blocks).items()])
-    return keyed.groupBy("bf_block").agg(*[F.bit_or(f"bf_{k}").alias(f"filter_{k}") for k in range(WORDS)]), blocks
+    made = keyed.groupBy("bf_block").agg(*[F.bit_or(f"bf_{k}").alias(f"filter_{k}") for k in range(WORDS)])
+    place = (F.col("bf_block") % SHARD_BLOCKS).cast("int")
+    entry = F.struct(place.alias("place"), F.array(*[f"filter_{k}" for k in range(WORDS)]).alias("w"))
+    shards = made.groupBy(F.floor(F.col("bf_block") / SHARD_BLOCKS).alias("shard")).agg(F.map_from_entries(F.collect_list(entry)).alias("at"))
+    nothing = F.array(*[F.lit(0).cast("long")] * WORDS)
+    words = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SHARD_BLOCKS - 1)), lambda i: F.coalesce(F.try_element_at("at", i), nothing)))
+    return shards.select("shard", words.alias("words")), blocks
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", listed_col: str = "canonical", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, maybe_listed, listed.
 
-    The filter's blocks and the listed URLs are broadcast only under ``BROADCAST_BYTES``,
-    which is checked by counting; beyond it both joins shuffle on their keys.
+    The filter is packed into shards, which are broadcast only if all of them, counted before, are
+    under ``BROADCAST_BYTES``; beyond it pages meet their shard by a shuffle. Only rows that pass
+    the filter are joined with the list, by a shuffle of both; the others do not move.
     """
     listed = listed.select(F.col(listed_col).alias("listed_url")).where("listed_url IS NOT NULL").distinct()
-    n_listed, n_bytes = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("listed_url")), F.lit(0))).first()
-    blooms, blocks = build_filter(listed, "listed_url", n_listed)
-    if blocks * 64 < BROADCAST_BYTES:
-        blooms = F.broadcast(blooms)
-    exact = listed.withColumn("maybe_listed", F.lit(True)).withColumn("listed", F.lit(True))
-    if n_bytes + 64 * n_listed < BROADCAST_BYTES:
-        exact = F.broadcast(exact)
+    n_listed = listed.count()
+    shards, blocks = build_filter(listed, "listed_url", n_listed)
+    if 8 * WORDS * SHARD_BLOCKS * -(-blocks // SHARD_BLOCKS) < BROADCAST_BYTES:
+        shards = F.broadcast(shards)
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
     rule, act = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), act.alias("rule_verdict"), canonical(F.col("host"), F.col("path")).alias("listed_url"))
-    rows = rows.withColumns(_bloom_keys(F.col("listed_url"), blocks)).join(blooms, "bf_block", "left")
+    rows = rows.select(id_col, "host", "path", rule.alias("rule"), act.alias("rule_verdict"), canonical(F.col("host"), F.col("path")).alias("canonical"))
+    rows = rows.withColumns(_bloom_keys(F.col("canonical"), blocks)).withColumn("bf_shard", F.floor(F.col("bf_block") / SHARD_BLOCKS))
+    rows = rows.join(shards, F.col("bf_shard") == F.col("shard"), "left")
+    first = (F.col("bf_block") % SHARD_BLOCKS * WORDS).cast("int")
     hit = F.lit(True)
     for k in range(WORDS):
-        hit = hit & (F.col(f"filter_{k}").bitwiseAND(F.col(f"bf_{k}")) != 0)
-    rows = rows.withColumn("maybe_listed", F.coalesce(hit, F.lit(False))).select(id_col, "host", "path", "rule", "rule_verdict", "maybe_listed", "listed_url")
-    # Rows the filter rules out keep their own key and simply find no partner.
-    rows = rows.join(exact, ["maybe_listed", "listed_url"], "left")
-    found = F.coalesce(F.col("listed"), F.lit(False))
-    return rows.select(
-        id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.when(found, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "maybe_listed", found.alias("listed")
-    )
-
-
-# Host labels whose pages make up the list of the registered query.
-LISTED_LABELS = ("casino-win", "cheap-pills", "free-bets")
-
-
-def listed_from_pages(pages: DataFrame, url_col: str = "url", labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
-    """Canonical URLs of pages on a host that has one of ``labels`` as a label."""
-    host, path = host_path(F.col(url_col))
-    on_list = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))
-    return pages.select(host.alias("host"), path.alias("path")).where(on_list).select(canonical(F.col("host"), F.col("path")).alias("canonical"))
+        hit = hit & (F.get("words", first + k).bitwiseAND(F.col(f"bf_{k}")) != 0)
+    rows = rows.select(id_col, "host", "path", "rule", "rule_verdict", "canonical", F.coalesce(hit, F.lit(False)).alias("maybe_listed"))
+    misses = rows.where("NOT maybe_listed").withColumn("listed", F.lit(False))
+    exact = listed.withColumn("found", F.lit(True))
+    hits = rows.where("maybe_listed").join(exact, F.col("canonical") == F.col("listed_url"), "left")
+    hits = hits.withColumn("listed", F.coalesce("found", F.lit(False))).drop("found", "listed_url")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return misses.unionByName(hits).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "maybe_listed", "listed")
+
+
+# The parts of the listed addresses of the registered query.
+LISTED_LABELS = ("casino-win", "cheap-pills", "free-bets", "adult-x", "ads-track")
+LISTED_PREFIXES, LISTED_ENDS, LISTED_TONGUES = ("", "blog.", "m."), ("com", "net", "org"), ("en", "de", "fr", "es")
+#: Every ``LISTED_STEP``-th number under ``LISTED_NUMBERS`` from ``LISTED_FIRST`` on is listed; its
+#: neighbours on the same hosts are near misses.
+LISTED_NUMBERS, LISTED_STEP, LISTED_FIRST = 60_000, 6, 1
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The canonical URLs of the registered query's list: 1,800,000 pages of unwanted hosts, made by
+    rule from the fixed parts, independently of any table of pages."""
+    one_of = lambda xs, name: F.explode(F.array(*[F.lit(x) for x in xs])).alias(name)
+    n = spark.range(LISTED_FIRST, LISTED_NUMBERS, LISTED_STEP)
+    for name, xs in (("prefix", LISTED_PREFIXES), ("label", LISTED_LABELS), ("tail", LISTED_ENDS), ("tongue", LISTED_TONGUES)):
+        n = n.select("*", one_of(xs, name))
+    return n.select(F.concat("prefix", "label", F.lit(".example."), "tail", F.lit("/"), "tongue", F.lit("/"), F.col("id").cast("string")).alias("canonical"))

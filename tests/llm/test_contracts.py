@@ -480,6 +480,24 @@ def test_url_joins_without_broadcast(spark, monkeypatch):
     assert a == b == {i: "block" if i % 50 < 25 and i % 3 == 1 else "allow" for i in range(300)}
 
 
+def test_urls_that_miss_the_filter_do_not_move(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/x") for i in range(50)], "page_id long, url string")
+    listed = spark.createDataFrame([("h1.org/x",)], "canonical string")
+
+
+    physical = url_filter.judge(pages, listed)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in physical.splitlines() if "Exchange hashpartitioning(" in x]
+    assert moved and not any("page_id" in x for x in moved)
+    assert sum("hashpartitioning(canonical" in x for x in moved) <= 1 and not any("hashpartitioning(bf_" in x for x in moved if "bf_shard" in x)
+
+
+def test_listed_urls_have_near_misses(spark):
+    at = lambda n: f"https://blog.cheap-pills.example.net/de/{n}/?x=1"
+    rows = [(1, at(7)), (2, at(8)), (3, at(url_filter.LISTED_NUMBERS + 1)), (4, at(7)), (5, at("x" * 20_000)), (6, "http://www.cheap-pills.example.net/de/7"), (7, "http://x.cheap-pills.example.net/de/7")]
+    got = {r["page_id"]: r["listed"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.listed_urls(spark)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False}
+
+
 # --- bpe -----------------------------------------------------------------------------------
 
 
@@ -606,6 +624,12 @@ def test_quality(spark):
     assert quality.apply_rules(empty(spark)).count() == 0
 
 
+def test_quality_stop_words(spark):
+    rows = [(1, "THE RIVER OF STONE " * 3 + " ".join(f"WORD{i}" for i in range(60))), (2, " ".join(f"слово{i}" for i in range(60))), (3, " ".join(f"parola{i}" for i in range(60)))]
+    got = {r["doc_id"]: r["kept"] for r in quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: True, 3: False}
+
+
 @needs_tables
 def test_quality_keeps_clean(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("i"), "quality")
