@@ -63,9 +63,10 @@ def rows_of(batch) -> Iterator[dict]:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None, extra: list[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents to blocks, written once to the shared checkpoint folder. Null texts are empty.
+    """Documents to blocks, written once to the shared checkpoint folder. Null texts are empty, and
+    flagged where the caller has no flag of its own.
     The columns named in ``extra`` go along as an Arrow stream, row by row."""
-    mark = F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0))
+    mark = F.coalesce((F.col(text_col).isNull() if flag is None else flag).cast("int"), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("_0"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_1"), mark.cast("int").alias("_2"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(extra)])
 
     def run(batches: Iterator):

@@ -460,7 +460,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             return
         blk = B.Block(row)
         pick = sorted(replies[0]["rows"])
-        texts = [blk.data[blk.starts[i] : blk.starts[i + 1]].decode("utf-8", "replace") for i in pick]
+        texts = [None if blk.flags[i] else blk.data[blk.starts[i] : blk.starts[i + 1]].decode("utf-8", "replace") for i in pick]
         others = [c.take(pa.array(pick)) for c in blk.extra(row)]
         yield pa.RecordBatch.from_arrays([pa.array([int(blk.ids[i]) if blk.known[i] else None for i in pick], pa.int64()), pa.array(texts, pa.string()), *others], names=[f.name for f in fields])
 

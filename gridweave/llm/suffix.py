@@ -586,7 +586,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         blk, data, gone = _cut_block(row, replies)
-        texts = [data[blk.starts[i] : blk.starts[i + 1]][~gone[blk.starts[i] : blk.starts[i + 1]]].tobytes().decode("utf-8", "ignore") for i in range(blk.n)]
+        rest = lambda a, z: data[a:z][~gone[a:z]].tobytes().decode("utf-8", "ignore")
+        texts = [None if blk.flags[i] else rest(blk.starts[i], blk.starts[i + 1]) for i in range(blk.n)]
         yield pa.RecordBatch.from_arrays([pa.array(blk.ids, mask=~blk.known), pa.array(texts, pa.string()), *blk.extra(row)], names=[f.name for f in fields])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
