@@ -3,10 +3,12 @@
 Words fall into classes: each of the ``TOP`` most frequent training words is a class of its
 own, all others are dealt to ``TAILS`` classes by their last two bytes, and a text's end is a
 class. The model predicts the next class from the two before it: the context's vectors are
-mixed by one matrix per position and multiplied with the classes' output vectors. Its likelihood
-depends on the training texts only through how often each class follows each two: these counts
-are taken over all tokens of all training documents, whatever their lengths, and merged into
-shards of contexts. Each step of Adam sums the exact gradient over all shards. Scores come from
+mixed by one matrix per position and multiplied with the classes' output vectors. It is fitted by
+noise-contrastive estimation: each token is told from ``NOISE`` tokens drawn by the classes'
+frequencies. That loss depends on the training texts only through how often each class follows
+each two, and with so few classes the expectation over the noise is a sum: so the counts are
+taken over all tokens of all training documents, whatever their lengths, and merged into shards
+of contexts, and each step of Adam sums the exact gradient over all shards. Scores come from
 batched matrix products that are normalised over all classes that can occur. Within a tail class
 the known words have their shares of the class's training tokens, less the Good-Turing share of
 words not seen yet. What the tail classes leave for such words, added up, is the probability of
@@ -33,7 +35,7 @@ from . import blocks as B
 from .common import cut, tidied
 
 TOP, TAILS, DIM = 448, 63, 24
-STEPS, RATE, CHUNK = 40, 0.1, 1024
+STEPS, RATE, CHUNK, NOISE = 40, 0.1, 1024, 64.0
 HELD_CELLS, SHARD_BYTES, MOST_SHARDS = 4 << 20, 32 << 20, 128
 END = TOP + TAILS
 CLASSES = END + 1
@@ -208,9 +210,14 @@ def count_cells(packed: DataFrame, number: dict[bytes, int], shards: int) -> Dat
     return cut(B.by_bucket(sent, shards, total, "cells binary, counts binary"))
 
 
-def slopes(left, right, q, b, cells, counts):
-    """Sums over ``cells`` of the gradients of the negative log-likelihood with respect to
-    ``left`` and ``right`` (each class's vector times its position's matrix), ``q`` and ``b``."""
+def slopes(left, right, q, b, log_noise, cells, counts):
+    """Sums over ``cells`` of the gradients of the noise-contrastive loss with respect to ``left`` and
+    ``right`` (each class's vector times its position's matrix), ``q`` and ``b``.
+
+    ``log_noise`` is the log of ``NOISE`` times each class's noise probability. A token of class t in
+    a context costs ``-log s(d_t) - sum_w noise_w log(1 - s(d_w))`` with ``d = score - log_noise`` and
+    the logistic function s: with few classes the expectation over the noise is a sum.
+    """
     import numpy as np
 
     context, place = np.unique(cells // CLASSES, return_inverse=True)
@@ -219,15 +226,22 @@ def slopes(left, right, q, b, cells, counts):
     n = np.add.reduceat(counts, edge[:-1]).astype(np.float32)
     counts, target = counts.astype(np.float32), cells % CLASSES
     qt, g_q, g_b, g_h = np.ascontiguousarray(q.T), np.zeros(q.shape), np.zeros(b.shape), np.empty((len(context), DIM), np.float32)
+    shift, noise = (b - log_noise).astype(np.float32), np.exp(log_noise).astype(np.float32)
     for at in range(0, len(context), CHUNK):
         x = slice(at, min(at + CHUNK, len(context)))
         y = slice(edge[x.start], edge[x.stop])
         h = left[first[x]] + right[second[x]]
-        p = h @ qt + b
-        p -= p.max(axis=1, keepdims=True)
+        p = h @ qt + shift
+        np.clip(p, -30, 30, out=p)
+        np.negative(p, out=p)
         np.exp(p, out=p)
-        p *= (n[x] / p.sum(axis=1))[:, None]
-        p.ravel()[(place[y] - at) * CLASSES + target[y]] -= counts[y]
+        p += 1
+        np.reciprocal(p, out=p)
+        where = (place[y] - at) * CLASSES + target[y]
+        pull = counts[y] * (1 - p.ravel()[where])
+        p *= noise
+        p *= n[x][:, None]
+        p.ravel()[where] -= pull
         g_q += p.T @ h
         g_b += p.sum(axis=0)
         g_h[x] = p @ q
@@ -258,12 +272,14 @@ class LogBilinear:
         self.b = np.log(self.unigram).astype(np.float32)
 
     def fit(self, counted: DataFrame, tokens: int) -> LogBilinear:
-        """Adam on the mean log-likelihood of all ``tokens``; each step is one pass over the
-        shards of ``count_cells``, which send four small arrays each."""
+        """Adam on the mean noise-contrastive loss of all ``tokens``, the noise being the classes'
+        frequencies; each step is one pass over the shards of ``count_cells``, which send four small
+        arrays each."""
         import numpy as np
 
         params = [self.r, self.q, self.c, self.b]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        log_noise = np.log(NOISE * self.unigram)
         shapes = [self.r.shape, self.r.shape, self.q.shape, self.b.shape]
         for step in range(1, STEPS + 1 if tokens else 1):
             left, right, q, b = self.r @ self.c[0], self.r @ self.c[1], self.q, self.b
@@ -273,7 +289,7 @@ class LogBilinear:
 
                 for batch in batches:
                     for row in B.rows_of(batch):
-                        found = slopes(left, right, q, b, B.spread_sorted(row["cells"]).astype(np.int64), B.spread(row["counts"]))
+                        found = slopes(left, right, q, b, log_noise, B.spread_sorted(row["cells"]).astype(np.int64), B.spread(row["counts"]))
                         yield pa.RecordBatch.from_pydict({"g": [np.concatenate([x.ravel() for x in found]).astype(np.float32).tobytes()]}, pa.schema([("g", pa.binary())]))
 
             total = np.zeros(sum(int(np.prod(x)) for x in shapes))
@@ -289,41 +305,47 @@ class LogBilinear:
                 p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-9)
         return self
 
-    def log_prob(self, first, second, target):
-        """Normalised natural log-probabilities; each context that occurs is multiplied once."""
+    def norms(self, contexts, unseen=None):
+        """Of each context (``first * (CLASSES + 1) + second``) the log of the sum that normalises its
+        scores and, with ``unseen``, the log-probability of the unknown token: what the tail
+        classes leave for it."""
         import numpy as np
 
-        key = first.astype(np.int64) * (CLASSES + 1) + second
-        contexts, place = np.unique(key, return_inverse=True)
-        norm = np.empty(len(contexts), np.float32)
+        norm, unknown = np.empty(len(contexts), np.float32), np.zeros(len(contexts), np.float32)
         left, right = self.r @ self.c[0], self.r @ self.c[1]
         for at in range(0, len(contexts), 2048):
             c = contexts[at : at + 2048]
             s = (left[c // (CLASSES + 1)] + right[c % (CLASSES + 1)]) @ self.q.T + self.b
             top = s.max(axis=1)
-            norm[at : at + 2048] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        out = np.empty(len(key))
-        for at in range(0, len(key), 1 << 16):
-            x = slice(at, at + (1 << 16))
-            h = left[first[x]] + right[second[x]]
-            out[x] = np.einsum("ij,ij->i", h, self.q[target[x]]) + self.b[target[x]] - norm[place[x]]
-        return out
+            e = np.exp(s - top[:, None])
+            whole = e.sum(axis=1)
+            norm[at : at + 2048] = top + np.log(whole)
+            if unseen is not None:
+                unknown[at : at + 2048] = np.log((e[:, TOP:END].astype(np.float64) @ unseen[TOP:END]) / whole)
+        return norm, unknown
+
+    def all_norms(self, unseen):
+        """``norms`` of every context that there can be: (CLASSES + 1) ** 2, whatever the corpus."""
+        import numpy as np
 
+        return self.norms(np.arange((CLASSES + 1) ** 2), unseen)
 
-    def log_unknown(self, first, second, unseen):
-        """Natural log-probabilities of the unknown token: what the tail classes leave for it."""
+    def log_prob(self, first, second, target, norm=None):
+        """Normalised natural log-probabilities; ``norm`` has the norms of all contexts, else each
+        context that occurs is multiplied once."""
         import numpy as np
 
         key = first.astype(np.int64) * (CLASSES + 1) + second
-        contexts, place = np.unique(key, return_inverse=True)
-        out = np.empty(len(contexts))
+        if norm is None:
+            contexts, place = np.unique(key, return_inverse=True)
+            norm, key = self.norms(contexts)[0], place
         left, right = self.r @ self.c[0], self.r @ self.c[1]
-        for at in range(0, len(contexts), 2048):
-            c = contexts[at : at + 2048]
-            s = (left[c // (CLASSES + 1)] + right[c % (CLASSES + 1)]) @ self.q.T + self.b
-            e = np.exp((s - s.max(axis=1, keepdims=True)).astype(np.float64))
-            out[at : at + 2048] = np.log((e[:, TOP:END] * unseen[TOP:END]).sum(axis=1) / e.sum(axis=1))
-        return out[place]
+        out = np.empty(len(key))
+        for at in range(0, len(key), 1 << 16):
+            x = slice(at, at + (1 << 16))
+            h = left[first[x]] + right[second[x]]
+            out[x] = np.einsum("ij,ij->i", h, self.q[target[x]]) + self.b[target[x]] - norm[key[x]]
+        return out
 
 
 def contexts_of(classes, starts):
@@ -375,9 +397,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     if n_all:
         model.fit(count_cells(packed, number, shards), n_all)
 
+    # The model and its norms for every context are of a size that the classes give.
+    shipped = spark.sparkContext.broadcast((model, *model.all_norms(unseen)))
+
     def run(row: dict, replies: list[dict]):
         import pyarrow as pa
 
+        model, norm, unknown = shipped.value
         blk = B.Block(row)
         texts = [tokens_of(t) for t in blk.texts()]
         parts: dict[int, list[bytes]] = {0: []}
@@ -400,10 +426,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         base = np.log10((local_count + 0.5) / (n_all + 0.5 * (v_all + 1)))
         cls = local_class[ids]
         before = contexts_of(cls, first_at)
-        log_p = model.log_prob(*before, cls) + inside[ids]
+        log_p = model.log_prob(*before, cls, norm) + inside[ids]
         new = np.flatnonzero((local_count == 0)[ids] & (cls != END))
-        if len(new):
-            log_p[new] = model.log_unknown(before[0][new], before[1][new], unseen)
+        log_p[new] = unknown[before[0][new] * (CLASSES + 1) + before[1][new]]
         add = lambda x: np.add.reduceat(x, first_at)
         yield pa.RecordBatch.from_arrays(
             [
