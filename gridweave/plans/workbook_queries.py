@@ -387,3 +387,67 @@ def report_upstream_sources(t):
     refs = trace.levels(w, _MODEL)
     matches, _ = trace.trace(w.where(F.col("file").endswith("/" + _MODEL)), "Summary", w.where("false"), trace.TraceConfig(approximate=False))
     return reports.upstream_sources(matches, refs).select("source", "first_level")
+
+
+# --- text sinks ------------------------------------------------------------------------------
+
+
+@query("""SELECT r_regionkey, 'R' || r_regionkey AS src, 'N' || n_nationkey AS dst, n_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, 'N' || n_nationkey, 'Z' || r_regionkey, NULL FROM region JOIN nation ON n_regionkey = r_regionkey""")
+def diagram_edges(t):
+    """Flowcharts with labels, fans by ``&``, comments and subgraphs, one for each region, as edges."""
+    from collections.abc import Iterator
+
+    from ..sources import diagram
+
+    n = t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    r = n.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "ns")
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for k, ns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = ["flowchart LR", "%% a comment --> not an edge", f'subgraph S["{k}"]', *[f"R{k}[(Region)] -->|{x['n_name']}| N{x['n_nationkey']}{{{{{x['n_name']}}}}}" for x in ns], "end"]
+                lines.append(" & ".join(f"N{x['n_nationkey']}" for x in ns) + f" --> Z{k}([all]);")
+                rows += [(k, a, z, label) for a, z, label in diagram.parse("\n".join(lines))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if i == 0 else pa.string()) for i in range(4)], names=["r_regionkey", "src", "dst", "label"])
+
+    return r.select(F.col("r_regionkey").cast("int"), "ns").mapInArrow(run, "r_regionkey int, src string, dst string, label string")
+
+
+@query(_B + """ SELECT variable_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'input' AS variable_type, CASE WHEN m >= 3 THEN 4 ELSE 3 END AS n FROM b UNION ALL SELECT 'intermediate', CASE WHEN m >= 3 THEN 2 ELSE m + 1 END FROM b UNION ALL SELECT 'output', 2 FROM b) GROUP BY 1""")
+def book_contract_summary(t):
+    """Variables by type, as on the contract report's first sheet."""
+    return own(contract.variables(books(t), ["Summary"])).groupBy("variable_type").agg(F.count("*").alias("n"))
+
+
+@query(_B + """ SELECT lower(item) AS item, kind FROM (SELECT DISTINCT 'region_' || r || '.xlsx' AS item, 'file' AS kind FROM b WHERE k = 3 AND blk = 0 UNION SELECT unnest(['ghost_0.xlsx', 'plan 3.xlsx', 'world.xlsx', 'lost.xlsx']), 'file'
+UNION SELECT unnest(['budget_3.xlsx', 'lists_3.xlsx']), 'file')""")
+def book_required_inputs(t):
+    """Files that formulas need, then connections to other workbooks, each once."""
+    w = books(t)
+    refs = raw_sources.file_refs(w, _MODEL, ["Links"])
+    mine = detect.connections(w.where(F.col("file").endswith("/" + _MODEL))).where("sub_type IN ('external_workbook', 'named_range_external')")
+    return raw_sources.required_inputs(refs, mine).select("item", "kind")
+
+
+@query(_B + """ SELECT CAST(1 AS BIGINT) AS exact, CAST(0 AS BIGINT) AS approximate, CAST(0 AS BIGINT) AS unmatched FROM b WHERE k = 3 AND blk = 0""")
+def book_trace_summary(t):
+    """Counts of a trace of the model's notes among its own workbook's vectors."""
+    w = books(t).where(F.col("file").endswith("/" + _MODEL))
+    m, u = trace.trace(w, "Notes", w, trace.TraceConfig(approximate=False, subsequence=False))
+    both = m.select("match_type").union(u.select(F.lit("unmatched")))
+    return both.agg(*[F.count_if(F.col("match_type") == k).alias(k) for k in ("exact", "approximate", "unmatched")])
+
+
+@query(_B + """ SELECT 'level ' || level AS what, n FROM (SELECT 1 AS level, CAST(5 AS BIGINT) AS n UNION ALL SELECT 2, count(*) FROM nation UNION ALL SELECT 3, count(*) FROM nation WHERE n_nationkey % 2 = 1)""")
+def report_levels(t):
+    """Level rows written to a report workbook and read back from it."""
+    from ..sources import writer
+
+    refs = trace.levels(books(t), _MODEL)
+    shown = refs.select("level", trace.base_name("file").alias("file"), "sheet", "cell", "target_file", "target_sheet", "target", "found")
+    tabs = {f"Level {k}": reports._rows(shown.where(F.col("level") == k), ["file", "sheet", "cell"]) for k in (1, 2, 3)}
+    back = reports.read_levels(refs.sparkSession.createDataFrame([("levels.xlsx", writer.report_bytes(tabs))], "file string, content binary"))
+    return back.groupBy(F.concat(F.lit("level "), F.col("level")).alias("what")).agg(F.count("*").alias("n"))

@@ -67,13 +67,17 @@ def safe_sheet_name(name: str, used: set[str], longest: int = 31) -> str:
     return out
 
 
-def write_report(path: str | Path, tables: dict[str, tuple[list[str], Iterable[Iterable]]]) -> Path:
+def report_bytes(tables: dict[str, tuple[list[str], Iterable[Iterable]]]) -> bytes:
     """A workbook of report tables: a sheet each, with a header row. Reports are summaries whose
     rows a person reads; large results are written with ``DataFrame.write``."""
     used: set[str] = set()
+    return workbook_bytes({safe_sheet_name(n, used): [head, *([x if x is None or isinstance(x, (int, float, bool)) else str(x)[:32_000].lstrip("=") for x in r] for r in rows)] for n, (head, rows) in tables.items()})
+
+
+def write_report(path: str | Path, tables: dict[str, tuple[list[str], Iterable[Iterable]]]) -> Path:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes(workbook_bytes({safe_sheet_name(n, used): [head, *([x if x is None or isinstance(x, (int, float, bool)) else str(x)[:32_000].lstrip("=") for x in r] for r in rows)] for n, (head, rows) in tables.items()}))
+    path.write_bytes(report_bytes(tables))
     return path
 
 
