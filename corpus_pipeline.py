@@ -57,15 +57,26 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written as Parquet and read again."""
+    """All stages over ``documents``; each stage's result is written as Parquet and read again, and
+    goes when the next one's has been written. The last one stays for the caller to read."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            drop(spark, before)
+        before = f"{folder}/{k}-{name}"
     return docs
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Trained models and suffix arrays have no counterpart in SQL; the tests hold the stages
 #: against brute force.
 ORACLE_SQL = None

@@ -131,25 +131,23 @@ class ByteCnn:
                 out[w, w - 1] = taps[w - 1]
         return out
 
-    def log_probs(self, flat, tables: dict):
-        """Log-probabilities of each ``WINDOW`` bytes of a buffer, a multiple of it long."""
+    def log_probs(self, flat, starts, tables: dict):
+        """Log-probabilities of the windows of a buffer that begin at ``starts``; a filter reads up to
+        ``max(WIDTHS) - 1`` bytes beyond its window, which the buffer must have."""
         import numpy as np
 
-        n, pad = len(flat) // WINDOW, max(WIDTHS)
-        flat = np.concatenate([flat, np.zeros(pad, np.uint8)])
+        reach = np.arange(WINDOW + max(WIDTHS) - 1)
         out = []
-        for at in range(0, n, _SLICE):
-            stop = min(n, at + _SLICE)
-            length = (stop - at) * WINDOW
-            b = flat[at * WINDOW : at * WINDOW + length + pad]
-            pair = b[:-1].astype(np.uint16) * np.uint16(256) + b[1:]
+        for at in range(0, len(starts), _SLICE):
+            b = flat[starts[at : at + _SLICE, None] + reach]
+            pair = b[:, :-1].astype(np.uint16) * np.uint16(256) + b[:, 1:]
             pooled = []
             for w in WIDTHS:
                 conv = None
                 for k in range(0, w, 2):
-                    part = tables[w, k].take(pair[k : k + length] if k + 1 < w else b[k : k + length], axis=0)
+                    part = tables[w, k].take((pair if k + 1 < w else b)[:, k : k + WINDOW], axis=0)
                     conv = part if conv is None else np.add(conv, part, out=conv)
-                pooled.append(conv.reshape(stop - at, WINDOW, FILTERS).max(axis=1))
+                pooled.append(conv.max(axis=1))
             hidden = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0)
             z = hidden @ self.out + self.out_bias
             z -= z.max(axis=1, keepdims=True)
@@ -183,11 +181,14 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
                 names, scores = ["und"] * len(texts), np.zeros(len(texts))
                 if use:
                     raws = [_window_bytes(texts[i]) for i in use]
-                    # Zeros after each text keep filters from reaching the next one.
-                    sizes = [-(-(len(r) + max(WIDTHS) - 1) // WINDOW) for r in raws]
-                    flat = np.frombuffer(b"".join([r.ljust(n * WINDOW, b"\0") for r, n in zip(raws, sizes, strict=True)]), np.uint8)
-                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    mean = np.add.reduceat(model.log_probs(flat, tables).astype(np.float64), starts) / np.asarray(sizes)[:, None]
+                    # Zeros after each text, as in training, keep filters from reaching the next one.
+                    sizes = np.array([-(-len(r) // WINDOW) for r in raws])
+                    room = sizes * WINDOW + max(WIDTHS) - 1
+                    flat = np.frombuffer(b"".join([r.ljust(n, b"\0") for r, n in zip(raws, room.tolist(), strict=True)]), np.uint8)
+                    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    begin = np.concatenate([[0], np.cumsum(room)[:-1]])
+                    starts = np.repeat(begin - first * WINDOW, sizes) + np.arange(sizes.sum()) * WINDOW
+                    mean = np.add.reduceat(model.log_probs(flat, starts, tables).astype(np.float64), first) / sizes[:, None]
                     p = np.exp(mean - mean.max(axis=1, keepdims=True))
                     p /= p.sum(axis=1, keepdims=True)
                     for i, k, s in zip(use, p.argmax(axis=1), p.max(axis=1), strict=True):

@@ -104,6 +104,49 @@ def test_language_empty(spark):
     assert langid.predict(empty(spark), None).count() == 0
 
 
+def test_language_ties_and_null_labels(spark):
+    rows = [(i, "the same text for both of them", lang) for i in range(40) for lang in ("b", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs.where("lang IS NULL"), F.lit(True)) is None
+    model = langid.train(docs, F.col("doc_id") % 4 != 2)
+    assert model.labels == ["a", "b"]
+    assert len({(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model).collect()}) == 1
+
+
+def test_language_scores_by_hand():
+    """Scores of windows against the plain network, whatever text comes next."""
+    rng = np.random.default_rng(5)
+    model = langid.ByteCnn(["a", "b", "c"])
+    for x in (model.bias, model.out_bias):
+        x += rng.normal(size=x.shape)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (1, 5, 127, 128, 129, 126, 300)]
+    pad = max(langid.WIDTHS) - 1
+
+    def plain(piece):
+        b = np.frombuffer(piece.ljust(langid.WINDOW + pad, b"\0"), np.uint8)
+        pooled = [max(sum(t[k][b[p + k]][f] for k in range(w)) for p in range(langid.WINDOW)) for w, t in model.taps.items() for f in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+        return z - np.log(np.exp(z).sum())
+
+    flat, starts, want = b"", [], []
+    for t in texts:
+        n = -(-len(t) // langid.WINDOW)
+        whole = t.ljust(n * langid.WINDOW + pad, b"\0")
+        for k in range(n):
+            starts.append(len(flat) + k * langid.WINDOW)
+            want.append(plain(whole[k * langid.WINDOW : (k + 1) * langid.WINDOW + pad]))
+        flat += whole
+    got = model.log_probs(np.frombuffer(flat, np.uint8), np.array(starts), model.tables())
+    assert np.allclose(got, np.array(want), atol=1e-4)
+
+
+def test_language_refuses_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some text here", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(docs, F.lit(True))
+
+
 # --- suffixes ------------------------------------------------------------------------------
 
 
