@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 from ..functions.formulas import query_sources
+from ..sources.macros import modules
 from ..sources.workbook import Book, local, split_ref
 
 CONNECTIONS = (
@@ -194,9 +195,12 @@ def macro_sources(code: str, module: str) -> Iterator[tuple]:
 
 
 def macros(book: Book) -> Iterator[tuple]:
-    """Text patterns in the raw bytes of the macro project; compressed streams stay opaque."""
+    """Sources in each module of the macro project; in its raw bytes, if no module can be read."""
     data = book.raw("xl/vbaProject.bin")
-    if data:
+    found = modules(data) if data else []
+    for name, code in found:
+        yield from macro_sources(code, f"VBA:{name}")
+    if data and not found:
         yield from macro_sources(data.decode("latin-1"), "xl/vbaProject.bin")
 
 

@@ -180,3 +180,70 @@ def test_macro_families():
     got = {(r[1], r[2], r[3]) for r in E.macro_sources(code, "M")}
     assert ("database", "odbc", "srv9/db9") in got and ("web", "url", "https://o.org/a.xls") in got and ("file", "local_file", "C:\\x\\y.doc") in got
     assert not any(k == "xmlhttp_request" for _, k, _ in got)
+
+
+def packed_plain(text: bytes) -> bytes:
+    """A compressed container without copies."""
+    out = b"\x01"
+    for at in range(0, len(text), 3600):
+        part = text[at : at + 3600]
+        body = b"".join(b"\0" + part[k : k + 8] for k in range(0, len(part), 8))
+        out += (0xB000 | (len(body) - 1)).to_bytes(2, "little") + body
+    return out
+
+
+def compound(streams: dict[str, bytes], cutoff: int) -> bytes:
+    """A compound file with sectors of 512 bytes; streams under ``cutoff`` are in the mini stream."""
+    import struct
+
+    free, end = 0xFFFFFFFF, 0xFFFFFFFE
+    fat, body, mini, mini_fat, entries = [0xFFFFFFFD], [b"\0" * 512], b"", [], []
+
+    def store(data: bytes) -> int:
+        first = len(fat)
+        parts = [data[k : k + 512].ljust(512, b"\0") for k in range(0, len(data), 512)]
+        for k, p in enumerate(parts):
+            fat.append(first + k + 1 if k + 1 < len(parts) else end)
+            body.append(p)
+        return first
+
+    for name, data in streams.items():
+        if len(data) < cutoff:
+            first, n = len(mini_fat), -(-len(data) // 64)
+            mini_fat += [first + k + 1 for k in range(n - 1)] + [end]
+            mini += data.ljust(n * 64, b"\0")
+        else:
+            first = store(data)
+        entries.append((name, 2, first, len(data)))
+    root = store(mini) if mini else end
+    mini_at = store(struct.pack(f"<{len(mini_fat)}I", *mini_fat).ljust(512, b"\xff")) if mini_fat else end
+    rows = b""
+    for name, kind, start, size in [("Root Entry", 5, root, len(mini)), *entries]:
+        text = name.encode("utf-16-le")
+        rows += (text.ljust(64, b"\0") + struct.pack("<HB", len(text) + 2, kind)).ljust(116, b"\0") + struct.pack("<IQ", start, size)
+    directory = store(rows.ljust(-(-len(rows) // 512) * 512, b"\0"))
+    body[0] = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+    head = bytes.fromhex("d0cf11e0a1b11ae1").ljust(0x1E, b"\0") + struct.pack("<HH", 9, 6)
+    head = head.ljust(0x30, b"\0") + struct.pack("<I4xIIIII", directory, cutoff, mini_at, int(bool(mini_fat)), end, 0)
+    return head.ljust(0x4C, b"\0") + struct.pack("<109I", 0, *[free] * 108) + b"".join(body)
+
+
+def test_macro_modules():
+    from gridweave.sources import macros
+
+    # A worked example of the format's specification.
+    example = bytes.fromhex("012fb000236161616263646582660070616768696a013808616b6c00306d6e6f70067102700410727374757610777879 7a003c".replace(" ", ""))
+    assert macros.unpacked(example) == b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa"
+    code = b'Attribute VB_Name = "M"\r\n' + b"' a line\r\n" * 700 + b'Workbooks.Open "D:\\in\\b.xlsx"\r\n'
+    small = b'Attribute VB_Name = "S"\r\nx = "https://small.org/one"\r\n'
+    project = compound({"M": b"junk" * 9 + packed_plain(code), "S": b"ab" + packed_plain(small), "dir": packed_plain(b"no module")}, 1024)
+    assert [(n, t.encode()) for n, t in macros.modules(project)] == [("M", code), ("S", small)]
+
+    class Holder:
+        def raw(self, part):
+            return project
+
+    got = {(r[2], r[3], r[5]) for r in E.macros(Holder())}
+    assert ("workbooks_open", "D:\\in\\b.xlsx", "VBA:M:702") in got and ("url", "https://small.org/one", "VBA:S:2") in got
+    for cut in (b"", b"not a project", project[:700], project[:2000], b"\xff" * 600, project[:8] + b"\xff" * 900):
+        assert isinstance(macros.modules(cut), list)
