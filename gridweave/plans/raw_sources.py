@@ -95,7 +95,7 @@ def scenarios(books: DataFrame) -> DataFrame:
 
 def binary_workbooks(spark, folder: str, refs: DataFrame) -> DataFrame:
     """Warnings for .xlsb files, which are not read: those in the folder and those referred to."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".xlsb")).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit("in folder").alias("why"))
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS][bB]").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit("in folder").alias("why"))
     return there.unionByName(refs.where(F.lower("target_file").endswith(".xlsb")).select(F.col("target_file").alias("file"), F.lit("referred to").alias("why")).distinct())
 
 

@@ -41,7 +41,8 @@ def trace_summary(matches: DataFrame, unmatched: DataFrame) -> dict[str, int]:
 
 def _rows(df: DataFrame, order: list[str]) -> tuple[list[str], list[list]]:
     plain = df.select(*[F.to_json(c).alias(c) if kind.startswith(("struct", "map", "array<struct")) else F.array_join(F.col(c).cast("array<string>"), ", ").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes])
-    return plain.columns, [list(r) for r in plain.orderBy(*[c for c in order if c in plain.columns]).collect()]
+    keys = [c for c in order if c in plain.columns]
+    return plain.columns, [list(r) for r in (plain.orderBy(*keys) if keys else plain).collect()]
 
 
 def trace_report(path: str | Path, config: TraceConfig, matches: DataFrame, unmatched: DataFrame, refs: DataFrame | None = None, model: str = "") -> Path:
@@ -88,7 +89,7 @@ def sources_summary(tables: dict[str, DataFrame]) -> dict[str, int]:
 def sources_report(path: str | Path, tables: dict[str, DataFrame]) -> Path:
     tabs: dict = {"Summary": (["what", "count"], [[k, v] for k, v in sources_summary(tables).items()])}
     for name, df in tables.items():
-        tabs[name.replace("_", " ").title()] = _rows(df, ["level", "file", "sheet", "location", "item"])
+        tabs[name.replace("_", " ").title()] = _rows(df, ["level", "file", "missing", "sheet", "location", "item"])
     return writer.write_report(path, tabs)
 
 

@@ -170,8 +170,9 @@ class Book:
 
 
 def files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """(file, content) of the .xlsx and .xlsm files at ``paths``, each path once."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """(file, content) of the .xlsx and .xlsm files at ``paths``, each path once; others are not
+    listed, so they are not opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[xX][lL][sS][xXmM]")
     listed = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     return reader.load(listed).where(F.lower("path").rlike(r"\.xls[xm]$")).select(F.col("path").alias("file"), "content")
 
