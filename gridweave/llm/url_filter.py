@@ -98,7 +98,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         hit = hit & (F.get("words", first + k).bitwiseAND(F.col(f"bf_{k}")) != 0)
     rows = rows.select(id_col, "host", "path", "rule", "rule_verdict", "canonical", F.coalesce(hit, F.lit(False)).alias("maybe_listed"))
     misses = rows.where("NOT maybe_listed").withColumn("listed", F.lit(False))
-    exact = listed.withColumn("found", F.lit(True))
+    # Spark knows no size of a list made by rule and might send it to all; so the way is named.
+    exact = listed.withColumn("found", F.lit(True)).hint("merge")
     hits = rows.where("maybe_listed").join(exact, F.col("canonical") == F.col("listed_url"), "left")
     hits = hits.withColumn("listed", F.coalesce("found", F.lit(False))).drop("found", "listed_url")
     verdict = F.coalesce("rule_verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))

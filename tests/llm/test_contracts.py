@@ -530,6 +530,7 @@ def test_urls_that_miss_the_filter_do_not_move(spark):
     physical = url_filter.judge(pages, listed)._jdf.queryExecution().executedPlan().toString()
     moved = [x for x in physical.splitlines() if "Exchange hashpartitioning(" in x]
     assert moved and not any("page_id" in x for x in moved)
+    assert "SortMergeJoin [canonical" in physical and physical.count("BroadcastHashJoin") == 2
     assert sum("hashpartitioning(canonical" in x for x in moved) <= 1 and not any("hashpartitioning(bf_" in x for x in moved if "bf_shard" in x)
 
 
