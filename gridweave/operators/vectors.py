@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .graph import cut
 
 MIN_LENGTH = 3
 #: Places of a line that are looked through together, and numbers that a task holds in windows.
 RUN_BLOCK, WINDOW_CELLS = 4096, 1 << 22
+#: Of rows that are paired by a key, left and right: rows in a piece, pieces in a block.
+PAIR_PIECES, PAIR_BLOCKS = (64, 128), (16, 64)
+#: Pairs that a task makes, about, and most tasks.
+TASK_PAIRS, MAX_PAIR_TASKS = 1 << 22, 4096
 
 
 def runs(cells: DataFrame, lines: list[str], index: str, value: str, min_len: int = MIN_LENGTH, block: int = RUN_BLOCK) -> DataFrame:
@@ -53,19 +58,62 @@ def exact_matches(model: DataFrame, upstream: DataFrame, key: str = "values", pl
     return model.withColumn("match_key", rounded(F.col(key), places)).join(up, "match_key").drop("match_key")
 
 
-def contained_matches(model: DataFrame, upstream: DataFrame, key: str = "values", head: int = 2, places: int = 8) -> DataFrame:
-    """Each offset at which a model vector is a window of a strictly longer upstream one.
+def contained_places(model: DataFrame, upstream: DataFrame, key: str = "values", head: int = 2, places: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(model, places), both with the rounded model vector as ``match_key``.
 
-    Windows are not materialised: each position of an upstream vector is keyed by its next
-    ``head`` values, which an equi-join meets with the model's first ``head`` values; the rest
-    is compared where the heads agree. ``head`` must not exceed the shortest model vector.
+    ``places`` has a row for each place at which a distinct model vector is a window of a
+    strictly longer upstream one: ``up_`` columns and ``offset``. Windows are not materialised:
+    each position of an upstream vector is keyed by its next ``head`` values, which an equi-join
+    meets with the first ``head`` values of the distinct model vectors; the rest is compared
+    where the heads agree. ``head`` must not exceed the shortest model vector.
     """
+    m = model.withColumn("match_key", rounded(F.col(key), places)).where(F.col("match_key").isNotNull())
     up = upstream.select(*[F.col(c).alias(f"up_{c}") for c in upstream.columns]).withColumn("up_round", rounded(F.col(f"up_{key}"), places))
+    up = up.where(F.size("up_round") > head)
     at = up.withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("up_round") - head))).withColumn("match_head", F.slice("up_round", F.col("offset") + 1, head))
-    m = model.withColumn("model_round", rounded(F.col(key), places)).withColumn("match_head", F.slice("model_round", 1, head))
-    n = F.size("model_round")
-    same = (F.size("up_round") > n) & (F.slice("up_round", F.col("offset") + 1, n) == F.col("model_round"))
-    return m.join(at, "match_head").where(same).drop("match_head", "up_round", "model_round")
+    n = F.size("match_key")
+    same = (F.size("up_round") > n) & (F.size("up_round") >= F.col("offset") + n) & (F.slice("up_round", F.col("offset") + 1, n) == F.col("match_key"))
+    vectors = m.select("match_key").distinct().withColumn("match_head", F.slice("match_key", 1, head))
+    return m, at.join(vectors, "match_head").where(same).drop("match_head", "up_round")
+
+
+def contained_matches(model: DataFrame, upstream: DataFrame, key: str = "values", head: int = 2, places: int = 8) -> DataFrame:
+    """Each offset at which a model vector is a window of a strictly longer upstream one.
+
+    Places are looked for once for each distinct model vector, then paired with its copies."""
+    return paired(*contained_places(model, upstream, key, head, places), "match_key")
+
+
+def paired(left: DataFrame, right: DataFrame, on: str, pieces: tuple[int, int] = PAIR_PIECES, blocks: tuple[int, int] = PAIR_BLOCKS) -> DataFrame:
+    """The equi-join on ``on``, without it, where keys may have very many rows on both sides.
+
+    The rows of a key are dealt to pieces, which are arrays of about ``pieces`` rows, and those
+    to blocks of ``blocks`` pieces; each block meets each of the other side once. So a row is
+    shuffled once for each block that it meets, and no key is one task. Spark holds all that
+    comes of one row in memory: a right piece with a left block, 32,768 pairs. As a left piece
+    is repeated for each row of a right one, columns of the pairs are encoded in few bytes. Both
+    sides are materialised before; their other columns must differ.
+    """
+    left, right = (cut(d.withColumn("pair_at", F.monotonically_increasing_id())) for d in (left, right))
+    count = lambda d, n: d.groupBy(on).agg(F.count("*").alias(n))
+    keys = cut(count(left, "left_rows").join(count(right, "right_rows"), on).withColumn("pair_key", F.monotonically_increasing_id()))
+    pairs = keys.agg(F.sum(F.col("left_rows").cast("double") * F.col("right_rows"))).first()[0] or 0.0
+    tasks = int(min(MAX_PAIR_TASKS, pairs // TASK_PAIRS + 1))
+    n_pieces = lambda k, side: F.ceil(F.col(f"{side}_rows") / pieces[k]).alias(f"{side}_pieces")
+    keys = keys.select(on, "pair_key", n_pieces(0, "left"), n_pieces(1, "right"))
+    tile = ["pair_key", "left_block", "right_block"]
+
+    def dealt(d: DataFrame, own: str, other: str, k: int) -> DataFrame:
+        piece = F.pmod(F.xxhash64("pair_at"), F.col(f"{own}_pieces")).alias("piece")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"{other}_pieces") - 1) / blocks[1 - k]))).alias(f"{other}_block")
+        row = F.struct(*[c for c in d.columns if c not in (on, "pair_at")]).alias(own)
+        rows = d.join(keys, on).select("pair_key", piece, every, row).withColumn(f"{own}_block", F.floor(F.col("piece") / blocks[k]))
+        return rows.repartition(tasks, *tile).groupBy(*tile, "piece").agg(F.collect_list(own).alias(own)).drop("piece")
+
+    # A broadcast or hashed join might go through the sides the other way round.
+    met = dealt(right, "right", "left", 1).hint("merge").join(dealt(left, "left", "right", 0), tile)
+    met = met.select("left", F.explode("right").alias("right")).select(F.explode("left").alias("left"), "right")
+    return met.select("left.*", "right.*")
 
 
 def _dealt(model: DataFrame, upstream: DataFrame, partners, shard_rows: int, model_rows: int) -> tuple[DataFrame, DataFrame]:

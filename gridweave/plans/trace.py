@@ -49,7 +49,8 @@ def match(model: DataFrame, upstream: DataFrame, config: TraceConfig = TraceConf
         e = V.exact_matches(m, u, places=config.decimal_places)
         found = found.union(e.select(F.col("vid").alias("model_id"), F.col("up_vid").alias("up_id"), F.lit(0).alias("offset"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type")))
         if config.subsequence:
-            s = V.contained_matches(m, u, head=min(config.min_length, 3), places=config.decimal_places)
+            side = lambda d: d.select("vid", "direction", "values")
+            s = V.contained_matches(side(m), side(u), head=min(config.min_length, 3), places=config.decimal_places)
             if config.direction_sensitive:
                 s = s.where(F.col("direction") == F.col("up_direction"))
             found = found.union(s.select(F.col("vid").alias("model_id"), F.col("up_vid").alias("up_id"), "offset", F.lit(1.0).alias("similarity"), F.lit("exact_subsequence").alias("match_type")))

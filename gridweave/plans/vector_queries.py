@@ -86,11 +86,14 @@ _SUBS = _HALVES + """, w AS (SELECT l_orderkey, first_idx, values, length, unnes
   FROM runs m JOIN w u ON m.l_returnflag = 'A' AND u.length > m.length AND u.o + m.length <= u.length AND u.values[u.o + 1 : u.o + m.length] = m.values)"""
 
 
+def subsequence_places(t):
+    """Model runs, and where each distinct one lies within a longer run; ``match_key`` has its values."""
+    m, at = V.contained_places(half_runs(t, "A"), half_runs(t, "R"), head=2)
+    return m.select("match_key", F.col("l_orderkey").alias("model_key"), F.col("first_idx").alias("model_first")), at.select("match_key", F.col("up_l_orderkey").alias("up_key"), F.col("up_first_idx").alias("up_first"), "offset")
+
+
 def subsequences(t):
-    m = V.contained_matches(half_runs(t, "A"), half_runs(t, "R"), head=2)
-    return m.select(
-        F.col("l_orderkey").alias("model_key"), F.col("first_idx").alias("model_first"), F.col("length").alias("model_len"), F.col("up_l_orderkey").alias("up_key"), F.col("up_first_idx").alias("up_first"), "offset"
-    )
+    return V.paired(*subsequence_places(t), "match_key")
 
 
 @query(_SUBS + ' SELECT model_key, model_first, up_key, up_first, "offset" FROM hits')
@@ -103,9 +106,10 @@ _LETTER = "(CASE WHEN {n} <= 26 THEN chr(CAST(64 + {n} AS INTEGER)) ELSE chr(CAS
 
 @query(_SUBS + f""" SELECT model_key, up_key, up_first, "offset", {_LETTER.format(n='(up_first + "offset")')} || up_key || ':' || {_LETTER.format(n='(up_first + "offset" + model_len - 1)')} || up_key AS matched_range FROM hits""")
 def matched_sub_range(t):
-    s = subsequences(t)
-    rng = refs.sub_range(F.lit("row"), F.col("up_key"), F.col("up_first"), F.col("offset"), F.col("model_len"))
-    return s.select("model_key", "up_key", "up_first", "offset", rng.alias("matched_range"))
+    """The range is the same for all copies of a model run, so it is made once for each place."""
+    m, at = subsequence_places(t)
+    rng = refs.sub_range(F.lit("row"), F.col("up_key"), F.col("up_first"), F.col("offset"), F.size("match_key"))
+    return V.paired(m.drop("model_first"), at.withColumn("matched_range", rng), "match_key").select("model_key", "up_key", "up_first", "offset", "matched_range")
 
 
 @query(_SUBS + """ SELECT l_orderkey AS model_key, first_idx AS model_first FROM runs r WHERE l_returnflag = 'A'

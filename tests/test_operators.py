@@ -20,6 +20,37 @@ def test_exact_and_contained(spark):
     assert [r["vid"] for r in V.unmatched(model, V.exact_matches(model, up), "vid", "vid").collect()] == [8]
 
 
+def test_paired(spark):
+    """Blocks and pieces of few rows; equal rows count, keys that are null or alone don't."""
+    rows = [((None, "a", "b", "c")[i % 4], i % 50) for i in range(200)]
+    left = spark.createDataFrame(rows, "k string, x long")
+    right = spark.createDataFrame([("a", i // 2) for i in range(90)] + [("b", 7), ("d", 8), (None, 9)], "k string, y long")
+    want = sorted((r["x"], r["y"]) for r in left.join(right, "k").collect())
+    for pieces, blocks in (((3, 2), (2, 4)), ((1, 1), (1, 1)), ((64, 128), (16, 64))):
+        assert sorted(tuple(r) for r in V.paired(left, right, "k", pieces, blocks).collect()) == want
+    nothing = V.paired(left, right.where("k = 'd'"), "k")
+    assert nothing.columns == ["x", "y"] and nothing.isEmpty()
+    zeros = V.paired(vec(spark, [(1, [0.0, 1]), (2, [-0.0, 1]), (3, [float("nan"), 1])]), vec(spark, [(4, [-0.0, 1]), (5, [float("nan"), 1])]).withColumnRenamed("vid", "up"), "values")
+    assert sorted(map(tuple, zeros.collect())) == [(1, 4), (2, 4), (3, 5)]
+
+
+def copies(spark, n, values, first=0):
+    """Vectors of other ids each time, as orders have them."""
+    numbers = F.array(*[F.lit(float(x)) for x in values])
+    return spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + first).alias("vid"), numbers.alias("values"))
+
+
+def test_copies_of_a_contained_vector_are_not_one_task(spark):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(setting, "-1")
+    try:
+        got = V.contained_matches(copies(spark, 5000, [2, 3]), copies(spark, 9000, [1, 2, 3]))
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert sum(tasks) == 45_000_000 and max(tasks) < 0.5 * sum(tasks)
+
+
 def test_similar_and_windows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(99, None)]
