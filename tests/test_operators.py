@@ -51,6 +51,13 @@ def test_copies_of_a_contained_vector_are_not_one_task(spark):
     assert sum(tasks) == 45_000_000 and max(tasks) < 0.5 * sum(tasks)
 
 
+def test_pairs_of_copies_take_few_bytes(spark, tmp_path):
+    got = V.contained_matches(copies(spark, 2003, [2, 3]), copies(spark, 3001, [1, 2, 3])).select("vid", "up_vid", "offset")
+    got.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 2003 * 3001
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 2003 * 3001
+
+
 def test_similar_and_windows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(99, None)]
