@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ RUN_BLOCK, WINDOW_CELLS = 4096, 1 << 22
 PAIR_PIECES, PAIR_BLOCKS = (64, 128), (16, 64)
 #: Pairs that a task makes, about, and most tasks.
 TASK_PAIRS, MAX_PAIR_TASKS = 1 << 22, 4096
+#: Keys with so many pairs, the first so many of them, are paired without a shuffle of copies. Rows in
+#: a piece, left and right, and right rows that a task holds. Parquet packs 504 values in a run at most;
+#: of a third of that, pairs took least room.
+CROSS_PAIRS, CROSS_KEYS, CROSS_PIECES, CROSS_ROWS = 1 << 22, 1024, (168, 128), 1 << 20
+#: Shuffle partitions for each pack of a key.
+PACK_PARTITIONS = 4
 
 
 def runs(cells: DataFrame, lines: list[str], index: str, value: str, min_len: int = MIN_LENGTH, block: int = RUN_BLOCK) -> DataFrame:
@@ -58,16 +66,18 @@ def exact_matches(model: DataFrame, upstream: DataFrame, key: str = "values", pl
     return model.withColumn("match_key", rounded(F.col(key), places)).join(up, "match_key").drop("match_key")
 
 
-def contained_places(model: DataFrame, upstream: DataFrame, key: str = "values", head: int = 2, places: int = 8) -> tuple[DataFrame, DataFrame]:
+def contained_places(model: DataFrame, upstream: DataFrame, key: str = "values", head: int = 2, places: int = 8, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(model, places), both with the rounded model vector as ``match_key``.
 
+    The model is ``packed``, so it is read once, with its ``columns`` (all, if not given).
+
     ``places`` has a row for each place at which a distinct model vector is a window of a
     strictly longer upstream one: ``up_`` columns and ``offset``. Windows are not materialised:
     each position of an upstream vector is keyed by its next ``head`` values, which an equi-join
     meets with the first ``head`` values of the distinct model vectors; the rest is compared
     where the heads agree. ``head`` must not exceed the shortest model vector.
     """
-    m = model.withColumn("match_key", rounded(F.col(key), places)).where(F.col("match_key").isNotNull())
+    m = packed(model.select(rounded(F.col(key), places).alias("match_key"), *(columns or model.columns)), "match_key")
     up = upstream.select(*[F.col(c).alias(f"up_{c}") for c in upstream.columns]).withColumn("up_round", rounded(F.col(f"up_{key}"), places))
     up = up.where(F.size("up_round") > head)
     at = up.withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("up_round") - head))).withColumn("match_head", F.slice("up_round", F.col("offset") + 1, head))
@@ -81,41 +91,94 @@ def contained_matches(model: DataFrame, upstream: DataFrame, key: str = "values"
     """Each offset at which a model vector is a window of a strictly longer upstream one.
 
     Places are looked for once for each distinct model vector, then paired with its copies."""
-    return paired(*contained_places(model, upstream, key, head, places), "match_key")
+    m, at = contained_places(model, upstream, key, head, places)
+    return paired_packs(m, packed(at, "match_key"), "match_key")
+
+
+def packed(d: DataFrame, on: str) -> DataFrame:
+    """The rows of a key as arrays side by side, one for each other column, materialised.
+
+    The rows of a key are dealt by a hash to a pack for each few shuffle partitions, and sorted by
+    their columns in their order. Rows whose key is null are left out."""
+    n = -(-int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PACK_PARTITIONS)
+    rest = [c for c in d.columns if c != on]
+    rows = d.where(F.col(on).isNotNull()).groupBy(on, F.pmod(F.xxhash64(*rest), F.lit(n)).alias("pack"))
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+    return cut(rows.select(on, *[F.col("rows")[c].alias(c) for c in rest]))
 
 
 def paired(left: DataFrame, right: DataFrame, on: str, pieces: tuple[int, int] = PAIR_PIECES, blocks: tuple[int, int] = PAIR_BLOCKS) -> DataFrame:
-    """The equi-join on ``on``, without it, where keys may have very many rows on both sides.
-
-    The rows of a key are dealt to pieces, which are arrays of about ``pieces`` rows, and those
-    to blocks of ``blocks`` pieces; each block meets each of the other side once. So a row is
-    shuffled once for each block that it meets, and no key is one task. Spark holds all that
-    comes of one row in memory: a right piece with a left block, 32,768 pairs. As a left piece
-    is repeated for each row of a right one, columns of the pairs are encoded in few bytes. Both
-    sides are materialised before; their other columns must differ.
+    """The equi-join on ``on``, without it, where keys may have very many rows on both sides."""
+    return paired_packs(packed(left, on), packed(right, on), on, pieces, blocks)
+
+
+def paired_packs(left: DataFrame, right: DataFrame, on: str, pieces: tuple[int, int] = PAIR_PIECES, blocks: tuple[int, int] = PAIR_BLOCKS) -> DataFrame:
+    """``paired`` for sides that are ``packed``; their other columns must differ.
+
+    The keys with most pairs, a bounded number, go through ``_crossed``, which shuffles a row once
+    however many it meets. The rows of other keys are dealt to pieces, which are arrays of about
+    ``pieces`` rows, and those to blocks of ``blocks`` pieces; each block meets each of the other
+    side once. So no key is one task. Spark holds all that comes of one row in memory: a right
+    piece with a left block. As a left piece is repeated for each row of a right one, columns of
+    the pairs are encoded in few bytes.
     """
-    left, right = (cut(d.withColumn("pair_at", F.monotonically_increasing_id())) for d in (left, right))
-    count = lambda d, n: d.groupBy(on).agg(F.count("*").alias(n))
-    keys = cut(count(left, "left_rows").join(count(right, "right_rows"), on).withColumn("pair_key", F.monotonically_increasing_id()))
-    pairs = keys.agg(F.sum(F.col("left_rows").cast("double") * F.col("right_rows"))).first()[0] or 0.0
-    tasks = int(min(MAX_PAIR_TASKS, pairs // TASK_PAIRS + 1))
+    sides = [[c for c in d.columns if c != on] for d in (left, right)]
+    count = lambda k, n: (left, right)[k].groupBy(on).agg(F.sum(F.size(sides[k][0])).alias(f"{n}_rows"), F.count("*").alias(f"{n}_packs"))
+    keys = count(0, "left").join(count(1, "right"), on).withColumn("pairs", F.col("left_rows").cast("double") * F.col("right_rows"))
+    keys = cut(keys.withColumn("pair_key", F.monotonically_increasing_id()))
+    most = keys.where(F.col("pairs") >= CROSS_PAIRS).orderBy(F.desc("pairs"), "pair_key").limit(CROSS_KEYS).drop(on).collect()
+    # As many as have more pairs of rows than pairs of pieces, each of which is looked at.
+    seen = [list(accumulate(r[f"{side}_packs"] + r[f"{side}_rows"] / n for r in most)) for side, n in zip(("left", "right"), CROSS_PIECES, strict=True)]
+    most = most[: max((i for i, (a, b, p) in enumerate(zip(*seen, accumulate(r["pairs"] for r in most), strict=True), 1) if a * b <= p), default=0)]
+    hot = F.col("pair_key").isin([r["pair_key"] for r in most])
+    crossed = _crossed(left, right, on, keys.where(hot).select(on, "pair_key"), sum(r["pairs"] for r in most), sum(r["right_rows"] for r in most)) if most else None
+    keys = keys.where(~hot) if most else keys
+    pairs = keys.agg(F.sum("pairs")).first()[0]
+    if most and not pairs:
+        return crossed
+    tasks = int(min(MAX_PAIR_TASKS, (pairs or 0.0) // TASK_PAIRS + 1))
     n_pieces = lambda k, side: F.ceil(F.col(f"{side}_rows") / pieces[k]).alias(f"{side}_pieces")
     keys = keys.select(on, "pair_key", n_pieces(0, "left"), n_pieces(1, "right"))
     tile = ["pair_key", "left_block", "right_block"]
 
     def dealt(d: DataFrame, own: str, other: str, k: int) -> DataFrame:
-        piece = F.pmod(F.xxhash64("pair_at"), F.col(f"{own}_pieces")).alias("piece")
+        rows = d.join(keys, on).select("pair_key", "left_pieces", "right_pieces", F.posexplode(F.arrays_zip(*sides[k])).alias("at", own))
+        piece = F.pmod(F.xxhash64("at", own), F.col(f"{own}_pieces")).alias("piece")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"{other}_pieces") - 1) / blocks[1 - k]))).alias(f"{other}_block")
-        row = F.struct(*[c for c in d.columns if c not in (on, "pair_at")]).alias(own)
-        rows = d.join(keys, on).select("pair_key", piece, every, row).withColumn(f"{own}_block", F.floor(F.col("piece") / blocks[k]))
+        rows = rows.select("pair_key", piece, every, own).withColumn(f"{own}_block", F.floor(F.col("piece") / blocks[k]))
         return rows.repartition(tasks, *tile).groupBy(*tile, "piece").agg(F.collect_list(own).alias(own)).drop("piece")
 
     # A broadcast or hashed join might go through the sides the other way round.
-    met = dealt(right, "right", "left", 1).hint("merge").join(dealt(left, "left", "right", 0), tile)
+    met = _unfolded(dealt(right, "right", "left", 1).hint("merge").join(dealt(left, "left", "right", 0), tile))
+    return met.unionByName(crossed) if most else met
+
+
+def _unfolded(met: DataFrame) -> DataFrame:
+    """All pairs of the structs in the arrays ``left`` and ``right`` of a row."""
     met = met.select("left", F.explode("right").alias("right")).select(F.explode("left").alias("left"), "right")
     return met.select("left.*", "right.*")
 
 
+def _crossed(left: DataFrame, right: DataFrame, on: str, keys: DataFrame, pairs: float, right_rows: int) -> DataFrame:
+    """All pairs of the rows of a bounded number of keys, each part of the left side with each of the right one.
+
+    The packs are sliced into pieces, and these dealt to parts evenly, whatever their keys. A task
+    goes through a left part and holds a right one, both read anew where the shuffle left them; it
+    looks at each pair of pieces, so keys must be few. Disk grows with the rows, not with the pairs.
+    """
+    n_right = -(-right_rows // CROSS_ROWS)
+    n_left = int(min(max(1, MAX_PAIR_TASKS // n_right), pairs // (TASK_PAIRS * n_right) + 1))
+
+    def parts(d: DataFrame, k: int, n: int) -> DataFrame:
+        rest, rows = [c for c in d.columns if c != on], CROSS_PIECES[k]
+        at = d.join(F.broadcast(keys), on).withColumn("at", F.explode(F.sequence(F.lit(1), F.size(rest[0]), F.lit(rows))))
+        return at.select("pair_key", *[F.slice(c, F.col("at"), rows).alias(c) for c in rest]).repartition(n)
+
+    met = parts(left, 0, n_left).hint("shuffle_replicate_nl").join(parts(right, 1, n_right), "pair_key")
+    zipped = lambda d: F.arrays_zip(*[c for c in d.columns if c != on])
+    return _unfolded(met.select(zipped(left).alias("left"), zipped(right).alias("right")))
+
+
 def _dealt(model: DataFrame, upstream: DataFrame, partners, shard_rows: int, model_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides (id, vec) as rows of a pair of lengths, an upstream shard and a model block.
 

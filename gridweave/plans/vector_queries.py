@@ -87,13 +87,17 @@ _SUBS = _HALVES + """, w AS (SELECT l_orderkey, first_idx, values, length, unnes
 
 
 def subsequence_places(t):
-    """Model runs, and where each distinct one lies within a longer run; ``match_key`` has its values."""
-    m, at = V.contained_places(half_runs(t, "A"), half_runs(t, "R"), head=2)
-    return m.select("match_key", F.col("l_orderkey").alias("model_key"), F.col("first_idx").alias("model_first")), at.select("match_key", F.col("up_l_orderkey").alias("up_key"), F.col("up_first_idx").alias("up_first"), "offset")
+    """Packs of model runs, and where each distinct one lies within a longer run; ``match_key`` has its values.
+
+    The columns with few values come first, as packs are sorted by them."""
+    a = half_runs(t, "A").select("values", F.col("first_idx").alias("model_first"), F.col("l_orderkey").alias("model_key"))
+    m, at = V.contained_places(a, half_runs(t, "R"), head=2, columns=["model_first", "model_key"])
+    return m, at.select("match_key", F.col("up_first_idx").alias("up_first"), "offset", F.col("up_l_orderkey").alias("up_key"))
 
 
 def subsequences(t):
-    return V.paired(*subsequence_places(t), "match_key")
+    m, at = subsequence_places(t)
+    return V.paired_packs(m, V.packed(at, "match_key"), "match_key")
 
 
 @query(_SUBS + ' SELECT model_key, model_first, up_key, up_first, "offset" FROM hits')
@@ -109,7 +113,7 @@ def matched_sub_range(t):
     """The range is the same for all copies of a model run, so it is made once for each place."""
     m, at = subsequence_places(t)
     rng = refs.sub_range(F.lit("row"), F.col("up_key"), F.col("up_first"), F.col("offset"), F.size("match_key"))
-    return V.paired(m.drop("model_first"), at.withColumn("matched_range", rng), "match_key").select("model_key", "up_key", "up_first", "offset", "matched_range")
+    return V.paired_packs(m.drop("model_first"), V.packed(at.withColumn("matched_range", rng), "match_key"), "match_key").select("model_key", "up_key", "up_first", "offset", "matched_range")
 
 
 @query(_SUBS + """ SELECT l_orderkey AS model_key, first_idx AS model_first FROM runs r WHERE l_returnflag = 'A'

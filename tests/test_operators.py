@@ -34,6 +34,31 @@ def test_paired(spark):
     assert sorted(map(tuple, zeros.collect())) == [(1, 4), (2, 4), (3, 5)]
 
 
+@pytest.mark.parametrize("keys, held, pairs", [(1, 7, 100), (2, 1 << 20, 1 << 22), (1024, 40, 30)])
+def test_paired_with_keys_crossed(spark, monkeypatch, keys, held, pairs):
+    """Keys with many pairs, one of them, two or all, in parts of few rows; the others are paired by blocks."""
+    for name, value in (("CROSS_PAIRS", 40), ("CROSS_KEYS", keys), ("CROSS_PIECES", (3, 2)), ("CROSS_ROWS", held), ("TASK_PAIRS", pairs)):
+        monkeypatch.setattr(V, name, value)
+    rows = [((None, "a", "b", "c")[i % 4], i % 50, None if i % 3 else f"t{i}") for i in range(200)] + [("e", 1, "x")]
+    left = spark.createDataFrame(rows, "k string, x long, t string")
+    right = spark.createDataFrame([("a", [i // 2]) for i in range(90)] + [("b", [7, 8]), ("b", None), ("d", [8]), ("e", []), (None, [9])], "k string, y array<long>")
+    want = sorted(map(str, left.join(right, "k").drop("k").collect()))
+    assert sorted(map(str, V.paired(left, right, "k").collect())) == want
+    alone = V.paired(left.where("k = 'a'"), right, "k")
+    assert alone.columns == ["x", "t", "y"] and alone.count() == 50 * 90
+
+
+def test_copies_are_shuffled_once(spark):
+    """However many rows they meet: two thousand million pairs here, of which one is asked for."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    shuffled = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    before = shuffled()
+    got = V.paired(spark.range(20_000).selectExpr("'k' AS k", "id AS x"), spark.range(100_000).selectExpr("'k' AS k", "id AS y"), "k")
+    assert got.limit(1).count() == 1
+    assert shuffled() - before < 2 * 120_000
+
+
 def copies(spark, n, values, first=0):
     """Vectors of other ids each time, as orders have them."""
     numbers = F.array(*[F.lit(float(x)) for x in values])
